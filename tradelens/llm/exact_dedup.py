@@ -12,20 +12,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.llm.shared import SPACES, cut
+from tradelens.llm.shared import cut
 
 #: A chunk has MIN to MAX characters and ends where a word ends in a mark, a space follows and a mark begins the next.
 MIN, MAX = 512, 8191
-#: Marks: every eighth code point of Latin scripts. Other scripts are cut at MAX, which equal texts share too.
-MARKS = "".join(f"\\x{{{c:X}}}" for c in range(0x21, 0x250) if c % 8 == 3)
+#: Marks: every eighth code point of Latin-1. Other scripts are cut at MAX, which equal texts share too.
+MARKS = "".join(f"\\x{c:02X}" for c in range(0x21, 0x100) if c % 8 == 3)
 CHUNK = f"(?s).{{{MIN},{MAX}}}?[{MARKS}] (?=[{MARKS}])|.{{1,{MAX + 1}}}"
 #: A group of copies is dealt to so many tasks by the ids of its rows.
 SALTS = 16
 
 
 def normalised(text: Column) -> Column:
-    """Each run of white space as one space; null counts as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
+    """Each run of white space as one space; null counts as empty. Only texts that have a run meet a regular expression."""
+    text = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t))[0]
 
 
 def exact_dedup(docs: DataFrame, fingerprint: Callable[[Column], Column] = lambda c: F.xxhash64(c)) -> DataFrame:
@@ -43,7 +46,7 @@ def exact_dedup(docs: DataFrame, fingerprint: Callable[[Column], Column] = lambd
         "doc_id", "text", F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0)).alias("chunks")
     )
     # Verification: every chunk's content is brought together with those of its fingerprint, each distinct one once.
-    contents = chunked.select(F.explode("chunks").alias("chunk")).select(fingerprint(F.col("chunk")).alias("fp"), "chunk").distinct()
+    contents = chunked.select(F.explode_outer("chunks").alias("chunk")).filter("chunk is not null").select(fingerprint(F.col("chunk")).alias("fp"), "chunk").distinct()
     clashes = contents.groupBy("fp").count().filter("count > 1").select("fp")
     if clashes.isEmpty():
         recipe = F.transform("chunks", lambda c: fingerprint(c))
