@@ -87,7 +87,7 @@ def shingle_hashes(found: list[bytes]) -> np.ndarray:
 
 
 def _tag(k: int, kind: int, part: np.ndarray | int) -> np.ndarray:
-    return mixed(np.asarray(part, np.uint64) * np.uint64(64) + np.uint64(4 * (k % 16) + kind))
+    return mixed(np.atleast_1d(np.asarray(part, np.uint64)) * np.uint64(64) + np.uint64(4 * (k % 16) + kind))
 
 
 def _segments(h: np.ndarray, k: int) -> tuple[np.ndarray, int]:
@@ -110,8 +110,8 @@ def entries(h: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
         if scheme == LOWER and (b < 0 or largest_partner(band_start(k) - 1) < s):
             continue
         if b == 0:
-            total = mixed(h).sum(dtype=np.uint64)
-            whole = mixed(total + _tag(0, _DELETED, 0))[None]
+            total = mixed(h).sum(dtype=np.uint64, keepdims=True)
+            whole = mixed(total + _tag(0, _DELETED, 0))
             out.append((scheme, np.concatenate((whole, mixed(total - mixed(h) + _tag(0, _DELETED, 0)))) if s > 2 else whole, 0))
             continue
         found, n = _segments(h, b)
@@ -383,7 +383,8 @@ def _named(records: DataFrame, named: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted = records.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     joined = salted.join(named.withColumn("salt", salts), ["digest", "salt"])
-    return joined.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "class_id")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id"))  # texts without words link with nothing, not even with each other
+    return joined.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce(own, "component_id").alias("component_id"), F.coalesce(own, "class_id").alias("class_id"))
 
 
 def _node_of(digest):

@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+from tradelens.llm.bpe_codec import encode_texts
+from tradelens.llm.bpe_count import count_tokens
 from tradelens.llm.exact_dedup import exact_dedup
+from tradelens.llm.ngram_join import ngram_join
 from tradelens.llm.quality_rules import quality
 from tradelens.llm.shared import table
+from tradelens.llm.toxicity import toxicity
 from tradelens.llm.url_filter import filter_urls, rule_table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, which every executor has as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join(table(spark, sf_dir, "documents"))[0]
+
+
+def op2_bpe_codec(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, vocabulary("byte_bpe_50k.json"), with_ids=False).drop("text")
+
+
+def op4_token_counts(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"))
 
@@ -22,7 +46,11 @@ def op8_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op7_exact_dedup, op8_url_filter)}
+def op10_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe_codec, op3_quality_rules, op4_token_counts, op7_exact_dedup, op8_url_filter, op10_toxicity)}
 
 OP7_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
