@@ -79,3 +79,9 @@ def _extended(chunked: DataFrame, contents: DataFrame, clashes: DataFrame, finge
     empty = F.array().cast("array<struct<pos:int,fp:bigint,rank:int>>")
     lists = lists.select("row", F.col("recipe").cast("array<struct<pos:int,fp:bigint,rank:int>>").alias("recipe"))
     return keyed.join(lists, "row", "left").select("doc_id", F.coalesce("recipe", empty).alias("recipe"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def exact_duplicates_dropped(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns; rows without a doc_id can't be told apart and go."""
+    kept = exact_dedup(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tradelens.llm.bpe_codec import encode_texts
 from tradelens.llm.bpe_count import count_tokens
 from tradelens.llm.exact_dedup import exact_dedup
+from tradelens.llm.katz import lm_scores
+from tradelens.llm.mixing import labelled_domains, mix
 from tradelens.llm.ngram_join import ngram_join
+from tradelens.llm.pseudonyms import pseudonymise_texts
 from tradelens.llm.quality_rules import quality
 from tradelens.llm.shared import table
 from tradelens.llm.toxicity import toxicity
 from tradelens.llm.url_filter import filter_urls, rule_table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+#: Target shares of words: the languages of good documents, and documents of low quality in any language.
+MIX_WEIGHTS = {"en": 0.50, "de": 0.14, "fr": 0.14, "es": 0.12, "low": 0.10}
+#: A production key comes from the caller's secret store; this one makes the query's results repeatable.
+PSEUDONYM_KEY = "example-key"
 
 
 def vocabulary(name: str) -> str:
@@ -38,6 +47,20 @@ def op3_quality_rules(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_pseudonyms(spark, sf_dir):
+    return pseudonymise_texts(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def op6_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    mixed = mix(docs.drop("lang"), labelled_domains(docs, table(spark, sf_dir, "labels")), MIX_WEIGHTS)
+    return mixed.select("doc_id", "n_words", *[F.col("shares")[k].alias(f"share_{d}") for k, d in enumerate(MIX_WEIGHTS)], "rate", "copies")
+
+
+def op9_katz_backoff(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,7 +73,13 @@ def op10_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe_codec, op3_quality_rules, op4_token_counts, op7_exact_dedup, op8_url_filter, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_bpe_codec, op3_quality_rules, op4_token_counts, op5_pii_pseudonyms,
+        op6_mixing, op7_exact_dedup, op8_url_filter, op9_katz_backoff, op10_toxicity,
+    )
+}
 
 OP7_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),

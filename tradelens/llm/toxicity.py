@@ -196,19 +196,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     return train([np.frombuffer(r.tokens, np.int32) for r in found], np.array([r.toxic for r in found], np.int64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs (with text) and score; the model has a fixed size and is broadcast."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of docs (with text) and the score under name; the model has a fixed size and is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     fields = "".join(f", `{c.name}` {c.dataType.simpleString()}" for c in docs.schema)[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             scores = [model.score(token_buckets(x.as_py())) for x in batch.column("text")]
-            yield pa.RecordBatch.from_pydict(dict(zip(batch.schema.names, batch.columns, strict=True)) | {"score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_pydict(dict(zip(batch.schema.names, batch.columns, strict=True)) | {name: pa.array(scores, pa.float64())})
 
-    return docs.mapInArrow(run, fields + ", score double")
+    return docs.mapInArrow(run, fields + f", `{name}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -220,3 +220,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels, max_train))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns."""
+    columns, name = docs.columns, "_".join(["toxicity", *docs.columns])  # a name that docs doesn't have
+    return score(docs, fit(docs, labels, max_train), name).filter(F.col(name) < 0.5).select(*columns)
