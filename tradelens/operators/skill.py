@@ -19,8 +19,8 @@ SELECT horizon_days, member_id, count(*) AS n_scored, avg(excess_return) AS mean
   sum(excess_return * greatest(amount_est, 1.0)) / sum(greatest(amount_est, 1.0)) AS dollar_wtd_excess
 FROM returns WHERE member_id IS NOT NULL GROUP BY horizon_days, member_id""",
     "eligible": f"""
-SELECT * FROM (SELECT *, max(CASE WHEN n_scored >= {MIN_TRADES} THEN 1 ELSE 0 END) OVER (PARTITION BY horizon_days) AS some FROM stats) x
-WHERE some = 0 OR n_scored >= {MIN_TRADES}""",
+SELECT * FROM (SELECT *, max(CASE WHEN n_scored >= {MIN_TRADES} THEN 1 ELSE 0 END) OVER (PARTITION BY horizon_days) AS reached FROM stats) x
+WHERE reached = 0 OR n_scored >= {MIN_TRADES}""",
     "typical": "SELECT horizon_days, median(sd_excess) AS sd, sum(mean_excess * n_scored) / sum(n_scored) AS mu, coalesce(var_samp(mean_excess), 0.0) AS seen FROM eligible GROUP BY horizon_days",
     "prior": """
 SELECT t.horizon_days, t.mu, t.sd, greatest(t.seen - e.noise, 1e-9) AS tau2 FROM typical t JOIN (
