@@ -6,13 +6,14 @@ MIN_TRADES = 5
 
 SKILL_VIEWS = {
     # Excess over the benchmark after h days, signed by the trade; as-of prices are equi-joins on the dense panel.
+    "entries": """
+SELECT t.txn_id, t.member_id, t.ticker, t.amount_est, t.direction, h.horizon_days,
+  greatest(t.transaction_date, s.lo) AS d0, greatest(SHIFT[t.transaction_date; h.horizon_days], s.lo) AS d1
+FROM scorable t CROSS JOIN (VALUES (30), (90), (180), (365)) AS h(horizon_days) CROSS JOIN span s""",
+    "entered": "SELECT e.*, p.px AS px0, p.bpx AS bpx0 FROM entries e JOIN relative p ON p.ticker = e.ticker AND p.date = e.d0 WHERE p.px > 0 AND p.bpx > 0",
     "returns": """
-SELECT t.txn_id, t.member_id, t.ticker, t.amount_est, h.horizon_days,
-  ((p1.px / p0.px - 1) - (p1.bpx / p0.bpx - 1)) * t.direction AS excess_return
-FROM scorable t CROSS JOIN (VALUES (30), (90), (180), (365)) AS h(horizon_days) CROSS JOIN span s
-JOIN relative p0 ON p0.ticker = t.ticker AND p0.date = greatest(t.transaction_date, s.lo)
-JOIN relative p1 ON p1.ticker = t.ticker AND p1.date = greatest(SHIFT[t.transaction_date; h.horizon_days], s.lo)
-WHERE p0.px > 0 AND p0.bpx > 0 AND p1.px IS NOT NULL AND p1.bpx IS NOT NULL""",
+SELECT e.txn_id, e.member_id, e.ticker, e.amount_est, e.horizon_days, ((p.px / e.px0 - 1) - (p.bpx / e.bpx0 - 1)) * e.direction AS excess_return
+FROM entered e JOIN relative p ON p.ticker = e.ticker AND p.date = e.d1 WHERE p.px IS NOT NULL AND p.bpx IS NOT NULL""",
     "stats": """
 SELECT horizon_days, member_id, count(*) AS n_scored, avg(excess_return) AS mean_excess, stddev_samp(excess_return) AS sd_excess,
   avg(CASE WHEN excess_return > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate,
@@ -21,11 +22,12 @@ FROM returns WHERE member_id IS NOT NULL GROUP BY horizon_days, member_id""",
     "eligible": f"""
 SELECT * FROM (SELECT *, max(CASE WHEN n_scored >= {MIN_TRADES} THEN 1 ELSE 0 END) OVER (PARTITION BY horizon_days) AS reached FROM stats) x
 WHERE reached = 0 OR n_scored >= {MIN_TRADES}""",
-    "typical": "SELECT horizon_days, median(sd_excess) AS sd, sum(mean_excess * n_scored) / sum(n_scored) AS mu, coalesce(var_samp(mean_excess), 0.0) AS seen FROM eligible GROUP BY horizon_days",
+    # The noise of members without a spread of their own is taken from the median spread; sums keep it to one grouping.
     "prior": """
-SELECT t.horizon_days, t.mu, t.sd, greatest(t.seen - e.noise, 1e-9) AS tau2 FROM typical t JOIN (
-  SELECT e.horizon_days, avg(coalesce(e.sd_excess, t.sd) * coalesce(e.sd_excess, t.sd) / e.n_scored) AS noise
-  FROM eligible e JOIN typical t ON e.horizon_days = t.horizon_days GROUP BY e.horizon_days) e ON e.horizon_days = t.horizon_days""",
+SELECT horizon_days, mu, sd, greatest(seen - (coalesce(known, 0.0) + sd * sd * unknown) / n, 1e-9) AS tau2 FROM (
+  SELECT horizon_days, median(sd_excess) AS sd, sum(mean_excess * n_scored) / sum(n_scored) AS mu, coalesce(var_samp(mean_excess), 0.0) AS seen,
+    sum(sd_excess * sd_excess / n_scored) AS known, sum(CASE WHEN sd_excess IS NULL THEN 1.0 / n_scored ELSE 0.0 END) AS unknown, count(*) AS n
+  FROM eligible GROUP BY horizon_days) x""",
     "shrunk": """
 SELECT s.*, p.mu, p.mu + p.tau2 / (p.tau2 + coalesce(s.sd_excess, p.sd) * coalesce(s.sd_excess, p.sd) / s.n_scored) * (s.mean_excess - p.mu) AS shrunk_excess,
   s.mean_excess / nullif(s.sd_excess / sqrt(s.n_scored), 0.0) AS t_stat
@@ -34,20 +36,23 @@ FROM stats s JOIN prior p ON s.horizon_days = p.horizon_days""",
 SELECT *, least(greatest(1.0 + (shrunk_excess - mu) / (2 * CASE WHEN spread = 0 THEN 1.0 ELSE spread END), 0.25), 2.0) AS weight
 FROM (SELECT *, stddev_samp(shrunk_excess) OVER (PARTITION BY horizon_days) AS spread FROM shrunk) x""",
     "scores90": "SELECT member_id, weight, n_scored, shrunk_excess, hit_rate FROM scores WHERE horizon_days = 90",
+    "legs": """
+SELECT t.txn_id, t.member_id, t.ticker, t.filing_delay_days AS lag_days, t.direction,
+  greatest(t.transaction_date, s.lo) AS d0, greatest(t.filed_date, s.lo) AS df, greatest(SHIFT[t.filed_date; 90], s.lo) AS d1
+FROM scorable t CROSS JOIN span s""",
+    "opened": "SELECT e.*, p.px AS px0, p.bpx AS bpx0 FROM legs e JOIN relative p ON p.ticker = e.ticker AND p.date = e.d0 WHERE p.px > 0 AND p.bpx > 0",
+    "disclosed": "SELECT e.*, p.px AS pxf, p.bpx AS bpxf FROM opened e JOIN relative p ON p.ticker = e.ticker AND p.date = e.df WHERE p.px > 0 AND p.bpx > 0",
     "split": """
-SELECT t.txn_id, t.member_id, t.ticker, t.filing_delay_days AS lag_days,
-  ((pf.px / p0.px - 1) - (pf.bpx / p0.bpx - 1)) * t.direction AS pre, ((p1.px / pf.px - 1) - (p1.bpx / pf.bpx - 1)) * t.direction AS post
-FROM scorable t CROSS JOIN span s
-JOIN relative p0 ON p0.ticker = t.ticker AND p0.date = greatest(t.transaction_date, s.lo)
-JOIN relative pf ON pf.ticker = t.ticker AND pf.date = greatest(t.filed_date, s.lo)
-JOIN relative p1 ON p1.ticker = t.ticker AND p1.date = greatest(SHIFT[t.filed_date; 90], s.lo)
-WHERE p0.px > 0 AND p0.bpx > 0 AND pf.px > 0 AND pf.bpx > 0 AND p1.px > 0 AND p1.bpx > 0""",
+SELECT e.txn_id, e.member_id, e.ticker, e.lag_days, ((e.pxf / e.px0 - 1) - (e.bpxf / e.bpx0 - 1)) * e.direction AS pre,
+  ((p.px / e.pxf - 1) - (p.bpx / e.bpxf - 1)) * e.direction AS post
+FROM disclosed e JOIN relative p ON p.ticker = e.ticker AND p.date = e.d1 WHERE p.px > 0 AND p.bpx > 0""",
+    "aged": """
+SELECT t.ticker, t.direction, a.age_days, greatest(SHIFT[t.filed_date; a.age_days], s.lo) AS d0, greatest(SHIFT[t.filed_date; a.age_days + 90], s.lo) AS d1
+FROM scorable t CROSS JOIN (VALUES (0), (15), (30), (45), (60), (75), (90), (105), (120), (135), (150), (165), (180)) AS a(age_days) CROSS JOIN span s""",
+    "aged_entered": "SELECT e.*, p.px AS px0, p.bpx AS bpx0 FROM aged e JOIN relative p ON p.ticker = e.ticker AND p.date = e.d0 WHERE p.px > 0 AND p.bpx > 0",
     "ages": """
-SELECT a.age_days, ((p1.px / p0.px - 1) - (p1.bpx / p0.bpx - 1)) * t.direction AS excess
-FROM scorable t CROSS JOIN (VALUES (0), (15), (30), (45), (60), (75), (90), (105), (120), (135), (150), (165), (180)) AS a(age_days) CROSS JOIN span s
-JOIN relative p0 ON p0.ticker = t.ticker AND p0.date = greatest(SHIFT[t.filed_date; a.age_days], s.lo)
-JOIN relative p1 ON p1.ticker = t.ticker AND p1.date = greatest(SHIFT[t.filed_date; a.age_days + 90], s.lo)
-WHERE p0.px > 0 AND p0.bpx > 0 AND p1.px > 0 AND p1.bpx > 0""",
+SELECT e.age_days, ((p.px / e.px0 - 1) - (p.bpx / e.bpx0 - 1)) * e.direction AS excess
+FROM aged_entered e JOIN relative p ON p.ticker = e.ticker AND p.date = e.d1 WHERE p.px > 0 AND p.bpx > 0""",
     "curve": "SELECT age_days, count(*) AS n, avg(excess) AS mean_excess, avg(excess) / nullif(stddev_samp(excess) / sqrt(count(*)), 0.0) AS t_stat FROM ages GROUP BY age_days HAVING count(*) >= 30",
 }
 

@@ -24,13 +24,15 @@ FORMS = {
     "MEMBERS_IN": ("size(collect_set({0}) {1})", "len(list_distinct(list({0}) {1}))"),
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: Decimal literals are written as doubles, which both sides then keep through every aggregate.
+_DOUBLE = re.compile(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])")
 _FORM = re.compile(r"\b(" + "|".join(FORMS) + r")\[([^\[\]]*)\]")
 
 
 def _written(text: str, dialect: int) -> str:
     while (new := _FORM.sub(lambda m: FORMS[m[1]][dialect].format(*[a.strip() for a in m[2].split(";")]), text)) != text:
         text = new
-    return text
+    return _DOUBLE.sub((r"\1D", r"CAST(\1 AS DOUBLE)")[dialect], text)
 
 
 def statement(query: str, views: dict[str, str], dialect: int) -> str:
@@ -40,7 +42,8 @@ def statement(query: str, views: dict[str, str], dialect: int) -> str:
         if re.search(rf"\b{name}\b", text):
             needed.append(name)
             text += views[name]
-    ctes = ",\n".join(f"{n} AS ({views[n].strip()})" for n in reversed(needed))
+    kind = "AS MATERIALIZED" if dialect else "AS"
+    ctes = ",\n".join(f"{n} {kind} ({views[n].strip()})" for n in reversed(needed))
     return _written(f"WITH {ctes}\n{query.strip()}" if ctes else query.strip(), dialect)
 
 

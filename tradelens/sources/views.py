@@ -29,13 +29,12 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, CAST(l_shipda
     "prices": """
 SELECT ticker, date, total / n AS px FROM quotes UNION ALL SELECT 'BENCH' AS ticker, date, avg(total / n) AS px FROM quotes GROUP BY date""",
     "span": "SELECT min(date) AS lo, max(date) AS hi FROM quotes",
-    "calendar": "SELECT EACH_DAY[lo; hi] AS date FROM span",
-    # The last price on or before each calendar day; a stale price is carried to the end.
+    # The last price on or before each calendar day from a ticker's first quote on; a stale price is carried to the end.
     "panel": """
-SELECT k.ticker, c.date, LAST_KNOWN[p.px] OVER (PARTITION BY k.ticker ORDER BY c.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS px
-FROM (SELECT DISTINCT ticker FROM prices) k CROSS JOIN calendar c LEFT JOIN prices p ON p.ticker = k.ticker AND p.date = c.date""",
-    "bench": "SELECT date, px FROM panel WHERE ticker = 'BENCH'",
-    "relative": "SELECT a.ticker, a.date, a.px, b.px AS bpx FROM panel a JOIN bench b ON a.date = b.date WHERE a.ticker <> 'BENCH'",
+SELECT ticker, px, EACH_DAY[date; until] AS date FROM (
+  SELECT p.ticker, p.px, p.date, coalesce(SHIFT[lead(p.date) OVER (PARTITION BY p.ticker ORDER BY p.date); -1], s.hi) AS until FROM prices p CROSS JOIN span s) x""",
+    "relative": """
+SELECT ticker, date, px, bpx FROM (SELECT *, max(CASE WHEN ticker = 'BENCH' THEN px END) OVER (PARTITION BY date) AS bpx FROM panel) x WHERE ticker <> 'BENCH'""",
     "tradingdays": "SELECT date, CAST(row_number() OVER (ORDER BY date) AS INT) AS day FROM (SELECT DISTINCT date FROM quotes) d",
     "daily": """
 SELECT p.ticker, d.day, p.date, p.px FROM prices p JOIN tradingdays d ON p.date = d.date""",
