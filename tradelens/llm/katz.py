@@ -1,6 +1,8 @@
 """Katz backoff language model of two words: Good-Turing discounts, backoff weights that normalise exactly.
 
-Counts live in tables partitioned by n-gram. A bigram that was learnt has its discounted relative frequency; any other
+Counts live in tables partitioned by n-gram: a bucket has all bigrams of its contexts, so all that a context's weight needs.
+Texts go there as packed arrays, each chunk's bigrams once with the places they have in its texts; a bucket asks the
+unigram table for its last words' counts, and only sums go back to the texts. A bigram that was learnt has its discounted relative frequency; any other
 falls back to its last word's unigram probability times the weight of its context, and an unknown word to what the
 unigrams' discounts have left. Over all known words and the one unknown, every context's probabilities sum to one.
 """
@@ -8,18 +10,23 @@ unigrams' discounts have left. Over all known words and the one unknown, every c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.shared import cut
-from tradelens.llm.textkit import mixed, word_hashes, words
+from tradelens.llm.shared import written
+from tradelens.llm.textkit import word_hashes, words
 
 #: Counts up to this are discounted.
 TOP = 5
 START, END = np.uint64(1), np.uint64(2)
+#: A chunk has at most so many tokens (or is a single text) and so many texts.
+CHUNK, CHUNK_TEXTS = 2_000_000, 50_000
 
 
 def good_turing(n: dict[int, int]) -> dict[int, float]:
@@ -36,19 +43,172 @@ def _fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)), F.lit(-1))
 
 
-def _grams(docs: DataFrame) -> DataFrame:
-    """Each text's distinct bigrams: row, train, key, context, word (hashes) and n. The first context is START."""
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, after a byte that tells how many, compressed."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or int(x.max()) < 1 << (8 * w))
+    return zstandard.compress(bytes([width]) + x.astype(f"<u{width}").tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint64 if raw[0] == 8 else np.int64)
+
+
+def _hashes(data: bytes) -> np.ndarray:
+    return _unpack(data).astype(np.uint64)
+
+
+def _chunk(part: int, n_buckets: int, ids: list, train: list[bool], texts: list[np.ndarray]) -> Iterator[dict]:
+    """A chunk's documents (bucket -1) and its bigrams, dealt to buckets by the hash of the context.
+
+    contexts, follow: each context and how many bigrams it begins; words, word: last words, and each bigram's place in them;
+    r: its count in training; texts: how many texts have it; doc, n: which ones, and how often each.
+    """
+    lengths = np.array([len(w) for w in texts])
+    yield {"part": part, "bucket": -1, "doc_ids": [None if x is None else int(x) for x in ids], "train": train, "lengths": lengths.tolist()}
+    last = np.concatenate(texts)
+    context = np.append(START, last[:-1])
+    context[np.append(0, np.cumsum(lengths)[:-1])] = START
+    names = np.unique(np.append(last, START))
+    code = (np.searchsorted(names, context) * len(names) + np.searchsorted(names, last)) * len(texts) + np.repeat(np.arange(len(texts)), lengths)
+    code, n = np.unique(code, return_counts=True)
+    pair, doc = code // len(texts), code % len(texts)
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    r = np.add.reduceat(n * np.array(train)[doc], first)
+    ends = np.append(first[1:], len(pair))
+    left, right = pair[first] // len(names), pair[first] % len(names)
+    bucket = ((names[left] >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)  # ascends with the contexts
+    edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
+    for b in np.flatnonzero(edges[1:] > edges[:-1]):
+        of = slice(edges[b], edges[b + 1])
+        inside = slice(first[of.start], ends[of.stop - 1])
+        contexts, follow = np.unique(left[of], return_counts=True)
+        words_, word = np.unique(right[of], return_inverse=True)
+        yield {
+            "part": part, "bucket": int(b), "contexts": _pack(names[contexts]), "follow": _pack(follow), "words": _pack(names[words_]), "word": _pack(word),
+            "r": _pack(r[of]), "texts": _pack(ends[of] - first[of]), "doc": _pack(doc[inside]), "n": _pack(n[inside]),
+        }
+
+
+_BIGRAMS = ("contexts", "follow", "words", "word", "r")
+_PLACES = ("texts", "doc", "n")
+_PACKED = pa.schema(
+    [("part", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64()))] + [(c, pa.binary()) for c in (*_BIGRAMS, *_PLACES)]
+)
+
+
+def _packed(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Chunks of docs (doc_id, train, text) of at most CHUNK tokens or a single text, as records by part and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        held: tuple[list, list, list] = [], [], []
+        tokens = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for row in _chunk(part, n_buckets, *held):
+                yield pa.RecordBatch.from_pylist([row], schema=_PACKED)
+
         for batch in batches:
-            for row, train, text in zip(batch.column("row").to_pylist(), batch.column("train").to_pylist(), batch.column("text"), strict=True):
-                found = words(text.as_py())
-                w = np.append(word_hashes(found), END)
-                h = np.append(START, w[:-1])
-                key, at, n = np.unique(mixed(mixed(h) + w), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"row": pa.array(np.full(len(key), row)), "train": pa.array(np.full(len(key), train)), "key": pa.array(key.view(np.int64)), "context": pa.array(h[at].view(np.int64)), "word": pa.array(w[at].view(np.int64)), "n": pa.array(n.astype(np.int32))})
+            for doc_id, train, text in zip(batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), batch.column("text"), strict=True):
+                w = np.append(word_hashes(words(text.as_py())), END)
+                if held[0] and (tokens + len(w) > CHUNK or len(held[0]) >= CHUNK_TEXTS):
+                    yield from out()
+                    part, held, tokens = part + 1, ([], [], []), 0
+                for x, to in zip((doc_id, train, w), held, strict=True):
+                    to.append(x)
+                tokens += len(w)
+        if held[0]:
+            yield from out()
+
+    return docs.mapInArrow(run, "part long, bucket int, doc_ids array<long>, train array<boolean>, lengths array<long>, " + ", ".join(f"{c} binary" for c in (*_BIGRAMS, *_PLACES)))
+
+
+@dataclass
+class _Bucket:
+    """A bucket's bigrams of all chunks. context and word: places in contexts and words; r: counts in training; of: for each chunk, its bigrams' places."""
+
+    contexts: np.ndarray
+    words: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    r: np.ndarray
+    of: list[np.ndarray]
 
-    return docs.mapInArrow(run, "row long, train boolean, key long, context long, word long, n int")
+
+def _bucket(rows: list[dict]) -> _Bucket:
+    lefts, rights = [_hashes(x["contexts"]) for x in rows], [_hashes(x["words"]) for x in rows]
+    contexts, words_ = np.unique(np.concatenate(lefts)), np.unique(np.concatenate(rights))
+    code = [
+        np.repeat(np.searchsorted(contexts, a), _unpack(x["follow"]).astype(np.int64)) * len(words_) + np.searchsorted(words_, b)[_unpack(x["word"]).astype(np.int64)]
+        for x, a, b in zip(rows, lefts, rights, strict=True)
+    ]
+    pair, at = np.unique(np.concatenate(code), return_inverse=True)
+    r = np.bincount(at, np.concatenate([_unpack(x["r"]) for x in rows]), len(pair)).astype(np.int64)
+    return _Bucket(contexts, words_, pair // len(words_), pair % len(words_), r, np.split(at, np.cumsum([len(c) for c in code])[:-1]))
+
+
+def _needs(rows: pa.Table) -> pa.Table:
+    """A bucket's last words with their counts in training, and its numbers of bigrams with each count up to TOP + 1 (kind: the count)."""
+    x = _bucket(rows.to_pylist())
+    c = np.bincount(x.word, x.r, len(x.words)).astype(np.int64)
+    counts = np.bincount(np.minimum(x.r, TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
+    kind = np.append(np.zeros(len(c), np.int32), np.arange(1, TOP + 2, dtype=np.int32))
+    bucket = np.full(len(kind), rows.column("bucket")[0].as_py(), np.int32)
+    return pa.table({"bucket": bucket, "kind": kind, "word": np.append(x.words.view(np.int64), np.zeros(TOP + 1, np.int64)), "n": np.append(c, counts)})
+
+
+def _discounted(count: np.ndarray, d: dict[int, float]) -> np.ndarray:
+    return count * np.array([0.0, *[d[k] for k in range(1, TOP + 1)], 1.0])[np.minimum(count, TOP + 1)]
+
+
+@dataclass
+class _Totals:
+    """What the whole corpus gives: training tokens, known words, discounts, the unigrams' whole and the unknown word's probability."""
+
+    tokens: int
+    vocabulary: int
+    bigrams: dict[int, float]
+    unigrams: dict[int, float]
+    whole: float
+    unknown: float
+
+
+def _scored(rows: list[dict], word: np.ndarray, count: np.ndarray, t: _Totals) -> Iterator[dict]:
+    """What a bucket's bigrams add to each text of each chunk; word and count: the bucket's last words and their counts."""
+    x = _bucket(rows)
+    order = np.argsort(word)
+    c = count[order][np.searchsorted(word[order], x.words)]
+    p1 = np.where(c > 0, _discounted(c, t.unigrams) / t.whole, t.unknown)
+    base = np.log10((c + 0.5) / (t.tokens + 0.5 * (t.vocabulary + 1)))
+    held, seen = _discounted(x.r, t.bigrams), x.r > 0
+    of, mass, low = (np.bincount(x.context, v, len(x.contexts)) for v in (x.r, held, np.where(seen, p1[x.word], 0.0)))
+    whole = np.where(of - mass > 1e-9 * of, of, of + 1)
+    back = np.where(of > 0, (1 - mass / whole) / np.maximum(1 - low, 1e-12), 1.0)
+    p = np.log10(np.where(seen, held / whole[x.context], back[x.context] * p1[x.word]))
+    for row, at in zip(rows, x.of, strict=True):
+        gram, doc, n = np.repeat(at, _unpack(row["texts"]).astype(np.int64)), _unpack(row["doc"]), _unpack(row["n"])
+        docs, doc = np.unique(doc, return_inverse=True)
+        last = x.word[gram]
+        sums = [np.bincount(doc, n * v, len(docs)) for v in (c[last] > 0, base[last], p[gram])]
+        yield {"part": row["part"], "bucket": row["bucket"], "doc": _pack(docs), "known": _pack(sums[0].astype(np.int64)), "base": sums[1].tobytes(), "score": sums[2].tobytes()}
+
+
+_ADDED = pa.schema([("part", pa.int64()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in ("doc", "known", "base", "score")])
+
+
+def _summed(docs: pa.Table, added: pa.Table) -> pa.Table:
+    """A chunk's documents with the sums of what all buckets add."""
+    chunk = docs.to_pylist()[0]
+    sums = np.zeros((3, len(chunk["lengths"])))
+    for row in added.sort_by("bucket").to_pylist():
+        at = _unpack(row["doc"]).astype(np.int64)
+        for to, v in zip(sums, (_unpack(row["known"]), np.frombuffer(row["base"]), np.frombuffer(row["score"])), strict=True):
+            to[at] += v
+    return pa.table({
+        "doc_id": pa.array(chunk["doc_ids"], pa.int64()), "held_out": pa.array([not x for x in chunk["train"]], pa.bool_()), "n_tokens": pa.array(chunk["lengths"], pa.int64()),
+        "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2],
+    })
 
 
 def _discount(count: Column, d: dict[int, float]) -> Column:
@@ -58,9 +218,9 @@ def _discount(count: Column, d: dict[int, float]) -> Column:
     return out
 
 
-def _counts_of_counts(grams: DataFrame, count: str) -> dict[int, int]:
-    found = grams.filter(F.col(count).between(1, TOP + 1)).groupBy(count).agg(F.count(F.lit(1)).alias("n")).collect()
-    return {int(r[count]): r["n"] for r in found}
+def _counts_of_counts(unigrams: DataFrame) -> dict[int, int]:
+    found = unigrams.filter(F.col("c").between(1, TOP + 1)).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {int(r["c"]): r["n"] for r in found}
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -71,30 +231,27 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     result. Where nothing is learnt, all probability is the unknown word's: score 0.
     """
     train = _fold(F.col("doc_id")) != 1
-    rows = cut(docs.select("doc_id", "text", train.alias("train")).withColumn("row", F.monotonically_increasing_id()))
-    grams = _grams(rows.select("row", "train", "text"))
-    # Bigrams of all texts with their counts in training, 0 for those of held-out texts alone.
-    bigrams = cut(grams.groupBy("key", "context", "word").agg(F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).alias("r")))
-    unigrams = cut(bigrams.groupBy("word").agg(F.sum("r").alias("c")))
-    total, vocabulary = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    d1, d2 = good_turing(_counts_of_counts(unigrams, "c")), good_turing(_counts_of_counts(bigrams, "r"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), "text")
+    packed = written(_packed(docs, max(16, docs.rdd.getNumPartitions())))
+    bigrams = packed.filter("bucket >= 0")
 
+    needs = written(bigrams.select("part", "bucket", *_BIGRAMS).groupBy("bucket").applyInArrow(_needs, "bucket int, kind int, word long, n long"))
+    n2 = {r["kind"]: r["n"] for r in needs.filter("kind > 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # a row for each count up to TOP + 1
+    needed = needs.filter("kind = 0")
+    unigrams = written(needed.groupBy("word").agg(F.sum("n").alias("c")))
+    total, vocabulary = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    d1, d2 = good_turing(_counts_of_counts(unigrams)), good_turing(n2)
     mass = unigrams.agg(F.coalesce(F.sum(_discount(F.col("c"), d1)), F.lit(0.0))).first()[0]
     whole = total if total - mass > 1e-9 * total else total + 1  # some mass must be left for the unknown word
-    unknown = 1 - mass / whole if whole else 1.0
-    p1 = F.when(F.col("c") > 0, _discount(F.col("c"), d1) / F.lit(float(whole or 1))).otherwise(F.lit(float(unknown)))
-    base = F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1)))
-    unigrams = unigrams.select("word", "c", p1.alias("p1"), base.alias("base"))
-
-    named = cut(bigrams.join(unigrams, "word").withColumn("held", F.when(F.col("r") > 0, _discount(F.col("r"), d2)).otherwise(0.0)))
-    seen = F.when(F.col("r") > 0, F.col("p1")).otherwise(0.0)
-    contexts = named.groupBy("context").agg(F.sum("r").alias("of"), F.sum("held").alias("mass"), F.sum(seen).alias("low"))
-    contexts = contexts.filter("of > 0").withColumn("whole", F.when(F.col("of") - F.col("mass") > 1e-9 * F.col("of"), F.col("of")).otherwise(F.col("of") + 1))
-    contexts = contexts.select("context", "whole", ((1 - F.col("mass") / F.col("whole")) / F.greatest(1 - F.col("low"), F.lit(1e-12))).alias("back"))
-    p2 = F.when(F.col("r") > 0, F.col("held") / F.col("whole")).otherwise(F.coalesce("back", F.lit(1.0)) * F.col("p1"))
-    scored = named.join(contexts, "context", "left").select("key", F.log10(p2).alias("p"), "base", (F.col("c") > 0).cast("long").alias("known"))
-
-    sums = grams.select("row", "key", "n").join(scored, "key").groupBy("row").agg(
-        F.sum("n").cast("long").alias("n_tokens"), F.sum(F.col("n") * F.col("known")).cast("long").alias("n_known"), F.sum(F.col("n") * F.col("base")).alias("base_score"), F.sum(F.col("n") * F.col("p")).alias("score")
-    )
-    return rows.select("row", "doc_id", (~F.col("train")).alias("held_out")).join(sums, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    totals = _Totals(total, vocabulary, d2, d1, float(whole or 1), float(1 - mass / whole) if whole else 1.0)
+
+    def score(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        held = rows.sort_by("part").to_pylist()
+        word, c = counts.column("word").to_numpy().view(np.uint64), counts.column("c").to_numpy()
+        return pa.Table.from_pylist([*_scored(held, word, c, totals)], schema=_ADDED)
+
+    counts = needed.select("bucket", "word").join(unigrams, "word").select("bucket", "word", "c")
+    added = bigrams.select("part", "bucket", *_BIGRAMS, *_PLACES).groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(score, "part long, bucket int, doc binary, known binary, base binary, score binary")
+    chunks = packed.filter("bucket < 0").select("part", "doc_ids", "train", "lengths")
+    sums = chunks.groupBy("part").cogroup(added.groupBy("part")).applyInArrow(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
