@@ -12,7 +12,7 @@ in one of them, one is alike in both (pigeonhole). A set is indexed by the conte
 - A small set whose shingles happen to fill too few segments is also indexed by single shingles, in the order of their
   hashes, up to H + 1.
 
-Whoever shares an entry is a candidate. Candidates are verified on the texts' own shingles, so hashes decide nothing.
+Whoever shares an entry is a candidate. Candidates that size and a sketch do not rule out are verified on the texts' own shingles, so hashes decide nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.llm.components import components
-from tradelens.llm.shared import cut
+from tradelens.llm.shared import written
 from tradelens.llm.textkit import Spans, mixed, word_spans, words
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ TINY, GROWTH, FILL = 6, 3, 2.2
 #: An entry of more sets than this is frequent.
 FREQUENT = 32
 #: Bins of the sketch that bounds the overlap of two sets from above.
-BINS = 64
+BINS = 128
 #: Short sets of a frequent entry are compared in tiles of so many.
 TILE = 512
 #: Candidates are broadcast to filter the texts while they are fewer than this (16 bytes each), else joined by shuffle.
@@ -176,7 +176,7 @@ def _index(docs: DataFrame, n_buckets: int) -> DataFrame:
                     digest = hashlib.blake2b(b" ".join(found), digest_size=16).digest()
                     if (seen := known.get(digest)) is None:
                         h = shingle_hashes(found)
-                        sketch = np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.uint32).astype("<u2" if len(h) < 60_000 else "<u4").tobytes()
+                        sketch = np.bincount((h // np.uint64((1 << 64) // BINS)).astype(np.int64), minlength=BINS).astype(np.uint32).astype("<u2" if len(h) < 60_000 else "<u4").tobytes()
                         seen = known[digest] = len(h), sketch
                         yield _node(digest), entries(h), len(h)
                     ids.append(doc_id)
@@ -256,10 +256,10 @@ def _in_bucket(rows: pa.Table) -> pa.Table:
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b: doc_ids) whose texts link. texts: doc_id, text."""
-    pairs = cut(pairs)
+    pairs = written(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     few = ids.count() <= FEW_IDS
-    needed = cut(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
+    needed = written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
     left, right = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), needed.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
@@ -283,7 +283,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(DEN * same >= NUM * (len(x) + len(y) - same) and similar(xw, yw))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    return cut(both.mapInArrow(run, "a long, b long"))
+    return written(both.mapInArrow(run, "a long, b long"))
 
 
 def shingles(found: list[bytes]) -> set[tuple[bytes, ...]]:
@@ -298,6 +298,28 @@ def similar(x: list[bytes], y: list[bytes]) -> bool:
     return same > 0 and DEN * same >= NUM * (len(a) + len(b) - same)
 
 
+def _bound(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """What sets with these sketches and sizes can share at most."""
+    bins = np.minimum(x, y)
+    return np.where((bins >= 65_535).any(axis=-1), np.minimum(nx, ny), bins.sum(axis=-1, dtype=np.int64))
+
+
+def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of class ids without those that size and sketch rule out, so that no texts move for them."""
+    of = classes.select("class_id", "n", "sketch")
+    both = pairs.join(of.toDF("a", "na", "sa"), "a").join(of.toDF("b", "nb", "sb"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BINS) for c in ("sa", "sb"))
+            nx, ny = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            bound = _bound(x, y, nx, ny)
+            keep = pa.array(DEN * bound >= NUM * (nx + ny - bound))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _tile_pairs(rows: pa.Table) -> pa.Table:
     """Pairs of short sets of one tile that differ in component, fit in size and may overlap enough by their sketches."""
     side, node, size, comp = (np.asarray(rows.column(c)) for c in ("side", "node", "size", "comp"))
@@ -309,8 +331,7 @@ def _tile_pairs(rows: pa.Table) -> pa.Table:
     for p in left:
         q = right[(comp[right] != comp[p]) & (np.minimum(size[right], size[p]) * DEN >= np.maximum(size[right], size[p]) * NUM)]
         q = q[node[q] > node[p]] if own else q
-        bins = np.minimum(sketch[q], sketch[p])
-        bound = np.where((bins >= 65_535).any(axis=1), np.minimum(size[q], size[p]), bins.sum(axis=1))
+        bound = _bound(sketch[q], sketch[p], size[q], size[p])
         q = q[DEN * bound >= NUM * (size[q] + size[p] - bound)]
         out.append(np.stack((np.minimum(node[q], node[p]), np.maximum(node[q], node[p]))))
     both = np.unique(np.concatenate(out, axis=1), axis=1)
@@ -332,7 +353,7 @@ def _rest(held: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
     """
     labels = components(links).toDF("class_id", "comp")
     nodes = classes.filter("n > 0").join(labels, "class_id", "left").groupBy("node").agg(F.min(F.coalesce("comp", "class_id")).alias("comp"), F.max("sketch").alias("sketch"))
-    placed = cut(held.join(nodes, "node"))
+    placed = written(held.join(nodes, "node"))
     open_ = placed.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).filter("lo < hi")
     open_ = open_.select("entry", F.ceil(F.col("g") / TILE).cast("int").alias("blocks"))
     rows = placed.join(open_, "entry").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -354,23 +375,24 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     n_buckets = max(8, docs.rdd.getNumPartitions())
-    found = cut(_index(docs, n_buckets).groupBy("bucket").applyInArrow(_in_bucket, _FOUND))
+    found = written(_index(docs, n_buckets).groupBy("bucket").applyInArrow(_in_bucket, _FOUND))
 
     records = found.filter(F.col("kind") == _DOC).select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "digest", "sketch")
     classes = records.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
-    classes = cut(classes.withColumn("node", _node_of(F.col("digest"))))
+    classes = written(classes.withColumn("node", _node_of(F.col("digest"))))
     twins = classes.filter("n > 0").groupBy("node").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).filter("a < b").select("a", "b")
 
     # Entries of few sets gave pairs at once. Frequent ones count only for short sets: those that have too few others.
     pairs = found.filter(F.col("kind") == _PAIR).select("a", "b")
     owners = found.filter(F.col("kind") == _FREQUENT).select(F.col("a").alias("node"), F.col("b").alias("entry"), F.expr("n div 4").cast("int").alias("size"), F.expr("n % 4").alias("scheme"), "slack")
     short = owners.groupBy("node", "scheme").agg(F.count(F.lit(1)).alias("n"), F.max("slack").alias("most")).filter("n > most").select("node", "scheme")
-    held = cut(owners.join(short, ["node", "scheme"], "left_semi").select("node", "entry", "size").distinct())
+    held = written(owners.join(short, ["node", "scheme"], "left_semi").select("node", "entry", "size").distinct())
     # Near copies of one text share many frequent entries; a star in each joins most of them before anything is compared.
     star = held.join(held.groupBy("entry").agg(F.min("node").alias("a")), "entry").filter("node <> a").select("a", F.col("node").alias("b"))
-    links = verify(_by_class(pairs.unionByName(star).distinct(), classes).unionByName(twins).distinct(), docs)
+    candidates = _by_class(pairs.unionByName(star).distinct(), classes).unionByName(twins).distinct()
+    links = verify(may_link(candidates, classes), docs)
     if not held.isEmpty():
-        links = cut(links.unionByName(verify(_by_class(_rest(held, links, classes), classes), docs)).distinct())
+        links = written(links.unionByName(verify(_by_class(_rest(held, links, classes), classes), docs)).distinct())
 
     labels = components(links).toDF("class_id", "label")
     named = classes.select("digest", "class_id").join(labels, "class_id", "left").select("digest", "class_id", F.coalesce("label", "class_id").alias("component_id"))
