@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.llm.components import components
@@ -321,7 +321,16 @@ def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _tile_pairs(rows: pa.Table) -> pa.Table:
-    """Pairs of short sets of one tile that differ in component, fit in size and may overlap enough by their sketches."""
+    """Pairs of short sets of one tile that differ in component, fit in size and may overlap enough by their sketches.
+
+    A pair that shares several entries comes from the tile of the smallest alone.
+    """
+    lists, entry = rows.column("entries").combine_chunks(), rows.column("entry")[0].as_py()
+    flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    names, at = np.unique(flat[flat < entry], return_inverse=True)
+    has = np.zeros((len(lists), len(names)), np.float32)
+    has[owner[flat < entry], at] = 1
+    earlier = has @ has.T > 0
     side, node, size, comp = (np.asarray(rows.column(c)) for c in ("side", "node", "size", "comp"))
     sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
     own = bool(rows.column("i")[0].as_py() == rows.column("j")[0].as_py())
@@ -332,7 +341,7 @@ def _tile_pairs(rows: pa.Table) -> pa.Table:
         q = right[(comp[right] != comp[p]) & (np.minimum(size[right], size[p]) * DEN >= np.maximum(size[right], size[p]) * NUM)]
         q = q[node[q] > node[p]] if own else q
         bound = _bound(sketch[q], sketch[p], size[q], size[p])
-        q = q[DEN * bound >= NUM * (size[q] + size[p] - bound)]
+        q = q[(DEN * bound >= NUM * (size[q] + size[p] - bound)) & ~earlier[p, q]]
         out.append(np.stack((np.minimum(node[q], node[p]), np.maximum(node[q], node[p]))))
     both = np.unique(np.concatenate(out, axis=1), axis=1)
     return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
@@ -358,7 +367,8 @@ def _rest(held: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
     open_ = open_.select("entry", F.ceil(F.col("g") / TILE).cast("int").alias("blocks"))
     rows = placed.join(open_, "entry").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"), F.when(F.col("block") <= k, 0).otherwise(1).alias("side")))
-    tiles = rows.select("entry", "node", "size", "comp", "sketch", F.inline(to))
+    mine = rows.groupBy("node").agg(F.collect_set("entry").alias("entries"))  # no more than the set's own entries
+    tiles = rows.join(mine, "node").select("entry", "node", "size", "comp", "sketch", "entries", F.inline(to))
     return tiles.groupBy("entry", "i", "j").applyInArrow(_tile_pairs, "a long, b long").distinct()
 
 
@@ -385,8 +395,11 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Entries of few sets gave pairs at once. Frequent ones count only for short sets: those that have too few others.
     pairs = found.filter(F.col("kind") == _PAIR).select("a", "b")
     owners = found.filter(F.col("kind") == _FREQUENT).select(F.col("a").alias("node"), F.col("b").alias("entry"), F.expr("n div 4").cast("int").alias("size"), F.expr("n % 4").alias("scheme"), "slack")
-    short = owners.groupBy("node", "scheme").agg(F.count(F.lit(1)).alias("n"), F.max("slack").alias("most")).filter("n > most").select("node", "scheme")
-    held = written(owners.join(short, ["node", "scheme"], "left_semi").select("node", "entry", "size").distinct())
+    short = owners.groupBy("node", "scheme").agg(F.count(F.lit(1)).alias("n"), F.max("slack").alias("most")).filter("n > most").selectExpr("node", "scheme", "n - most as needed")
+    # As many as the pigeonhole needs beside the others, the same first ones for all sets: those with the smallest hashes.
+    place = F.row_number().over(Window.partitionBy("node", "scheme").orderBy("entry"))
+    held = owners.join(short, ["node", "scheme"]).withColumn("place", place).filter("place <= needed")
+    held = written(held.select("node", "entry", "size").distinct())
     # Near copies of one text share many frequent entries; a star in each joins most of them before anything is compared.
     star = held.join(held.groupBy("entry").agg(F.min("node").alias("a")), "entry").filter("node <> a").select("a", F.col("node").alias("b"))
     candidates = _by_class(pairs.unionByName(star).distinct(), classes).unionByName(twins).distinct()
