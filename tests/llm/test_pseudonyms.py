@@ -45,6 +45,40 @@ def test_left_alone():
         assert pseudonymise(text, CIPHER) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("call +1 (017) 555-7713 now", "phone", "+1 (017) 555-7713"),
+        ("TOKEN 9233A8ECF7C5B09FE5949719B6B82BC439E9329B!", "secret", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"),
+        ("t 9233a8ecF7c5b09fe5949719b6b82bc439e9329b!", "secret", "9233a8ecF7c5b09fe5949719b6b82bc439e9329b"),
+        ("7 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+        ("4111 1111 1111 1111 12", "card", "4111 1111 1111 1111"),
+        ("1234 5678 4111 1111 1111 1111 9", "card", "4111 1111 1111 1111"),
+        ("12-4111-1111-1111-1111-12345-6", "card", "4111-1111-1111-1111"),
+        ("DE89370400440532013000 2024", "iban", "DE89370400440532013000"),
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("XX12 DE89370400440532013000 2024", "iban", "DE89370400440532013000"),
+        ("2024-02-29 12345", "date", "2024-02-29"),
+    ],
+)
+def test_neighbours_and_rare_forms(text, kind, value):
+    new, spans = pseudonymise(text, CIPHER)
+    assert [(k, text[a:b]) for k, a, b in spans] == [(kind, value)] and value not in new
+    assert [s[0] for s in pseudonymise(new, CIPHER)[1]] == [kind]
+    before, after = text.split(value)
+    assert new.startswith(before) and new.endswith(after)
+
+
+def test_every_phone_is_permuted_and_cases_are_linked():
+    rng = random.Random(2)
+    phones = {f"+1 ({rng.randint(0, 999):03d}) {rng.randint(0, 999):03d}-{rng.randint(0, 99):04d}" for _ in range(3000)}
+    assert len({pseudonymise(x, CIPHER)[0] for x in phones}) == len(phones)
+    token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    assert pseudonymise(token.upper(), CIPHER)[0] == pseudonymise(token, CIPHER)[0].upper()
+    for text in ("v1.2.3", "a@b", "", "7 4111 1111 1111 1112", "DE00 3704 0044 0532 0130 00 2024"):
+        assert pseudonymise(text, CIPHER) == (text, [])
+
+
 def test_forms_are_linked():
     plain, spaced = (pseudonymise(t, CIPHER)[0] for t in ("4111111111111111", "4111-1111-1111-1111"))
     assert spaced.replace("-", "") == plain and luhn(plain[:-1]) == int(plain[-1])

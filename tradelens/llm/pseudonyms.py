@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -22,15 +23,29 @@ KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date")
 #: The forms of personal data. Longer forms come first; each is validated afterwards.
 FORMS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?@(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![0-9A-Za-z])",
-    "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "card": r"(?:(?<![\d.+-])|(?<=\d-))\d(?:[ -]?\d){12,18}",
     "phone": r"(?<![\d+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d-]|[./]\d)",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{f})" for k, f in FORMS.items()))
+_EACH = {k: re.compile(f) for k, f in FORMS.items()}
+_LAST_OF_IBAN, _LAST_OF_CARD, _LATER_GROUP = re.compile(r"[A-Z0-9](?![0-9A-Za-z])"), re.compile(r"\d(?!\d)"), re.compile(r"(?<=[ -])\d")
+#: How long each country's IBANs are (ISO 13616 registry).
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST LY",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+#: The groups that cards are written in.
+CARD_GROUPS = {(13,), (14,), (15,), (16,), (19,), (4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4)}
 
 
 class Feistel:
@@ -99,7 +114,15 @@ def _email(cipher: Feistel, found: str) -> str:
 
 
 def _secret(cipher: Feistel, found: str) -> str:
-    return _by_class(cipher, found, "secret", ("0123456789abcdef",))
+    """Capitals and small letters of one value get one pseudonym in their case; where both occur each symbol keeps its class."""
+    if found != found.lower() and found != found.upper():
+        return _by_class(cipher, found, "secret", ("0123456789", "abcdef", "ABCDEF"))
+    new = _by_class(cipher, found.lower(), "secret", ("0123456789abcdef",))
+    if found == found.lower():
+        return new
+    while new.isdigit():  # digits alone are the pseudonyms of small letters
+        new = _by_class(cipher, new, "secret", ("0123456789abcdef",))
+    return new.upper()
 
 
 def _iban_rest(country: str, account: str) -> str:
@@ -116,18 +139,26 @@ def _iban(cipher: Feistel, found: str) -> str | None:
     return _refill(found, country + _iban_rest(country, account) + account)
 
 
+def _is_card(s: str) -> bool:
+    return len(s) >= 13 and s[0] in "3456" and luhn(s[:-1]) == int(s[-1])
+
+
 def _card(cipher: Feistel, found: str) -> str | None:
     s = _symbols(found)
-    if s[0] not in "3456" or luhn(s[:-1]) != int(s[-1]):
+    if not _is_card(s):
         return None
     body = s[0] + f"{cipher.permute(int(s[1:-1]), 10 ** (len(s) - 2), f'card{s[0]}{len(s)}'):0{len(s) - 2}d}"
     return _refill(found, body + str(luhn(body)))
 
 
-def _phone(cipher: Feistel, found: str) -> str | None:
+def _phone(cipher: Feistel, found: str) -> str:
     s = _symbols(found)[1:]
     if s[0] < "2" or s[3] < "2":
-        return None
+        # not in use as an area or office, but of the form: these are permuted among themselves
+        while True:
+            s = f"{cipher.permute(int(s), 10**10, 'phone any'):010d}"
+            if s[0] < "2" or s[3] < "2":
+                return _refill(found, "1" + s)
     value = cipher.permute(((int(s[:3]) - 200) * 800 + int(s[3:6]) - 200) * 10_000 + int(s[6:]), 800 * 800 * 10_000, "phone")
     front, line = divmod(value, 10_000)
     area, office = divmod(front, 800)
@@ -173,15 +204,61 @@ _MAKERS: dict[str, Callable[[Feistel, str], str | None]] = {
 }
 
 
+def _ends(text: str, m: re.Match, last: re.Pattern) -> list[int]:
+    """Where the groups of m end, the longest first; last: the last symbol of a group."""
+    return [n.end() for n in itertools.takewhile(lambda n: n.end() <= m.end(), last.finditer(text, m.start()))][::-1]
+
+
+def _iban_ends(text: str, m: re.Match) -> list[int]:
+    """The known length of the country, then the whole; of other countries each length."""
+    ends, known = _ends(text, m, _LAST_OF_IBAN), IBAN_LENGTHS.get(m.group()[:2])
+    if known is None:
+        return [e for e in ends if len(_symbols(text[m.start() : e])) >= 15]
+    return [e for e in ends if len(_symbols(text[m.start() : e])) == known] + ends[:1]
+
+
+def _card_ends(text: str, m: re.Match) -> list[int]:
+    """Groups that cards are written in come first; others must not cut into such a card that begins later."""
+    ends = [e for e in _ends(text, m, _LAST_OF_CARD) if _is_card(_symbols(text[m.start() : e]))]
+    usual = [e for e in ends if _usual(text[m.start() : e])]
+    if usual == ends:
+        return ends
+    begins = [n.start() for n in _LATER_GROUP.finditer(text, m.start() + 1, m.end())]
+    runs = [n for n in (_EACH["card"].match(text, b) for b in begins) if n]
+    taken = [n.start() for n in runs if any(_usual(text[n.start() : e]) and _is_card(_symbols(text[n.start() : e])) for e in _ends(text, n, _LAST_OF_CARD))]
+    return usual + [e for e in ends if e not in usual and not any(b < e for b in taken)]
+
+
+def _usual(found: str) -> bool:
+    return tuple(map(len, re.split("[ -]", found))) in CARD_GROUPS
+
+
+_SHORTER = {"iban": _iban_ends, "card": _card_ends}
+
+
+def _at(text: str, m: re.Match, cipher: Feistel) -> tuple[str, int, str] | None:
+    """Kind, end and pseudonym of the first value that passes its check at the place of m, whose kind comes first."""
+    for kind in KINDS[KINDS.index(m.lastgroup) :]:
+        own = _EACH[kind].match(text, m.start())
+        for end in _SHORTER.get(kind, lambda t, o: [o.end()])(text, own) if own else ():
+            if (new := _MAKERS[kind](cipher, text[m.start() : end])) is not None:
+                return kind, end, new
+    return None
+
+
 def pseudonymise(text: str, cipher: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with pseudonyms, and (kind, begin, end) of what was found in the text as it was."""
-    out, spans, done = [], [], 0
-    for m in _ANY.finditer(text):
-        new = _MAKERS[m.lastgroup](cipher, m.group())
-        if new is not None:
+    """The text with pseudonyms, and (kind, begin, end) of what was found in the text as it was.
+
+    Where a match fails its check, its shorter parts, the other forms and the places after its begin are tried in turn.
+    """
+    out, spans, done, pos = [], [], 0, 0
+    while m := _ANY.search(text, pos):
+        pos = m.start() + 1
+        if (found := _at(text, m, cipher)) is not None:
+            kind, pos, new = found
             out += [text[done : m.start()], new]
-            spans.append((m.lastgroup, m.start(), m.end()))
-            done = m.end()
+            spans.append((kind, m.start(), pos))
+            done = pos
     return "".join([*out, text[done:]]) if spans else text, spans
 
 
