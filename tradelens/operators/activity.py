@@ -14,14 +14,21 @@ PERIODS = {
 }
 _BUCKET = "CASE WHEN filing_delay_days <= 7 THEN '1: 0-7' WHEN filing_delay_days <= 15 THEN '2: 8-15' WHEN filing_delay_days <= 30 THEN '3: 16-30' WHEN filing_delay_days <= 45 THEN '4: 31-45' WHEN filing_delay_days <= 60 THEN '5: 46-60' WHEN filing_delay_days <= 90 THEN '6: 61-90' ELSE '7: 91+' END"
 _QUARTER = "concat(CAST(year(transaction_date) AS STRING), 'Q', CAST(quarter(transaction_date) AS STRING))"
-_BY_QUARTER = f"SELECT ticker, {_QUARTER} AS quarter, CAST(year(transaction_date) * 4 + quarter(transaction_date) - 1 AS INT) AS q, count(*) AS n_trades, count(DISTINCT member_id) AS n_members, sum(amount_est) AS gross, sum(amount_est * direction) AS net FROM trades t WHERE {USABLE} GROUP BY ticker, {_QUARTER}, CAST(year(transaction_date) * 4 + quarter(transaction_date) - 1 AS INT)"
+_BY_QUARTER = f"SELECT ticker, {_QUARTER} AS quarter, CAST(year(transaction_date) * 4 + quarter(transaction_date) - 1 AS INT) AS q, count(*) AS n_trades, count(DISTINCT t.member_id) AS n_members, sum(amount_est) AS gross, sum(amount_est * direction) AS net, sum(amount_est * direction * coalesce(s.weight, 1.0)) AS weighted_net FROM trades t LEFT JOIN scores90 s ON s.member_id = t.member_id WHERE {USABLE} GROUP BY ticker, {_QUARTER}, CAST(year(transaction_date) * 4 + quarter(transaction_date) - 1 AS INT)"
 
 _DAY = "DAYS[transaction_date; DATE '1970-01-01']"
 _SIDED = f"SELECT t.ticker, CASE WHEN t.direction > 0 THEN 'buy' ELSE 'sell' END AS side, t.member_id, {_DAY} AS day, t.transaction_date, t.amount_est, t.amount_est * coalesce(s.weight, 1.0) AS weighted FROM trades t LEFT JOIN scores90 s ON s.member_id = t.member_id WHERE {USABLE} AND t.direction <> 0 AND t.member_id IS NOT NULL"
 _WINDOW = "OVER (PARTITION BY ticker, side ORDER BY day RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING)"
 
+#: What is correlated with the spend, by the name that the report gives it.
+METRICS = {"n_members": "n_members", "gross_volume": "gross", "weighted_net_flow": "weighted_net"}
+
 ACTIVITY_VIEWS = {
     "quarterly": _BY_QUARTER,
+    # Trades beside the spend of the same quarter and of one and two quarters before; without lobbying the spend is 0.
+    "overlaid": "SELECT k.lag_quarters, t.*, coalesce(s.spend, 0.0) AS lobbied, coalesce(s.filings, 0) AS filings FROM quarterly t CROSS JOIN (VALUES (0), (1), (2)) AS k(lag_quarters) LEFT JOIN spend s ON s.ticker = t.ticker AND s.q + k.lag_quarters = t.q",
+    "measured": " UNION ALL ".join(f"SELECT lag_quarters, '{m}' AS metric, round(lobbied, 6) AS x, round(abs(CAST({c} AS DOUBLE)), 6) AS y FROM overlaid" for m, c in METRICS.items()),
+    "placed": "SELECT lag_quarters, metric, rank() OVER (PARTITION BY lag_quarters, metric ORDER BY x) + (count(*) OVER (PARTITION BY lag_quarters, metric, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY lag_quarters, metric ORDER BY y) + (count(*) OVER (PARTITION BY lag_quarters, metric, y) - 1) / 2.0 AS b FROM measured",
     "sided": _SIDED,
     # Every trade opens a window of 14 days.
     "windows": f"SELECT DISTINCT ticker, side, transaction_date, CAST(MEMBERS_IN[member_id; {_WINDOW}] AS BIGINT) AS n_members, count(*) {_WINDOW} AS n_trades, sum(amount_est) {_WINDOW} AS volume, sum(weighted) {_WINDOW} AS weighted_volume FROM sided",
@@ -54,10 +61,11 @@ LEFT JOIN members m ON m.member_id = a.member_id LEFT JOIN scores90 s ON s.membe
     "median_delay_upper": "SELECT min(filing_delay_days) AS median_delay FROM (SELECT filing_delay_days, sum(n) OVER (ORDER BY filing_delay_days) AS upto, sum(n) OVER () AS total FROM (SELECT filing_delay_days, count(*) AS n FROM trades GROUP BY filing_delay_days) a) b WHERE upto >= floor(total / 2) + 1",
     "cluster_detector": "SELECT ticker, side, transaction_date AS window_start, SHIFT[transaction_date; 14] AS window_end, n_members, n_trades, round(volume, 2) AS volume, round(weighted_volume, 1) AS weighted_volume FROM (SELECT *, row_number() OVER (PARTITION BY ticker, side, n_members ORDER BY weighted_volume DESC, transaction_date) AS k FROM windows WHERE n_members >= 4) x WHERE k = 1 ORDER BY x.n_members DESC, x.weighted_volume DESC, ticker, side LIMIT 40",
     "lobbying_by_quarter": "SELECT ticker, quarter, round(spend, 2) AS spend, filings, registrants FROM spend",
-    "trades_by_quarter": "SELECT ticker, quarter, n_trades, n_members, round(gross, 2) AS gross, round(net, 2) + 0.0 AS net FROM quarterly",
+    "trades_by_quarter": "SELECT ticker, quarter, n_trades, n_members, round(gross, 2) AS gross, round(net, 2) + 0.0 AS net, round(weighted_net, 1) + 0.0 AS weighted_net FROM quarterly",
     **{f"lobbying_overlay_lag{k}": f"SELECT t.ticker, t.quarter, t.n_trades, round(t.net, 2) + 0.0 AS net, round(s.spend, 2) AS spend FROM quarterly t LEFT JOIN spend s ON s.ticker = t.ticker AND s.q + {k} = t.q" for k in (0, 1, 2)},
-    "lobbying_rollup": "SELECT ticker, round(sum(spend), 2) AS spend, CAST(sum(filings) AS BIGINT) AS filings FROM spend GROUP BY ticker ORDER BY spend DESC, ticker LIMIT 40",
-    "correlation_report": "SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM (SELECT rank() OVER (ORDER BY s.spend) + (count(*) OVER (PARTITION BY s.spend) - 1) / 2.0 AS a, rank() OVER (ORDER BY abs(t.net)) + (count(*) OVER (PARTITION BY abs(t.net)) - 1) / 2.0 AS b FROM quarterly t JOIN spend s ON s.ticker = t.ticker AND s.q = t.q) x",
+    "lobbying_rollup": "SELECT ticker, round(sum(lobbied), 2) AS spend, CAST(sum(filings) AS BIGINT) AS filings, CAST(sum(n_members) AS BIGINT) AS n_members, round(sum(gross), 2) AS gross, round(sum(weighted_net), 1) + 0.0 AS weighted_net FROM overlaid WHERE lag_quarters = 0 GROUP BY ticker ORDER BY spend DESC, ticker LIMIT 40",
+    # t_stat has n - 2 degrees of freedom.
+    "correlation_report": "SELECT lag_quarters, metric, n, round(rho, 6) + 0.0 AS rho, round(rho * sqrt((n - 2) / nullif(1 - rho * rho, 0.0)), 4) + 0.0 AS t_stat FROM (SELECT lag_quarters, metric, count(*) AS n, corr(a, b) AS rho FROM placed GROUP BY lag_quarters, metric HAVING count(*) >= 10) x",
     "universe": "SELECT CAST(row_number() OVER (ORDER BY 0.5 * p_members + 0.25 * p_trades + 0.25 * p_volume DESC, ticker) AS INT) AS place, ticker, n_members, n_trades, round(volume, 2) AS volume, round(0.5 * p_members + 0.25 * p_trades + 0.25 * p_volume, 6) AS score FROM ranked ORDER BY score DESC, ticker LIMIT 50",
     "trades_without_score": "SELECT t.txn_id FROM trades t LEFT ANTI JOIN scores90 s ON s.member_id = t.member_id",
     "topk_per_ticker": "SELECT ticker, txn_id, amount_est, CAST(k AS INT) AS k FROM (SELECT ticker, txn_id, amount_est, row_number() OVER (PARTITION BY ticker ORDER BY amount_est DESC, txn_id) AS k FROM trades) x WHERE k <= 3",

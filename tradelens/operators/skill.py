@@ -46,6 +46,14 @@ FROM scorable t CROSS JOIN span s""",
 SELECT e.txn_id, e.member_id, e.ticker, e.lag_days, ((e.pxf / e.px0 - 1) - (e.bpxf / e.bpx0 - 1)) * e.direction AS pre,
   ((p.px / e.pxf - 1) - (p.bpx / e.bpxf - 1)) * e.direction AS post
 FROM disclosed e JOIN relative p ON p.ticker = e.ticker AND p.date = e.d1 WHERE p.px > 0 AND p.bpx > 0""",
+    # The post-disclosure edge of members with enough trades, shrunk as the scores are; a spread needs two trades, these have more.
+    "edges": f"""
+SELECT member_id, count(*) AS n_scored, avg(pre) AS mean_pre, avg(post) AS mean_post, stddev_samp(post) AS sd_post, avg(CASE WHEN post > 0 THEN 1.0 ELSE 0.0 END) AS post_hit_rate, median(lag_days) AS median_lag
+FROM split WHERE member_id IS NOT NULL GROUP BY member_id HAVING count(*) >= {MIN_TRADES}""",
+    "edgeprior": """
+SELECT sum(mean_post * n_scored) / sum(n_scored) AS mu, greatest(coalesce(var_samp(mean_post), 0.0) - avg(sd_post * sd_post / n_scored), 1e-9) AS tau2 FROM edges""",
+    "edgeshrunk": "SELECT e.*, p.mu, p.mu + p.tau2 / (p.tau2 + e.sd_post * e.sd_post / e.n_scored) * (e.mean_post - p.mu) AS shrunk_post FROM edges e CROSS JOIN edgeprior p",
+    "edgespread": "SELECT CASE WHEN stddev_samp(shrunk_post) = 0 THEN 1.0 ELSE stddev_samp(shrunk_post) END AS spread FROM edgeshrunk",
     "aged": """
 SELECT t.ticker, t.direction, a.age_days, greatest(SHIFT[t.filed_date; a.age_days], s.lo) AS d0, greatest(SHIFT[t.filed_date; a.age_days + 90], s.lo) AS d1
 FROM scorable t CROSS JOIN (VALUES (0), (15), (30), (45), (60), (75), (90), (105), (120), (135), (150), (165), (180)) AS a(age_days) CROSS JOIN span s""",
@@ -73,5 +81,9 @@ SELECT count(*) AS n, round(avg(pre), 6) + 0.0 AS mean_pre, round(avg(post), 6)
     "decay_half_life": """
 SELECT count(*) AS n_ages, CASE WHEN count(*) >= 3 AND regr_slope(ln(mean_excess), CAST(age_days AS DOUBLE)) < 0 THEN round(-ln(2.0) / regr_slope(ln(mean_excess), CAST(age_days AS DOUBLE)), 3) END AS half_life_days
 FROM curve WHERE mean_excess > 0""",
-    "capturable_scores": "SELECT member_id, count(*) AS n_scored, round(avg(post), 6) + 0.0 AS mean_post, round(avg(pre), 6) + 0.0 AS mean_pre FROM split GROUP BY member_id HAVING count(*) >= 5",
+    "capturable_scores": """
+SELECT member_id, n_scored, round(mean_post, 6) + 0.0 AS mean_post, round(mean_pre, 6) + 0.0 AS mean_pre, round(sd_post, 6) AS sd_post, round(post_hit_rate, 6) AS post_hit_rate, CAST(median_lag AS DOUBLE) AS median_lag,
+  round(mean_post / nullif(sd_post / sqrt(n_scored), 0.0), 4) + 0.0 AS t_post, round(shrunk_post, 6) + 0.0 AS shrunk_post,
+  CASE WHEN w.spread IS NOT NULL THEN round(least(greatest(1.0 + (shrunk_post - mu) / (2 * w.spread), 0.25), 2.0), 4) END AS capturable_weight
+FROM edgeshrunk e CROSS JOIN edgespread w""",
 }
