@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from tradelens.llm.mixing import GRID, fit_rates, mix, mixed_documents
+from tradelens.llm.mixing import FEATURES, GRID, fit_rates, mix, mixed_documents, shares
 
 WEIGHTS = {"a": 0.3, "b": 0.5, "c": 0.2}
 
@@ -49,3 +50,22 @@ def test_odd_input(spark):
     blank = odd.filter("text is null or text = ''")
     rate, targets = fit_rates(mix(blank, labels, WEIGHTS).select("shares", "n_words"), WEIGHTS)
     assert sum(targets.values()) == 0 and rate is not None
+
+
+@pytest.mark.parametrize("floor", [0.0, 1.0])
+@pytest.mark.parametrize("part", [0.003, 0.001])
+def test_scarce_domain_reaches_its_target(spark, floor, part):
+    goal = [0.50, 0.14, 0.14, 0.12, 0.10]
+    one_hot = [([float(GRID * (k == j)) for j in range(5)], int(1_000_000 * w)) for k, w in enumerate([0.7 - part, 0.1, 0.1, 0.1, part])]
+    shared = spark.createDataFrame(one_hot, "shares array<double>, n_words long")
+    rate, targets = fit_rates(shared, dict(zip("abcde", goal, strict=True)), floor)
+    rows = shared.withColumn("r", rate).collect()
+    for k, want in enumerate(targets.values()):
+        assert sum(r.n_words * r.shares[k] / GRID * r.r for r in rows) == pytest.approx(want, rel=2e-4)
+
+
+def test_small_posteriors_count():
+    weights = np.zeros((FEATURES, 3), np.float32)
+    weights[7] = [5, 0, 0]
+    found = shares(weights, np.array([7]), np.array([1.0]))
+    assert found.sum() == pytest.approx(GRID) and 0 < found[1] < 0.5

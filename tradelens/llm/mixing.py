@@ -1,12 +1,13 @@
 """Mixing by soft membership: a classifier gives each text's share in each domain, and rates are fitted to target weights.
 
-Rates r >= floor minimise the distance between the domains' expected tokens, sum of r * share * tokens, and their targets.
-The projected gradient runs distributed: a step needs the domains' current totals alone, one number each, and a text's
-rate follows from its shares and the steps so far, so neither rates nor texts come to the driver.
+Rates r >= floor meet the domains' targets of expected tokens, sum of r * share * tokens, as nearly as they can be met, and
+stay as near to 1 as that allows. The fit runs distributed: a step needs sums over the domains and their pairs alone, and a
+text's rate follows from its shares and one multiplier for each domain, so neither rates nor texts come to the driver.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,16 +15,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.shared import cut
+from tradelens.llm.shared import cut, written
 from tradelens.llm.toxicity import token_buckets
 
 FEATURES = 1 << 15
 #: At most so many labelled rows are learnt from, those with the smallest hashes of their ids.
 MAX_TRAIN = 4000
 EPOCHS, RATE = 12, 0.5
-#: Shares are whole multiples of 1 / GRID, so texts of equal shares are summed before the fit; their number is bounded.
+#: Shares are given in parts of GRID; they are not rounded.
 GRID = 20
+#: Steps at most, and how far a domain's total may be from its target, relative to the target.
 MAX_STEPS, CLOSE = 60, 1e-4
+#: What misses cost: they are relative misses of SLACK times the multiplier, so that targets out of reach have a solution too.
+SLACK = 1e-7
+_log = logging.getLogger(__name__)
 EXTRA = 5
 
 
@@ -59,13 +64,10 @@ def train(texts: list[tuple[np.ndarray, np.ndarray, int]], domain: np.ndarray, n
 
 
 def shares(weights: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Posteriors in whole parts of GRID: rounded down, and the largest remainders (then the first domains) get what is left."""
+    """Posteriors in parts of GRID."""
     z = w @ weights[at].astype(np.float64)
     p = np.exp(z - z.max())
-    p = p / p.sum() * GRID
-    out = np.floor(p).astype(np.int64)
-    out[np.argsort(out - p, kind="stable")[: GRID - out.sum()]] += 1
-    return out
+    return p / p.sum() * GRID
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int = MAX_TRAIN) -> np.ndarray:
@@ -85,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int =
 
 
 def with_shares(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """All columns of docs (with text), n_words and shares: array of int, in parts of GRID."""
+    """All columns of docs (with text), n_words and shares: array of double, in parts of GRID."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
     docs = docs.drop("n_words", "shares")
     fields = "".join(f", `{c.name}` {c.dataType.simpleString()}" for c in docs.schema)[2:]
@@ -97,47 +99,63 @@ def with_shares(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 at, w, size = features(text.as_py())
                 n.append(size)
                 found.append(shares(model.value, at, w).tolist())
-            yield pa.RecordBatch.from_pydict(dict(zip(batch.schema.names, batch.columns, strict=True)) | {"n_words": pa.array(n, pa.int64()), "shares": pa.array(found, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict(dict(zip(batch.schema.names, batch.columns, strict=True)) | {"n_words": pa.array(n, pa.int64()), "shares": pa.array(found, pa.list_(pa.float64()))})
 
-    return docs.mapInArrow(run, fields + ", n_words long, shares array<int>")
+    return docs.mapInArrow(run, fields + ", n_words long, shares array<double>")
 
 
-def _rate(steps: list[np.ndarray], floor: float) -> Column:
-    """A text's rate after the steps, each projected to floor and above."""
-    if not steps:
-        return F.lit(max(1.0, floor))
-    moves = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    along = lambda s: F.aggregate(F.zip_with("shares", s, lambda a, b: a * b / GRID), F.lit(0.0), lambda t, x: t + x)
-    return F.aggregate(moves, F.lit(max(1.0, floor)), lambda r, s: F.greatest(F.lit(float(floor)), r - along(s)))
+def _rate(multipliers: np.ndarray, floor: float) -> Column:
+    """A text's rate by the domains' multipliers."""
+    along = sum((F.col("shares")[k] * float(m / GRID) for k, m in enumerate(multipliers)), F.lit(0.0))
+    return F.greatest(F.lit(float(floor)), F.lit(max(1.0, floor)) - along)
 
 
 def fit_rates(shared: DataFrame, weights: dict[str, float], floor: float = 0.0) -> tuple[Column, dict[str, float]]:
     """The rate as a column of shared (shares, n_words), and each domain's target of expected words.
 
     The targets sum to the words there are, or to more where a floor needs it: as much as makes every domain's target at
-    least its floor's words. A domain without words keeps what it can get. Steps are gradients of the squared errors over
-    the targets, scaled by a text's own words, which leaves the projection as it is.
+    least its floor's words. A domain without words keeps what it can get. Of the rates that meet the targets those nearest
+    to 1 (weighted by words) are max(floor, 1 - multipliers * shares); the multipliers, one for each domain, come from
+    Newton steps on the dual problem. The largest relative miss is logged, as a warning where it is above CLOSE.
     """
     goal = np.array([*weights.values()], float)
     goal = goal / goal.sum()
-    totals = [F.coalesce(F.sum(F.col("n_words") * F.col("shares")[k] / GRID * F.col("r")), F.lit(0.0)) for k in range(len(goal))]
-    bins = cut(shared.groupBy("shares").agg(F.sum("n_words").alias("n_words")))
-    now = np.array(bins.withColumn("r", F.lit(1.0)).agg(*totals).first(), float)
+    d, start = len(goal), max(1.0, floor)
+    rows = written(shared.select("shares", "n_words").filter("n_words > 0"))
+    s = [F.col("shares")[k] / GRID for k in range(d)]
+    now = np.array(rows.agg(*[F.coalesce(F.sum(F.col("n_words") * x), F.lit(0.0)) for x in s]).first(), float)
     target = goal * max(now.sum(), floor * (now / goal).max())
-    # The curvature bound: sum over texts of words * share * share', each row of it at most the domain's words over its target.
-    steps: list[np.ndarray] = []
+    named = dict(zip(weights, target, strict=True))
     if now.sum() == 0:
-        return _rate(steps, floor), dict(zip(weights, target, strict=True))
-    scale = 1 / np.sqrt(np.maximum(target, 1e-9))
-    pairs = [F.sum(F.col("n_words") * F.col("shares")[j] * F.col("shares")[k] / GRID**2) for j in range(len(goal)) for k in range(len(goal))]
-    gram = np.array(bins.agg(*pairs).first(), float).reshape(len(goal), -1) * np.outer(scale, scale)
-    size = 1 / max(np.linalg.eigvalsh(gram).max(), 1e-12)
+        return _rate(np.zeros(d), floor), named
+    words, want = float(now.sum()), target / now.sum()
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual's value, the domains' totals, and the curvature, all per word."""
+        r, n = _rate(m, floor), F.col("n_words") / words
+        along = sum((s[k] * float(m[k]) for k in range(d)), F.lit(0.0))
+        free = F.when(F.lit(start) - along > floor, n).otherwise(F.lit(0.0))
+        value = F.sum(n * ((r - start) * (r - start) / 2 + r * along))
+        found = rows.agg(value, *[F.sum(n * r * x) for x in s], *[F.sum(free * s[j] * s[k]) for j in range(d) for k in range(d)]).first()
+        return found[0] - m @ want - SLACK / 2 * (want * m * m).sum(), np.array(found[1 : d + 1], float), np.array(found[d + 1 :], float).reshape(d, d)
+
+    m = np.zeros(d)
+    value, totals, curve = at(m)
+    size, step = 1.0, None
     for _ in range(MAX_STEPS):
-        now = np.array(bins.withColumn("r", _rate(steps, floor)).agg(*totals).first(), float)
-        if np.abs(now - target).max() <= CLOSE * target.sum():
+        slope = totals - want - SLACK * want * m
+        if np.abs(slope / want).max() <= CLOSE / 10:
             break
-        steps.append(size * (now - target) * scale * scale)
-    return _rate(steps, floor), dict(zip(weights, target, strict=True))
+        if step is None:
+            step = np.linalg.solve(curve + np.diag(SLACK * want), slope)
+        tried = at(m + size * step)
+        if tried[0] >= value + 1e-4 * size * (slope @ step) - 1e-12 * abs(value):
+            m, (value, totals, curve), size, step = m + size * step, tried, 1.0, None
+        else:
+            size /= 4
+    miss = float(np.abs(totals / want - 1).max())
+    _log.log(logging.WARNING if miss > CLOSE else logging.INFO, "mixing: largest miss of a target %.2e of it; by domain %s", miss, dict(zip(weights, (totals / want - 1).round(6).tolist(), strict=True)))
+    return _rate(m, floor), named
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], floor: float = 0.0, max_train: int = MAX_TRAIN) -> DataFrame:
