@@ -3,6 +3,7 @@
 import pandas as pd
 import pytest
 
+from tradelens.operators.activity import timeline
 from tradelens.plans.catalogue import ALL_VIEWS, QUERIES
 from tradelens.plans.dialect import spark_frame
 
@@ -60,3 +61,13 @@ def test_capturable_scores(spark):
     res["shrunk"], res["t"] = shrunk, res.post / (res.sd / res.n**0.5)
     got = {r.member_id: [r.n_scored, r.mean_post, r.sd_post, r.post_hit_rate, r.median_lag, r.capturable_weight, r.shrunk_post, r.t_post] for r in QUERIES["capturable_scores"](spark, SF).collect()}
     assert got and got == {i: pytest.approx(list(r), abs=1e-4) for i, r in zip(res.index, res.itertuples(index=False, name=None), strict=True) for r in [(r[0], *r[1:5], *r[5:])]}
+
+
+def test_member_timeline(spark):
+    frame = QUERIES["member_timeline"](spark, SF).cache()
+    got = {r.txn_id: r.member_id for r in frame.collect()}
+    trades = spark_frame(spark, SF, "SELECT txn_id, member_id FROM trades", ALL_VIEWS).distinct().collect()
+    assert got == {r.txn_id: r.member_id for r in trades} and len(set(got.values())) > 1
+    assert {"filing_delay_days", "amount_low", "amount_high", "owner"} <= set(frame.columns)
+    one = spark_frame(spark, SF, timeline(1), ALL_VIEWS)
+    assert sorted(one.collect()) == sorted(frame.filter("member_id = 1").collect())

@@ -37,6 +37,14 @@ ACTIVITY_VIEWS = {
     "ranked": "SELECT *, (rank() OVER (ORDER BY n_members) + (count(*) OVER (PARTITION BY n_members) - 1) / 2.0) / count(*) OVER () AS p_members, (rank() OVER (ORDER BY n_trades) + (count(*) OVER (PARTITION BY n_trades) - 1) / 2.0) / count(*) OVER () AS p_trades, (rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0) / count(*) OVER () AS p_volume FROM recent",
 }
 
+
+def timeline(member_id: int | None = None) -> str:
+    """The trades of each member, or of one, with their excess return after 90 days."""
+    one = "" if member_id is None else f" WHERE t.member_id = {int(member_id)}"
+    own = "t.member_id, t.txn_id, t.ticker, t.transaction_date, t.filed_date, t.filing_delay_days, t.direction, t.amount_low, t.amount_high, t.amount_est, t.owner"
+    return f"SELECT {own}, round(max(CASE WHEN r.horizon_days = 90 THEN r.excess_return END), 5) + 0.0 AS excess_90 FROM trades t LEFT JOIN returns r ON r.txn_id = t.txn_id{one} GROUP BY {own}"
+
+
 ACTIVITY_QUERIES = {
     "ticker_leaderboard": f"""
 SELECT t.ticker, count(DISTINCT t.member_id) AS n_members, count(*) AS n_trades, CAST(sum(CASE WHEN t.direction > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_buys,
@@ -53,7 +61,7 @@ FROM (SELECT member_id, count(*) AS n_trades, count(DISTINCT ticker) AS n_ticker
   FROM trades t WHERE {USABLE} GROUP BY member_id ORDER BY n_trades DESC, gross DESC, member_id LIMIT 100) a
 LEFT JOIN members m ON m.member_id = a.member_id LEFT JOIN scores90 s ON s.member_id = a.member_id""",
     **{f"flow_timeseries_{k}": f"SELECT {p} AS period, {_FLOW} FROM trades t WHERE {USABLE} GROUP BY {p}" for k, p in PERIODS.items()},
-    "member_timeline": "SELECT t.txn_id, t.ticker, t.transaction_date, t.filed_date, t.direction, t.amount_est, round(max(CASE WHEN r.horizon_days = 90 THEN r.excess_return END), 5) + 0.0 AS excess_90 FROM trades t LEFT JOIN returns r ON r.txn_id = t.txn_id WHERE t.member_id = 1 GROUP BY t.txn_id, t.ticker, t.transaction_date, t.filed_date, t.direction, t.amount_est",
+    "member_timeline": timeline(),
     "disclosure_delay_stats": "SELECT m.chamber, m.party, count(*) AS n, round(avg(t.filing_delay_days), 4) AS mean_delay, min(t.filing_delay_days) AS min_delay, max(t.filing_delay_days) AS max_delay, round(avg(CASE WHEN t.filing_delay_days > 45 THEN 100.0 ELSE 0.0 END), 4) AS pct_late FROM trades t JOIN members m ON m.member_id = t.member_id GROUP BY m.chamber, m.party",
     "delay_histogram": f"SELECT {_BUCKET} AS bucket, count(*) AS n FROM trades GROUP BY {_BUCKET}",
     "summary_counts": "SELECT count(*) AS n_trades, count(DISTINCT member_id) AS n_members, count(DISTINCT ticker) AS n_tickers, round(sum(amount_est), 2) AS volume, round(avg(filing_delay_days), 4) AS mean_delay, round(avg(CASE WHEN filing_delay_days > 45 THEN 100.0 ELSE 0.0 END), 4) AS pct_late FROM trades",
