@@ -1,18 +1,24 @@
 """Self-join of texts on the Jaccard similarity of their shingles, exact, by partitioning the universe of shingles.
 
 Sizes fall into bands. A band has a number of segments, and every shingle falls into one of them by its hash. Two sets of
-sizes x <= y that link differ in at most H = (x + y) * (1 - J) / (1 + J) shingles, so of any H + 1 segments that are not empty
-in one of them, one is alike in both (pigeonhole). A set is indexed by the contents of its segments:
-
-- Segments are allotted by cost. Empty ones get nothing. Contents that very many sets share (a common passage) get nothing
-  either, as long as enough others remain; a set that is left with too few is "short", and its frequent contents are
-  joined apart, among short sets alone.
-- In the band of the smallest sets H is 1. There a set is one segment, allotted two differences: it is indexed by
-  itself and by what is left after any one deletion.
-- A small set whose shingles happen to fill too few segments is also indexed by single shingles, in the order of their
+sizes x <= y that link differ in at most H = (x + y) * (1 - J) / (1 + J) shingles. A segment that is allotted e errors is
+found again by its signatures while the two differ in no more than e shingles there, so the pair meets as soon as the
+allotted errors, each plus one, add up to more than H (pigeonhole). Errors are allotted by cost:
+
+- None to an empty segment, nor to contents that very many sets share (a common passage), as long as enough others remain.
+  A set that is left with too few is "short", and its frequent contents are joined apart, among short sets alone.
+- In bands under DELETED, where sets are small and a few shingles are seldom theirs alone, segments are large and have one
+  error each: the contents themselves and what is left after any one deletion (no deletion of a segment's only shingle).
+  In the smallest band the whole set is one segment. Such a segment costs one signature for each shingle.
+- In larger bands that costs more than more and smaller segments without an error: one signature each.
+- A set whose shingles happen to fill too few segments is also indexed by single shingles, in the order of their
   hashes, up to H + 1.
 
-Whoever shares an entry is a candidate. Candidates that size and a sketch do not rule out are verified on the texts' own shingles, so hashes decide nothing.
+Whoever shares a signature is a candidate. A parity sketch rules out nearly all that cannot link: of two sets' bits, one
+for each bin of hashes, no more can differ than their shingles do. Candidates' components are then compared in blocks, each
+text moving once for a small component, and there shingles are told apart by their words, so no hash makes a link.
+Bands, signatures and n_shingles rest on 64-bit hashes that are derived from a cryptographic hash of each word: a text of a
+million words has a chance of 3e-8 that two of its shingles count as one.
 """
 
 from __future__ import annotations
@@ -27,25 +33,29 @@ from pyspark.sql import functions as F
 
 from tradelens.llm.components import components
 from tradelens.llm.shared import written
-from tradelens.llm.textkit import Spans, mixed, word_spans, words
+from tradelens.llm.textkit import mixed, word_hashes, words
 
 SHINGLE = 5
 #: The similarity as a fraction.
 NUM, DEN = 75, 100
 #: The smallest sets (H = 0 or 1) are one band; from TINY on, each band spans sizes up to GROWTH times its start.
-TINY, GROWTH, FILL = 6, 3, 2.2
+TINY, GROWTH = 6, 3
+#: Bands under this have segments of about WIDE shingles with one error, others of about FILL without.
+DELETED, WIDE, FILL = 3, 4.0, 2.2
 #: An entry of more sets than this is frequent.
 FREQUENT = 32
-#: Bins of the sketch that bounds the overlap of two sets from above.
-BINS = 128
-#: Short sets of a frequent entry are compared in tiles of so many.
+#: Short sets of a frequent entry, and the texts of a component, are compared in tiles of blocks of so many.
 TILE = 512
-#: Candidates are broadcast to filter the texts while they are fewer than this (16 bytes each), else joined by shuffle.
+#: A block has about so many shingles at most.
+BLOCK_SHINGLES = 1_000_000
+#: Shingles in more of a tile's texts than this are counted by a matrix product, others pair by pair.
+DENSE = 16
+#: A table of ids is broadcast while it has fewer rows than this (some 40 bytes each), else joined by shuffle.
 FEW_IDS = 500_000
-#: A class of copies is repeated so often where its records join it.
-SALTS = 8
+#: A class of more documents than this is joined to its records by a broadcast of its one row.
+HOT_CLASS = 50_000
 _SEGMENT, _DELETED, _SINGLE = 1, 2, 3
-OWN, LOWER, SINGLES = 0, 1, 2
+OWN, LOWER, SINGLES, ONE_ERROR = 0, 1, 2, 4
 
 
 def most_apart(x: int, y: int) -> int:
@@ -70,20 +80,35 @@ def band_start(k: int) -> int:
 
 
 def n_segments(k: int) -> int:
-    return int(band_start(k + 1) / FILL) + 4
+    return int(band_start(k + 1) / WIDE) + 1 if k < DELETED else int(band_start(k + 1) / FILL) + 4
 
 
 def shingle_hashes(found: list[bytes]) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted."""
     if not found:
         return np.zeros(0, np.uint64)
-    joined = b" ".join(found)
-    starts, ends = word_spans(joined)
-    if len(found) > SHINGLE:
-        starts, ends = starts[: 1 - SHINGLE], ends[SHINGLE - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    return np.unique(Spans(joined).hashes(starts, ends))
+    h = word_hashes(found)
+    n = min(len(found), SHINGLE)
+    total = np.full(len(h) - n + 1, n, np.uint64)
+    for k in range(n):
+        total = mixed(total * np.uint64(3) + h[k : len(h) - n + 1 + k])
+    return np.unique(total)
+
+
+def sketch_of(h: np.ndarray) -> bytes:
+    """The parity of each bin, a power of two of them, no fewer than the shingles."""
+    if not len(h):
+        return b""
+    size = max(64, 1 << (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """Shingles that sets with these sketches differ in at least: the bits that differ, of the longer one folded to the shorter."""
+    if len(x) > len(y):
+        x, y = y, x
+    folded = np.bitwise_xor.reduce(np.frombuffer(y, np.uint8).reshape(-1, len(x)), axis=0)
+    return int.from_bytes(x).__xor__(int.from_bytes(folded.tobytes())).bit_count()
 
 
 def _tag(k: int, kind: int, part: np.ndarray | int) -> np.ndarray:
@@ -91,12 +116,17 @@ def _tag(k: int, kind: int, part: np.ndarray | int) -> np.ndarray:
 
 
 def _segments(h: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-    """Entries of a set in band k's segments, and how many of them it has beyond those needed at least."""
+    """Signatures of a set in band k's segments, and the errors, each plus one, that they are allotted."""
     m = n_segments(k)
     at = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascends with the hashes
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    total = np.add.reduceat(mixed(h), first)
-    return mixed(total + _tag(k, _SEGMENT, at[first])), len(first)
+    spread = mixed(h)
+    total, size = np.add.reduceat(spread, first), np.diff(np.append(first, len(h)))
+    whole = mixed(total + _tag(k, _SEGMENT, at[first]))
+    if k >= DELETED:
+        return whole, len(first)
+    left = np.repeat(total, size) - spread
+    return np.concatenate((whole, mixed(left + _tag(k, _SEGMENT, at))[np.repeat(size, size) > 1])), int(np.minimum(size, 2).sum())
 
 
 def entries(h: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
@@ -116,7 +146,7 @@ def entries(h: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
             continue
         found, n = _segments(h, b)
         need = (most_apart(s, largest_partner(s)) if scheme == OWN else most_apart(band_start(k) - 1, s)) + 1
-        out.append((scheme, found, n - need))
+        out.append((scheme + ONE_ERROR * (b < DELETED), found, n - need))
         if n < need:
             order = np.sort(mixed(h ^ np.uint64(0x5DEECE66D)))[:need]
             out.append((SINGLES, mixed(order + _tag(b, _SINGLE, 0)), 0))
@@ -129,7 +159,7 @@ def _arrays(sets: Iterator[tuple[int, list[tuple[int, np.ndarray, int]], int]],
     for node, found, size in sets:
         for scheme, e, slack in found:
             nodes.append(node)
-            sizes.append(size * 4 + scheme)
+            sizes.append(size * 8 + scheme)
             slacks.append(max(-30_000, min(30_000, slack)))
             lens.append(len(e))
             sigs.append(e)
@@ -153,7 +183,7 @@ def _arrays(sets: Iterator[tuple[int, list[tuple[int, np.ndarray, int]], int]],
                "low": s.astype(np.uint32).tobytes(), "high": (s >> np.uint64(32)).astype(np.uint16).tobytes()}
 
 
-_INDEX = "bucket int, ids binary, n binary, digests binary, sketches binary, nodes binary, sizes binary, slacks binary, counts binary, low binary, high binary"
+_INDEX = "bucket int, ids binary, n binary, digests array<binary>, sketches array<binary>, nodes binary, sizes binary, slacks binary, counts binary, low binary, high binary"
 _FOUND = "kind int, a long, b long, n int, slack int, digest binary, sketch binary"
 _DOC, _PAIR, _FREQUENT = 0, 1, 2
 
@@ -173,11 +203,10 @@ def _index(docs: DataFrame, n_buckets: int) -> DataFrame:
             for batch in batches:
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                     found = words(text.as_py())
-                    digest = hashlib.blake2b(b" ".join(found), digest_size=16).digest()
+                    digest = _digest(found)
                     if (seen := known.get(digest)) is None:
                         h = shingle_hashes(found)
-                        sketch = np.bincount((h // np.uint64((1 << 64) // BINS)).astype(np.int64), minlength=BINS).astype(np.uint32).astype("<u2" if len(h) < 60_000 else "<u4").tobytes()
-                        seen = known[digest] = len(h), sketch
+                        seen = known[digest] = len(h), sketch_of(h)
                         yield _node(digest), entries(h), len(h)
                     ids.append(doc_id)
                     n.append(seen[0])
@@ -186,26 +215,22 @@ def _index(docs: DataFrame, n_buckets: int) -> DataFrame:
 
         packed = {x["bucket"]: x for x in _arrays(sets(), n_buckets)}
         to = mixed(np.array(ids, np.int64).astype(np.uint64)) % np.uint64(n_buckets) if ids else np.zeros(0, np.uint64)
+        order = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[order], np.arange(n_buckets + 1, dtype=np.uint64))
         for b in range(n_buckets):
-            mine = np.flatnonzero(to == b)
+            mine = order[edges[b] : edges[b + 1]]
             row = packed.pop(b, None) or {"bucket": b} | dict.fromkeys(("nodes", "sizes", "slacks", "counts", "low", "high"), b"")
             if not len(mine) and not row["nodes"]:
                 continue
-            row |= {"ids": np.array([ids[i] for i in mine], np.int64).tobytes(), "n": np.array([n[i] for i in mine], np.int32).tobytes(), "digests": b"".join(digests[i] for i in mine), "sketches": b"".join(_wide(sketches[i]) for i in mine)}
+            row |= {"ids": np.array([ids[i] for i in mine], np.int64).tobytes(), "n": np.array([n[i] for i in mine], np.int32).tobytes(), "digests": [digests[i] for i in mine], "sketches": [sketches[i] for i in mine]}
             yield pa.RecordBatch.from_pylist([row], schema=_index_schema())
 
     return docs.mapInArrow(run, _INDEX)
 
 
-def _wide(sketch: bytes) -> bytes:
-    """A sketch as one length for all sets: 16 bits a bin, where 65535 stands for "this or more"."""
-    if len(sketch) == 2 * BINS:
-        return sketch
-    return np.minimum(np.frombuffer(sketch, "<u4"), 65_535).astype("<u2").tobytes()
-
-
 def _index_schema() -> pa.Schema:
-    return pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("ids", "n", "digests", "sketches", "nodes", "sizes", "slacks", "counts", "low", "high")])
+    lists = {"digests", "sketches"}
+    return pa.schema([("bucket", pa.int32())] + [(c, pa.list_(pa.binary()) if c in lists else pa.binary()) for c in ("ids", "n", "digests", "sketches", "nodes", "sizes", "slacks", "counts", "low", "high")])
 
 
 def _found_table(kind: int, a=(), b=(), n=(), slack=(), digest=None, sketch=None) -> pa.Table:
@@ -221,9 +246,9 @@ def _found_table(kind: int, a=(), b=(), n=(), slack=(), digest=None, sketch=None
 def _in_bucket(rows: pa.Table) -> pa.Table:
     """Documents' records; candidate pairs of entries that few sets share; the owners of frequent entries."""
     join = lambda c, t: np.frombuffer(b"".join(x.as_py() or b"" for x in rows.column(c)), t)
-    ids, digests, sketches = join("ids", np.int64), join("digests", np.uint8), join("sketches", np.uint8)
-    fixed = lambda x, w: pa.Array.from_buffers(pa.binary(w), len(x) // w, [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
-    out = [_found_table(_DOC, ids, n=join("n", np.int32), digest=fixed(digests, 16), sketch=fixed(sketches, 2 * BINS))] if len(ids) else []
+    ids = join("ids", np.int64)
+    flat = lambda c: rows.column(c).combine_chunks().flatten()
+    out = [_found_table(_DOC, ids, n=join("n", np.int32), digest=flat("digests"), sketch=flat("sketches"))] if len(ids) else []
     counts = join("counts", np.int32)
     if len(counts):
         node, size, slack = (np.repeat(join(c, t), counts) for c, t in (("nodes", np.int64), ("sizes", np.int32), ("slacks", np.int16)))
@@ -241,7 +266,7 @@ def _in_bucket(rows: pa.Table) -> pa.Table:
             for at in range(0, len(starts), step := max(1, 2_000_000 // len(i))):
                 block = starts[at : at + step, None]
                 x, y = (block + i).ravel(), (block + j).ravel()
-                a, b = size[x] >> 2, size[y] >> 2
+                a, b = size[x] >> 3, size[y] >> 3
                 near = np.minimum(a, b).astype(np.int64) * DEN >= np.maximum(a, b).astype(np.int64) * NUM
                 pairs.append(np.unique(np.stack((node[x[near]], node[y[near]])), axis=1))
         if pairs and (both := np.unique(np.concatenate(pairs, axis=1), axis=1)).size:
@@ -254,56 +279,12 @@ def _in_bucket(rows: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else _found_table(_DOC)
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b: doc_ids) whose texts link. texts: doc_id, text."""
-    pairs = written(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    few = ids.count() <= FEW_IDS
-    needed = written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
-    left, right = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), needed.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple] = {}
-
-        def sets(doc_id: int, text) -> tuple:
-            if doc_id not in known:
-                if len(known) >= 256:
-                    known.clear()
-                found = words(text.as_py())
-                known[doc_id] = found, shingle_hashes(found)
-            return known[doc_id]
-
-        for batch in batches:
-            keep = []
-            for a, b, left, right in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
-                (xw, x), (yw, y) = sets(a, left), sets(b, right)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                # hashes only turn down; what they let pass is compared itself
-                keep.append(DEN * same >= NUM * (len(x) + len(y) - same) and similar(xw, yw))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-    return written(both.mapInArrow(run, "a long, b long"))
-
-
 def shingles(found: list[bytes]) -> set[tuple[bytes, ...]]:
     if not found:
         return set()
     return {tuple(found[i : i + SHINGLE]) for i in range(max(1, len(found) - SHINGLE + 1))}
 
 
-def similar(x: list[bytes], y: list[bytes]) -> bool:
-    a, b = shingles(x), shingles(y)
-    same = len(a & b)
-    return same > 0 and DEN * same >= NUM * (len(a) + len(b) - same)
-
-
-def _bound(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """What sets with these sketches and sizes can share at most."""
-    bins = np.minimum(x, y)
-    return np.where((bins >= 65_535).any(axis=-1), np.minimum(nx, ny), bins.sum(axis=-1, dtype=np.int64))
-
-
 def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of class ids without those that size and sketch rule out, so that no texts move for them."""
     of = classes.select("class_id", "n", "sketch")
@@ -311,40 +292,140 @@ def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BINS) for c in ("sa", "sb"))
-            nx, ny = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            bound = _bound(x, y, nx, ny)
-            keep = pa.array(DEN * bound >= NUM * (nx + ny - bound))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+            columns = [batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")]
+            keep = [least_apart(x, y) <= most_apart(m, n) for m, n, x, y in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    near = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
+    return both.filter(near).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
+def _stars(near: np.ndarray, names: np.ndarray) -> pa.Table:
+    """(a, b): each name beside the smallest that it is joined to by the symmetric matrix near."""
+    todo, a, b = np.ones(len(names), bool), [], []
+    for root in np.argsort(names, kind="stable"):
+        if not todo[root]:
+            continue
+        front, todo[root] = np.array([root]), False
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & todo)
+            todo[front] = False
+            a += [int(names[root])] * len(front)
+            b += names[front].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _tile_stars(rows: pa.Table) -> pa.Table:
+    """Sets of one tile of a frequent entry that may link by size and sketch, directly or in steps, as stars."""
+    side, node, size = (np.asarray(rows.column(c)) for c in ("side", "node", "size"))
+    sketches = rows.column("sketch").to_pylist()
+    near = np.zeros((len(node), len(node)), bool)
+    within = bool(rows.column("i")[0].as_py() == rows.column("j")[0].as_py())
+    lengths = np.array([len(x) for x in sketches])
+    bits = {w: np.frombuffer(b"".join(sketches[i] for i in np.flatnonzero(lengths == w)), np.uint64).reshape(-1, w // 8) for w in np.unique(lengths)}
+    for w, x in bits.items():
+        mine = np.flatnonzero(lengths == w)
+        for v, y in bits.items():
+            if v < w or v > 2 * w:  # larger ones are too large; each two lengths once
+                continue
+            theirs, folded = np.flatnonzero(lengths == v), np.bitwise_xor.reduce(y.reshape(len(y), -1, w // 8), axis=1)
+            for p, own in zip(mine, x, strict=True):
+                apart = np.bitwise_count(folded ^ own).sum(axis=1, dtype=np.int64)
+                fits = (apart <= (size[theirs] + size[p]) * (DEN - NUM) // (DEN + NUM)) & (np.minimum(size[theirs], size[p]) * DEN >= np.maximum(size[theirs], size[p]) * NUM)
+                near[p, theirs] = fits & (within | (side[theirs] != side[p]))
+    near |= near.T
+    np.fill_diagonal(near, False)
+    return _stars(near, node)
+
+
+def _numbered(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) pairs, each once; a shingle's number stands for its words, not for a hash."""
+    names: dict[bytes, int] = {}
+    short: dict[tuple[bytes, ...], int] = {}
+    ids = [np.fromiter((names.setdefault(w, len(names)) for w in t), np.int64, len(t)) for t in texts]
+    length = np.array([len(t) for t in texts])
+    w, owner = np.concatenate(ids), np.repeat(np.arange(len(texts)), length)
+    few = [(i, short.setdefault(tuple(t), len(short))) for i, t in enumerate(texts) if 0 < len(t) < SHINGLE]
+    owners, numbers = np.array([i for i, _ in few], np.int64), np.array([k for _, k in few], np.int64)
+    if len(w) >= SHINGLE:
+        rank = lambda x: np.unique(x, return_inverse=True)[1]
+        two = rank(w[:-1] * len(names) + w[1:])
+        four = rank(two[:-2] * len(w) + two[2:])
+        five = four[:-1] * len(names) + w[4:]
+        inside = owner[:-4] == owner[4:]
+        code = np.unique(owner[:-4][inside] * len(w) + rank(five[inside]))
+        owners, numbers = np.concatenate((owners, code // len(w))), np.concatenate((numbers, code % len(w) + len(short)))
+    return owners, numbers
+
+
+def shared(owners: np.ndarray, numbers: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles each two of n texts share."""
+    order = np.argsort(numbers, kind="stable")
+    owners, numbers = owners[order], numbers[order]
+    first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+    df = np.diff(np.append(first, len(numbers)))
+    out = np.zeros(n * n, np.int64)
+    for d in np.unique(df[(df > 1) & (df <= DENSE)]):
+        i, j = np.triu_indices(int(d), 1)
+        starts = first[df == d]
+        for at in range(0, len(starts), step := max(1, 4_000_000 // len(i))):
+            block = starts[at : at + step, None]
+            out += np.bincount((owners[block + i] * n + owners[block + j]).ravel(), minlength=n * n)
+    out = out.reshape(n, n)
+    out += out.T
+    many = first[df > DENSE]
+    for at in range(0, len(many), 2048):
+        dense = np.zeros((n, 2048), np.float32)
+        for k, f in enumerate(many[at : at + 2048]):
+            dense[owners[f : np.searchsorted(numbers, numbers[f], "right")], k] = 1
+        out += np.rint(dense @ dense.T).astype(np.int64)
+    return out
 
-def _tile_pairs(rows: pa.Table) -> pa.Table:
-    """Pairs of short sets of one tile that differ in component, fit in size and may overlap enough by their sketches.
 
-    A pair that shares several entries comes from the tile of the smallest alone.
+def _digest(found: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(found), digest_size=16).digest()
+
+
+def _verified(rows: pa.Table) -> pa.Table:
+    """The links of one tile: stars (a, b), and for each class id how many of the tile's texts link with it (b null)."""
+    held: dict[bytes, tuple[int, int, list[bytes]]] = {}
+    for class_id, side, digest, text in zip(*(rows.column(c) for c in ("class_id", "side", "digest", "text")), strict=True):
+        if digest.as_py() not in held:
+            found = words(text.as_py())
+            if _digest(found) == digest.as_py():  # another row may have the id, too
+                held[digest.as_py()] = class_id.as_py(), side.as_py(), found
+    names, side = np.array([x[0] for x in held.values()], np.int64), np.array([x[1] for x in held.values()])
+    blank = {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}
+    if len(held) < 2:
+        return pa.table(blank)
+    owners, numbers = _numbered([x[2] for x in held.values()])
+    size = np.bincount(owners, minlength=len(held))
+    same = shared(owners, numbers, len(held))
+    linked = (DEN * same >= NUM * (size[:, None] + size - same)) & (same > 0)
+    if rows.column("i")[0].as_py() != rows.column("j")[0].as_py():
+        linked &= side[:, None] != side
+    np.fill_diagonal(linked, False)
+    stars, n = _stars(linked, names), linked.sum(axis=1)
+    some = n > 0
+    counts = pa.table({"a": names[some], "b": pa.nulls(int(some.sum()), pa.int64()), "n": n[some].astype(np.int64)})
+    return pa.concat_tables([stars.append_column("n", pa.nulls(stars.num_rows, pa.int64())), counts])
+
+
+def verify(candidates: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, n): the links inside the components of candidates, as stars (a, b) and as counts n for each class id a.
+
+    A component is dealt to blocks of bounded size, and each two blocks meet in one tile, so every pair is compared once.
     """
-    lists, entry = rows.column("entries").combine_chunks(), rows.column("entry")[0].as_py()
-    flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    names, at = np.unique(flat[flat < entry], return_inverse=True)
-    has = np.zeros((len(lists), len(names)), np.float32)
-    has[owner[flat < entry], at] = 1
-    earlier = has @ has.T > 0
-    side, node, size, comp = (np.asarray(rows.column(c)) for c in ("side", "node", "size", "comp"))
-    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
-    own = bool(rows.column("i")[0].as_py() == rows.column("j")[0].as_py())
-    left = np.flatnonzero(side == 0)
-    right = left if own else np.flatnonzero(side == 1)
-    out = [np.zeros((2, 0), np.int64)]
-    for p in left:
-        q = right[(comp[right] != comp[p]) & (np.minimum(size[right], size[p]) * DEN >= np.maximum(size[right], size[p]) * NUM)]
-        q = q[node[q] > node[p]] if own else q
-        bound = _bound(sketch[q], sketch[p], size[q], size[p])
-        q = q[(DEN * bound >= NUM * (size[q] + size[p] - bound)) & ~earlier[p, q]]
-        out.append(np.stack((np.minimum(node[q], node[p]), np.maximum(node[q], node[p]))))
-    both = np.unique(np.concatenate(out, axis=1), axis=1)
-    return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
+    comp = components(candidates).toDF("class_id", "comp")
+    placed = classes.filter("n > 0").select("class_id", "digest", "n").join(comp, "class_id")
+    blocks = placed.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = placed.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    placed = written(placed.select(F.col("class_id").alias("doc_id"), "digest", "comp", "blocks", "block"))
+    few = placed.count() <= FEW_IDS
+    found = docs.join(F.broadcast(placed) if few else placed, "doc_id")
+    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"), F.when(F.col("block") <= k, 0).otherwise(1).alias("side")))
+    tiles = found.select(F.col("doc_id").alias("class_id"), "digest", "comp", "text", F.inline(to))
+    return written(tiles.groupBy("comp", "i", "j").applyInArrow(_verified, "a long, b long, n long"))
 
 
 def _by_class(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -354,72 +435,73 @@ def _by_class(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return named.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _rest(held: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a frequent entry, are not joined by links yet and may still link.
+def _frequent(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of nodes that join, by steps, whatever shares a frequent entry and may link.
 
-    An entry whose short sets are all in one component is done. The others' sets are dealt to tiles of pairs of blocks, so
-    no task takes a whole group; a tile gives only pairs that size, component and sketch allow.
+    Each entry's sets are dealt to blocks, and each two blocks meet in a tile, so no task takes a whole group.
     """
-    labels = components(links).toDF("class_id", "comp")
-    nodes = classes.filter("n > 0").join(labels, "class_id", "left").groupBy("node").agg(F.min(F.coalesce("comp", "class_id")).alias("comp"), F.max("sketch").alias("sketch"))
-    placed = written(held.join(nodes, "node"))
-    open_ = placed.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).filter("lo < hi")
-    open_ = open_.select("entry", F.ceil(F.col("g") / TILE).cast("int").alias("blocks"))
-    rows = placed.join(open_, "entry").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sketches = classes.filter("n > 0").groupBy("node").agg(F.max("sketch").alias("sketch"))
+    blocks = held.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    rows = held.join(sketches, "node").join(blocks, "entry").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"), F.when(F.col("block") <= k, 0).otherwise(1).alias("side")))
-    mine = rows.groupBy("node").agg(F.collect_set("entry").alias("entries"))  # no more than the set's own entries
-    tiles = rows.join(mine, "node").select("entry", "node", "size", "comp", "sketch", "entries", F.inline(to))
-    return tiles.groupBy("entry", "i", "j").applyInArrow(_tile_pairs, "a long, b long").distinct()
+    tiles = rows.select("entry", "node", "size", "sketch", F.inline(to))
+    return tiles.groupBy("entry", "i", "j").applyInArrow(_tile_stars, "a long, b long").distinct()
 
 
-def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents and links of docs (doc_id, text).
+def ngram_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id and n_links for every row of docs (doc_id, text).
 
-    The first has doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) and class_id
-    (the smallest doc_id with the same words) for every row. The second has links (a, b) between class ids, enough of them
-    for all components: where sets share a frequent entry, pairs inside a component already joined are left untested.
+    component_id is the smallest doc_id reachable by links, itself included; class_id the smallest doc_id with the same
+    words; n_links the number of other classes that the text links with: every link between different texts counts.
 
     A null text, or one without words, has no shingles and links with nothing. Rows with a null doc_id are left out, as no
-    id can stand for them; repeated rows count as copies and each gets a row. More columns are left out; an empty table
-    gives empty results.
+    id can stand for them; repeated rows count as copies and each gets a row; different texts under one doc_id are one
+    document to components. More columns are left out, whatever their names; an empty table gives an empty result. A very
+    long text is compared whole, in a block of its own if need be.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     n_buckets = max(8, docs.rdd.getNumPartitions())
     found = written(_index(docs, n_buckets).groupBy("bucket").applyInArrow(_in_bucket, _FOUND))
 
     records = found.filter(F.col("kind") == _DOC).select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "digest", "sketch")
-    classes = records.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    classes = records.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("size"))
     classes = written(classes.withColumn("node", _node_of(F.col("digest"))))
     twins = classes.filter("n > 0").groupBy("node").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).filter("a < b").select("a", "b")
 
     # Entries of few sets gave pairs at once. Frequent ones count only for short sets: those that have too few others.
-    pairs = found.filter(F.col("kind") == _PAIR).select("a", "b")
-    owners = found.filter(F.col("kind") == _FREQUENT).select(F.col("a").alias("node"), F.col("b").alias("entry"), F.expr("n div 4").cast("int").alias("size"), F.expr("n % 4").alias("scheme"), "slack")
-    short = owners.groupBy("node", "scheme").agg(F.count(F.lit(1)).alias("n"), F.max("slack").alias("most")).filter("n > most").selectExpr("node", "scheme", "n - most as needed")
+    pairs = found.filter(F.col("kind") == _PAIR).select("a", "b").distinct()
+    owners = found.filter(F.col("kind") == _FREQUENT).select(F.col("a").alias("node"), F.col("b").alias("entry"), F.expr("n div 8").cast("int").alias("size"), F.expr("n % 8").alias("scheme"), "slack")
+    # A frequent signature of a segment with one error may take both of its units.
+    one_error = F.col("scheme") >= ONE_ERROR
+    lost = F.col("n") * F.when(one_error, 2).otherwise(1)
+    short = owners.groupBy("node", "scheme").agg(F.count(F.lit(1)).alias("n"), F.max("slack").alias("most")).filter(lost > F.col("most"))
+    short = short.select("node", "scheme", F.when(one_error, F.col("n")).otherwise(F.col("n") - F.col("most")).alias("needed"))
     # As many as the pigeonhole needs beside the others, the same first ones for all sets: those with the smallest hashes.
     place = F.row_number().over(Window.partitionBy("node", "scheme").orderBy("entry"))
     held = owners.join(short, ["node", "scheme"]).withColumn("place", place).filter("place <= needed")
     held = written(held.select("node", "entry", "size").distinct())
-    # Near copies of one text share many frequent entries; a star in each joins most of them before anything is compared.
-    star = held.join(held.groupBy("entry").agg(F.min("node").alias("a")), "entry").filter("node <> a").select("a", F.col("node").alias("b"))
-    candidates = _by_class(pairs.unionByName(star).distinct(), classes).unionByName(twins).distinct()
-    links = verify(may_link(candidates, classes), docs)
-    if not held.isEmpty():
-        links = written(links.unionByName(verify(_by_class(_rest(held, links, classes), classes), docs)).distinct())
+    stars = written(_frequent(held, classes))
+    # Stars of frequent entries stand for pairs that passed already; they join candidates and need not pass themselves.
+    candidates = written(may_link(_by_class(pairs, classes), classes).unionByName(twins).unionByName(_by_class(stars, classes)))
+    links = verify(candidates, classes, docs)
 
-    labels = components(links).toDF("class_id", "label")
-    named = classes.select("digest", "class_id").join(labels, "class_id", "left").select("digest", "class_id", F.coalesce("label", "class_id").alias("component_id"))
-    return _named(records, named), links
+    labels = components(links.filter("b is not null").select("a", "b")).toDF("class_id", "label")
+    counts = links.filter("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("n_links"))
+    named = classes.select("digest", "class_id", "size").join(labels, "class_id", "left").join(counts, "class_id", "left")
+    return _named(records, named.select("digest", "class_id", "size", F.coalesce("label", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
 
 
 def _named(records: DataFrame, named: DataFrame) -> DataFrame:
-    """Each record with its class and component. Classes are repeated for each salt,
-    so the rows of a large group of copies spread over tasks."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = records.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(named.withColumn("salt", salts), ["digest", "salt"])
+    """Each record with its class and component. Of the few classes that have very many documents the rows are broadcast."""
+    hot = written(named.filter(F.col("size") > HOT_CLASS))
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id"))  # texts without words link with nothing, not even with each other
-    return joined.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce(own, "component_id").alias("component_id"), F.coalesce(own, "class_id").alias("class_id"))
+    columns = ["doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce(own, "component_id").alias("component_id"), F.coalesce(own, "class_id").alias("class_id"), "n_links"]
+    parts = [(records, named)]
+    if hot.count():  # no more than one for HOT_CLASS documents
+        keys = F.broadcast(hot.select("digest"))
+        parts = [(records.join(keys, "digest", "left_anti"), named.filter(F.col("size") <= HOT_CLASS)), (records, F.broadcast(hot))]
+    joined = [x.join(y, "digest").select(*columns) for x, y in parts]
+    return joined[0] if len(joined) == 1 else joined[0].unionByName(joined[1])
 
 
 def _node_of(digest):
@@ -431,8 +513,9 @@ def _node_of(digest):
 def near_duplicates_kept(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each group: the one whose doc_id names the component stays.
 
-    Documents without words link with nothing and stay. Of repeated rows with the doc_id that stays, all stay.
+    Documents without words link with nothing and stay. Rows with a null doc_id are not joined and stay. Of repeated rows
+    with the doc_id that stays, all stay.
     """
-    groups, _ = ngram_join(docs)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = ngram_join(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    gone = docs.select("doc_id").filter("doc_id is not null").distinct().join(kept, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti")

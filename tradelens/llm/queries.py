@@ -31,7 +31,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
-    return ngram_join(table(spark, sf_dir, "documents"))[0]
+    return ngram_join(table(spark, sf_dir, "documents"))
 
 
 def op2_bpe_codec(spark, sf_dir):

@@ -1,7 +1,9 @@
-"""Words and their hashes over the bytes of a text, vectorised with numpy."""
+"""Words and their hashes, vectorised with numpy."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _MASK = (1 << 64) - 1
@@ -49,14 +51,21 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_spans(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word begins and ends in words joined by single spaces."""
-    if not joined:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    return np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)]))
+class _WordHashes(dict):
+    """The 64-bit cryptographic hash of each word, kept for the words that come again while there is room."""
+
+    ROOM = 1 << 20
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.ROOM:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
+
+
+_HASHES = _WordHashes()
 
 
 def word_hashes(found: list[bytes]) -> np.ndarray:
-    joined = b" ".join(found)
-    return Spans(joined).hashes(*word_spans(joined))
+    """Different words share a hash only by a chance of 1 in 2**64, whatever they are."""
+    return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
