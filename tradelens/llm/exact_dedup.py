@@ -19,8 +19,8 @@ MIN, MAX = 512, 8191
 #: Marks: every eighth code point of Latin-1. Other scripts are cut at MAX, which equal texts share too.
 MARKS = "".join(f"\\x{c:02X}" for c in range(0x21, 0x100) if c % 8 == 3)
 CHUNK = f"(?s).{{{MIN},{MAX}}}?[{MARKS}] (?=[{MARKS}])|.{{1,{MAX + 1}}}"
-#: A group of copies is dealt to so many tasks by the ids of its rows.
-SALTS = 16
+#: A group of more copies than this is joined to its rows by a broadcast of its one row.
+HOT_GROUP = 50_000
 
 
 def normalised(text: Column) -> Column:
@@ -56,10 +56,18 @@ def exact_dedup(docs: DataFrame, fingerprint: Callable[[Column], Column] = lambd
     recipes = cut(recipes)
 
     groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    # A large group's rows must not meet in one task: the group is repeated for each salt, its rows are dealt by id.
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = recipes.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)), F.lit(0)).cast("int"))
-    return salted.join(groups, ["recipe", "salt"], "left").select(
+    groups = cut(groups)
+    hot = groups.filter(F.col("group_size") > HOT_GROUP)
+    if hot.isEmpty():
+        joined = recipes.join(groups, "recipe", "left")
+    else:
+        # The rows of a large group must not meet in one task. There is one such group for HOT_GROUP rows at most.
+        named = recipes.join(F.broadcast(hot.withColumnsRenamed({"keep_id": "hot_id", "group_size": "hot_size"})), "recipe", "left").withColumn("rest", F.col("hot_size").isNull())
+        cold = groups.filter(F.col("group_size") <= HOT_GROUP)
+        columns = ["doc_id", "text_sha256", "keep_id", "group_size"]
+        large = named.filter(~F.col("rest")).select("doc_id", "text_sha256", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"))
+        joined = named.filter("rest").drop("hot_id", "hot_size", "rest").join(cold, "recipe", "left").select(*columns).unionByName(large)
+    return joined.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -82,6 +90,9 @@ def _extended(chunked: DataFrame, contents: DataFrame, clashes: DataFrame, finge
 
 
 def exact_duplicates_dropped(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows without a doc_id can't be told apart and go."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs that stay, with all their columns.
+
+    Rows without a doc_id can't be told apart by one and stay. Rows that repeat the kept doc_id all stay.
+    """
+    gone = exact_dedup(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -1,7 +1,8 @@
 """Quality rules of documents and of the hosts they come from, with DataFrame functions alone.
 
 Rules are measured on every whole text. Their failures are counted by host, each host's rates are shrunk towards what
-hosts have in common (an empirical beta prior), and hosts whose shrunk rate is too high lose all their documents.
+hosts have in common (an empirical beta prior), and hosts that surely fail a rule far more often than hosts commonly do
+lose all their documents.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ SYMBOLS = "#*$%&|<>"
 #: Rule name: what makes a document fail it.
 BASE_RULES = {"short": "n_words < 20", "repetitive": "100 * n_repeat_words > 30 * n_words"}
 HOST_RULES = BASE_RULES | {"symbols": "10 * n_symbols > word_chars and n_words > 0", "lines": "4 * n_dup_lines > n_lines and n_lines > 3"}
-#: A host goes when a shrunk rate of failures is over this.
-MAX_RATE = 0.5
+#: A host goes when the odds of failing a rule are over FACTOR times the common odds, even at SDS standard deviations of
+#: the posterior under its shrunk rate.
+FACTOR, SDS = 3.0, 3.0
 
 
 def _let(value: Column, use) -> Column:
@@ -79,39 +81,41 @@ def measures(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "source", "n_words", "word_chars", "n_symbols", F.col("lines.n_dup").cast("long").alias("n_dup_lines"), "n_repeat_words", F.col("lines.n_lines").cast("long").alias("n_lines"))
 
 
-def host_verdicts(measured: DataFrame, rules: dict[str, str] = HOST_RULES, max_rate: float = MAX_RATE) -> DataFrame:
+def host_verdicts(measured: DataFrame, rules: dict[str, str] = HOST_RULES, factor: float = FACTOR, sds: float = SDS) -> DataFrame:
     """source, n_docs, a shrunk rate for each rule and host_kept.
 
     The prior's mean and weight are fitted to the hosts' rates by their moments: the spread of rates beyond what chance
-    gives for their sizes. Without any such spread, or with one host, hosts are shrunk wholly to the common rate.
+    gives for their sizes. Without any such spread, or with one host, hosts are shrunk wholly to the common rate and stay.
     """
     counts = [F.sum(F.when(F.expr(r), 1).otherwise(0)).alias(f"f_{k}") for k, r in rules.items()]
     hosts = measured.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), *counts)
     fits = []
     for k in rules:
-        fits += [(F.sum(f"f_{k}") / F.sum("n_docs")).alias(f"m_{k}"), F.var_pop(F.col(f"f_{k}") / F.col("n_docs")).alias(f"v_{k}"), F.avg(1 / F.col("n_docs")).alias("chance")]
+        fits += [F.avg(F.col(f"f_{k}") / F.col("n_docs")).alias(f"m_{k}"), F.var_pop(F.col(f"f_{k}") / F.col("n_docs")).alias(f"v_{k}"), F.avg(1 / F.col("n_docs")).alias("chance")]
     prior = hosts.agg(*{str(c): c for c in fits}.values())
     joined = hosts.crossJoin(F.broadcast(prior))  # the prior is one row
-    rates = []
+    rates, bad = [], []
     for k in rules:
         m, v, f = F.col(f"m_{k}"), F.col(f"v_{k}"), F.col(f"f_{k}")
         spread = F.greatest(v - m * (1 - m) * F.col("chance"), F.lit(0.0))
         weight = F.when(spread > 0, F.greatest(m * (1 - m) / spread - 1, F.lit(0.0)))
-        rates.append(F.when(weight.isNull(), m).otherwise((f + weight * m) / (F.col("n_docs") + weight)).alias(f"rate_{k}"))
-    shrunk = joined.select("source", "n_docs", *rates)
-    return shrunk.withColumn("host_kept", F.greatest(*[F.col(f"rate_{k}") for k in rules], F.lit(0.0)) <= max_rate)
+        rate = F.when(weight.isNull(), m).otherwise((f + weight * m) / (F.col("n_docs") + weight))
+        least = F.greatest(rate - sds * F.sqrt(rate * (1 - rate) / (F.col("n_docs") + weight + 1)), F.lit(0.0))
+        rates.append(rate.alias(f"rate_{k}"))
+        bad.append(F.coalesce(least * (1 - m) > factor * m * (1 - least), F.lit(False)))
+    return joined.select("source", "n_docs", *rates, (~F.array_contains(F.array(*bad), True)).alias("host_kept"))
 
 
-def quality(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+def quality(docs: DataFrame, factor: float = FACTOR) -> DataFrame:
     """doc_id, the measures, base_failed, kept and the host's verdict for every row of docs (doc_id, text, source).
 
     A document is kept unless it fails a base rule or its host's verdict is bad. A null source is a host of its own.
-    A null or empty text has no words and fails as short. Repeated rows count each; more columns are left out; an empty
-    table gives an empty result.
+    A null or empty text has no words and fails as short. Very long texts are measured
+    whole. Repeated rows count each; more columns are left out; an empty table gives an empty result.
     """
     measured = cut(measures(docs))
     # Hosts are far fewer than documents, but their table is joined by whichever way its size allows.
-    hosts = host_verdicts(measured, max_rate=max_rate).select(F.col("source").alias("host"), "host_kept")
+    hosts = host_verdicts(measured, factor=factor).select(F.col("source").alias("host"), "host_kept")
     failed = F.expr(" or ".join(f"({r})" for r in BASE_RULES.values()))
     joined = measured.join(hosts, measured["source"].eqNullSafe(hosts["host"]), "left").withColumn("base_failed", failed)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"), F.coalesce("host_kept", F.lit(True)).alias("host_kept"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tradelens.llm.shared import ascii_lower, cut, partitions
 
 URL = "^(?s)(?:(?!://).)*://([^/?#]*)([^?#]*)"
+#: The stacks with which partitions begin are broadcast while there are no more partitions than this, else joined by shuffle.
+FEW_PARTS = 20_000
 STACK = "array<struct<size:int,host_size:int,path:string,rule:string,verdict:string>>"
 
 
@@ -63,6 +65,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     # What is open where a partition begins: the last stack of those before it. One row for each partition.
     last = swept.groupBy("part").agg(F.max_by("stack", F.when(F.col("stack").isNotNull(), F.struct("key", "side"))).alias("last"))
     before = last.select("part", F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    active = swept.withColumn("here", here).filter("side = 2").join(F.broadcast(before), "part", "left")
+    active = swept.withColumn("here", here).filter("side = 2").join(F.broadcast(before) if n <= FEW_PARTS else before, "part", "left")
     best = F.array_max(F.filter(F.coalesce("here", "before"), lambda r: F.col("path").startswith(r["path"])))
     return active.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
