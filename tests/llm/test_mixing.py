@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tradelens.llm.mixing import FEATURES, GRID, fit_rates, mix, mixed_documents, shares
+from tradelens.llm.mixing import FEATURES, fit_rates, mix, mixed_documents, shares
 
 WEIGHTS = {"a": 0.3, "b": 0.5, "c": 0.2}
 
@@ -24,7 +24,7 @@ def planted(spark):
 def test_targets(spark, floor):
     docs, labels = planted(spark)
     rows = mix(docs, labels.filter("doc_id < 200"), WEIGHTS, floor).collect()
-    totals = [sum(r.n_words * r.shares[k] / GRID * r.rate for r in rows) for k in range(3)]
+    totals = [sum(r.n_words * r.shares[k] * r.rate for r in rows) for k in range(3)]
     for got, want in zip(totals, WEIGHTS.values(), strict=True):
         assert abs(got / sum(totals) - want) < 0.01
     assert min(r.rate for r in rows) >= floor and all(0 <= r.copies - r.rate + 1 <= 2 for r in rows)
@@ -56,16 +56,32 @@ def test_odd_input(spark):
 @pytest.mark.parametrize("part", [0.003, 0.001])
 def test_scarce_domain_reaches_its_target(spark, floor, part):
     goal = [0.50, 0.14, 0.14, 0.12, 0.10]
-    one_hot = [([float(GRID * (k == j)) for j in range(5)], int(1_000_000 * w)) for k, w in enumerate([0.7 - part, 0.1, 0.1, 0.1, part])]
+    one_hot = [([float(k == j) for j in range(5)], int(1_000_000 * w)) for k, w in enumerate([0.7 - part, 0.1, 0.1, 0.1, part])]
     shared = spark.createDataFrame(one_hot, "shares array<double>, n_words long")
     rate, targets = fit_rates(shared, dict(zip("abcde", goal, strict=True)), floor)
     rows = shared.withColumn("r", rate).collect()
     for k, want in enumerate(targets.values()):
-        assert sum(r.n_words * r.shares[k] / GRID * r.r for r in rows) == pytest.approx(want, rel=2e-4)
+        assert sum(r.n_words * r.shares[k] * r.r for r in rows) == pytest.approx(want, rel=2e-4)
 
 
 def test_small_posteriors_count():
     weights = np.zeros((FEATURES, 3), np.float32)
     weights[7] = [5, 0, 0]
     found = shares(weights, np.array([7]), np.array([1.0]))
-    assert found.sum() == pytest.approx(GRID) and 0 < found[1] < 0.5
+    assert found.sum() == pytest.approx(1) and 0 < found[1] < 0.025
+
+
+def test_rates_are_the_least_squares_ones(spark):
+    """Against plain projected gradient steps on every document's rate, which approach the nearest rates that meet the targets."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.6, 0.4, 0.3], 60)
+    n = rng.integers(20, 90, 60)
+    shared = spark.createDataFrame([(x.tolist(), int(k)) for x, k in zip(p, n, strict=True)], "shares array<double>, n_words long")
+    rate, targets = fit_rates(shared, WEIGHTS)
+    got = np.array([r.r for r in shared.withColumn("r", rate).collect()])
+    want = np.array([*targets.values()])
+    lift = np.zeros(3)  # the steps' sum: the rates are the projection of what they add up to
+    for _ in range(40_000):
+        r = np.maximum(0, 1 + p @ lift)
+        lift += 0.3 * (want - (n * r) @ p) / n.sum()
+    assert got == pytest.approx(r, abs=2e-3) and (n * got) @ p == pytest.approx(want, rel=1e-4)

@@ -15,15 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.shared import cut, written
+from tradelens.llm.shared import bounded_sample, cut, written
 from tradelens.llm.toxicity import token_buckets
 
 FEATURES = 1 << 15
 #: At most so many labelled rows are learnt from, those with the smallest hashes of their ids.
 MAX_TRAIN = 4000
 EPOCHS, RATE = 12, 0.5
-#: Shares are given in parts of GRID; they are not rounded.
-GRID = 20
 #: Steps at most, and how far a domain's total may be from its target, relative to the target.
 MAX_STEPS, CLOSE = 60, 1e-4
 #: What misses cost: they are relative misses of SLACK times the multiplier, so that targets out of reach have a solution too.
@@ -64,17 +62,17 @@ def train(texts: list[tuple[np.ndarray, np.ndarray, int]], domain: np.ndarray, n
 
 
 def shares(weights: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Posteriors in parts of GRID."""
+    """The posteriors of the domains."""
     z = w @ weights[at].astype(np.float64)
     p = np.exp(z - z.max())
-    return p / p.sum() * GRID
+    return p / p.sum()
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int = MAX_TRAIN) -> np.ndarray:
     """Learns labels (doc_id, domain) from max_train labelled rows at most; rows of other domains are left out."""
     known = labels.filter(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # bounded by the parameter
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("domain").alias("domain"))
+    sample = bounded_sample(docs, chosen, "domain")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int =
 
 
 def with_shares(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """All columns of docs (with text), n_words and shares: array of double, in parts of GRID."""
+    """All columns of docs (with text), n_words and shares: array of double, which sum to 1."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
     docs = docs.drop("n_words", "shares")
     fields = "".join(f", `{c.name}` {c.dataType.simpleString()}" for c in docs.schema)[2:]
@@ -106,7 +104,7 @@ def with_shares(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def _rate(multipliers: np.ndarray, floor: float) -> Column:
     """A text's rate by the domains' multipliers."""
-    along = sum((F.col("shares")[k] * float(m / GRID) for k, m in enumerate(multipliers)), F.lit(0.0))
+    along = sum((F.col("shares")[k] * float(m) for k, m in enumerate(multipliers)), F.lit(0.0))
     return F.greatest(F.lit(float(floor)), F.lit(max(1.0, floor)) - along)
 
 
@@ -122,7 +120,7 @@ def fit_rates(shared: DataFrame, weights: dict[str, float], floor: float = 0.0)
     goal = goal / goal.sum()
     d, start = len(goal), max(1.0, floor)
     rows = written(shared.select("shares", "n_words").filter("n_words > 0"))
-    s = [F.col("shares")[k] / GRID for k in range(d)]
+    s = [F.col("shares")[k] for k in range(d)]
     now = np.array(rows.agg(*[F.coalesce(F.sum(F.col("n_words") * x), F.lit(0.0)) for x in s]).first(), float)
     target = goal * max(now.sum(), floor * (now / goal).max())
     named = dict(zip(weights, target, strict=True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words: the space and the controls 0x09 to 0x0D.
@@ -22,23 +22,44 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where that is unset, as in tests, a local session gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="tradelens-")
+
+
+#: Bytes of the texts that a classifier is fitted to.
+MAX_BYTES = 128_000_000
+
+
+def bounded_sample(docs: DataFrame, chosen: DataFrame, label: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """doc_id, text and label of the chosen (doc_id, label; bounded rows), whole texts up to max_bytes in all.
+
+    Those with the smallest hashes of their ids come first. Of several texts of one doc_id the smallest counts.
+    """
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min(label).alias(label))
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sizes = found.withColumn("upto", upto)  # one task, as the chosen rows are bounded
+    return sizes.filter(F.col("upto") <= max_bytes).select("doc_id", "text", label)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from the shared checkpoint folder, so lost executors lose no work.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests, a temporary folder stands in.
+    The folder is the session's spark.checkpoint.dir.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tradelens-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table in the shared checkpoint folder: compressed, and read by column."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tradelens-")
-    path = f"{shared}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradelens.llm.shared import bounded_sample
 from tradelens.llm.textkit import Spans
 
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 18, 8, 4, (1, 2, 3)
@@ -93,9 +94,14 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
     if n_pos in (0, len(toxic)):
         blank = [[np.zeros((BUCKETS, FILTERS), np.float32) for _ in range(w)] for w in WIDTHS]
         return Model(blank, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), -1e-3 if not n_pos else 1e-3, np.zeros(len(_LANGUAGES) + 1))
-    # The first dimension begins as a word's shrunk log-odds in one half of the texts; the network is fitted to the other.
-    half = rng.permutation(len(texts))
-    first, second = half[: len(half) // 2], half[len(half) // 2 :]
+    # The first dimension begins as a word's shrunk log-odds in two fifths of the texts; the network is fitted to two others,
+    # and thresholds are calibrated on the last fifth. Each part has its share of toxic texts.
+    parts: list[list[np.ndarray]] = [[], [], []]
+    for kind in (0, 1):
+        mine = rng.permutation(np.flatnonzero(toxic == kind))
+        for part, of in zip(parts, np.split(mine, [2 * len(mine) // 5, 4 * len(mine) // 5]), strict=True):
+            part.append(of)
+    first, second, last = (rng.permutation(np.concatenate(p)) for p in parts)
     seen = np.zeros((2, BUCKETS))
     for i in first:
         seen[int(toxic[i])][np.unique(texts[i])] += 1
@@ -155,13 +161,15 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
                 embed[word] -= 0.5 * g
     tables = [[(embed @ f[k]).astype(np.float32) for k in range(len(f))] for f in filters]
     model = Model(tables, biases, dense[-2], float(dense[-1][0]), np.zeros(len(_LANGUAGES) + 1))
-    logits = np.array([model.logit(texts[i]) for i in second])
-    langs = np.array([language(texts[i]) for i in second])
-    common = _threshold(logits, toxic[second])
+    if toxic[last].sum() in (0, len(last)):
+        last = second  # too few to spare any
+    logits = np.array([model.logit(texts[i]) for i in last])
+    langs = np.array([language(texts[i]) for i in last])
+    common = _threshold(logits, toxic[last])
     for k in range(len(model.thresholds)):
         mine = langs == k
-        enough = min(toxic[second][mine].sum(), (1 - toxic[second][mine]).sum()) >= 15
-        model.thresholds[k] = _threshold(logits[mine], toxic[second][mine]) if enough else common
+        enough = min(toxic[last][mine].sum(), (1 - toxic[last][mine]).sum()) >= 15
+        model.thresholds[k] = _threshold(logits[mine], toxic[last][mine]) if enough else common
     return model
 
 
@@ -191,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
             tokens = [token_buckets(x.as_py()).tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "toxic": batch.column("toxic"), "tokens": pa.array(tokens, pa.binary())})
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    sample = bounded_sample(docs, chosen, "toxic")
     found = sorted(sample.mapInArrow(encode, "doc_id long, toxic int, tokens binary").collect())
     return train([np.frombuffer(r.tokens, np.int32) for r in found], np.array([r.toxic for r in found], np.int64))
 
