@@ -1,14 +1,17 @@
-"""Katz backoff language model of two words: Good-Turing discounts, backoff weights that normalise exactly.
-
-Counts live in tables partitioned by n-gram: a bucket has all bigrams of its contexts, so all that a context's weight needs.
-Texts go there as packed arrays, each chunk's bigrams once with the places they have in its texts; a bucket asks the
-unigram table for its last words' counts, and only sums go back to the texts. A bigram that was learnt has its discounted relative frequency; any other
-falls back to its last word's unigram probability times the weight of its context, and an unknown word to what the
-unigrams' discounts have left. Over all known words and the one unknown, every context's probabilities sum to one.
+"""Katz backoff language model: Good-Turing discounts, backoff weights that normalise exactly, evaluated recursively.
+
+The order is a parameter. Counts live in a table that is partitioned by the last word of the context: a bucket has all
+n-grams of every order whose context ends in its words, so all that the weights of these contexts need. Texts go there as
+packed arrays, each chunk's n-grams of the highest order once with the places they have in its texts (those of lower
+orders are their endings); a bucket asks the unigram table for its last words' counts, and only sums go back to the
+texts. An n-gram that was learnt has its discounted relative frequency; any other falls back to the weight of its context
+times the probability of its ending, in the end to the unigram, and an unknown word to what the unigrams' discounts have
+left. Over all known words and the one unknown, every context's probabilities sum to one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,14 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.shared import written
+from tradelens.llm.shared import partitions, written
 from tradelens.llm.textkit import word_hashes, words
 
 #: Counts up to this are discounted.
 TOP = 5
 START, END = np.uint64(1), np.uint64(2)
 #: A chunk has at most so many tokens (or is a single text) and so many texts.
-CHUNK, CHUNK_TEXTS = 2_000_000, 50_000
+CHUNK, CHUNK_TEXTS = 3_000_000, 50_000
+#: Bytes of text to a bucket, so that a bucket fits into a task however large the corpus is.
+BUCKET_BYTES = 24_000_000
 
 
 def good_turing(n: dict[int, int]) -> dict[int, float]:
@@ -43,61 +48,84 @@ def _fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)), F.lit(-1))
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs, after a byte that tells how many, compressed."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or int(x.max()) < 1 << (8 * w))
-    return zstandard.compress(bytes([width]) + x.astype(f"<u{width}").tobytes(), 1)
+def _pack(x: np.ndarray, ascending: bool = False) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, byte by byte, compressed; ascending ones as their steps."""
+    x = x.astype(np.uint64)
+    if ascending and len(x):
+        x = np.concatenate((x[:1], x[1:] - x[:-1]))
+    width = next(w for w in range(1, 9) if w == 8 or not len(x) or int(x.max()) < 1 << (8 * w))
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return zstandard.compress(bytes([width]) + planes.tobytes(), 1)
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def _unpack(data: bytes, ascending: bool = False) -> np.ndarray:
     raw = zstandard.decompress(data)
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint64 if raw[0] == 8 else np.int64)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    x = out.view("<u8").ravel()
+    return np.cumsum(x, dtype=np.uint64) if ascending else x.astype(np.int64)
 
 
-def _hashes(data: bytes) -> np.ndarray:
-    return _unpack(data).astype(np.uint64)
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
-def _chunk(part: int, n_buckets: int, ids: list, train: list[bool], texts: list[np.ndarray]) -> Iterator[dict]:
-    """A chunk's documents (bucket -1) and its bigrams, dealt to buckets by the hash of the context.
+def _chunk(part: int, n_buckets: int, order: int, ids: list, train: list[bool], texts: list[np.ndarray]) -> Iterator[dict]:
+    """A chunk's documents (bucket -1) and its n-grams, dealt to buckets by the hash of the context's last word.
 
-    contexts, follow: each context and how many bigrams it begins; words, word: last words, and each bigram's place in them;
-    r: its count in training; texts: how many texts have it; doc, n: which ones, and how often each.
+    words: the hashes of the words in them; at: for each n-gram the places in words of its context's last word, its own
+    last word, and the words before, from the nearest on; r: its count in training; texts: how many texts have it;
+    doc, n: which ones, and how often each.
     """
     lengths = np.array([len(w) for w in texts])
     yield {"part": part, "bucket": -1, "doc_ids": [None if x is None else int(x) for x in ids], "train": train, "lengths": lengths.tolist()}
-    last = np.concatenate(texts)
-    context = np.append(START, last[:-1])
-    context[np.append(0, np.cumsum(lengths)[:-1])] = START
-    names = np.unique(np.append(last, START))
-    code = (np.searchsorted(names, context) * len(names) + np.searchsorted(names, last)) * len(texts) + np.repeat(np.arange(len(texts)), lengths)
-    code, n = np.unique(code, return_counts=True)
-    pair, doc = code // len(texts), code % len(texts)
-    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    names, last = np.unique(np.concatenate([*texts, [START]]), return_inverse=True)
+    last, place = last[:-1].astype(np.int32), np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+    start, before = int(np.searchsorted(names, START)), []
+    for k in range(1, order):
+        x = np.full(len(last), start, np.int32)
+        x[k:] = last[: len(last) - k]
+        x[place < k] = start
+        before.append(x)
+    columns = [before[0], last, *before[1:]]
+    del place, before, last
+    gram = np.zeros(int(lengths.sum()), np.int64)
+    for x in columns:  # ranks of growing tuples, so any order fits into 64 bits
+        _, gram = np.unique(gram * len(names) + x, return_inverse=True)
+    code, n = np.unique(gram * len(texts) + np.repeat(np.arange(len(texts)), lengths), return_counts=True)
+    gram_of, doc = code // len(texts), (code % len(texts)).astype(np.int32)
+    first = _runs(gram_of)
+    del gram_of
     r = np.add.reduceat(n * np.array(train)[doc], first)
-    ends = np.append(first[1:], len(pair))
-    left, right = pair[first] // len(names), pair[first] % len(names)
-    bucket = ((names[left] >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)  # ascends with the contexts
+    ends = np.append(first[1:], len(code))
+    del code
+    one = np.zeros(len(first), np.int64)
+    one[gram] = np.arange(len(gram))  # a token of each n-gram
+    columns = [x[one] for x in columns]
+    bucket = _dealt(names[columns[0]], n_buckets)  # ascends with the contexts' last words
     edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
     for b in np.flatnonzero(edges[1:] > edges[:-1]):
         of = slice(edges[b], edges[b + 1])
         inside = slice(first[of.start], ends[of.stop - 1])
-        contexts, follow = np.unique(left[of], return_counts=True)
-        words_, word = np.unique(right[of], return_inverse=True)
+        used, at = np.unique(np.concatenate([x[of] for x in columns]), return_inverse=True)
+        at = at.reshape(order, -1)
         yield {
-            "part": part, "bucket": int(b), "contexts": _pack(names[contexts]), "follow": _pack(follow), "words": _pack(names[words_]), "word": _pack(word),
-            "r": _pack(r[of]), "texts": _pack(ends[of] - first[of]), "doc": _pack(doc[inside]), "n": _pack(n[inside]),
+            "part": part, "bucket": int(b), "words": _pack(names[used], True), "at": [_pack(at[0], True), *(_pack(x) for x in at[1:])], "r": _pack(r[of]),
+            "texts": _pack(ends[of] - first[of]), "doc": _pack(doc[inside]), "n": _pack(n[inside]),
         }
 
 
-_BIGRAMS = ("contexts", "follow", "words", "word", "r")
+_GRAMS = ("words", "at", "r")
 _PLACES = ("texts", "doc", "n")
-_PACKED = pa.schema(
-    [("part", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64()))] + [(c, pa.binary()) for c in (*_BIGRAMS, *_PLACES)]
-)
+_PACKED = pa.schema([
+    ("part", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
+    ("words", pa.binary()), ("at", pa.list_(pa.binary())), ("r", pa.binary()), ("texts", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()),
+])
 
 
-def _packed(docs: DataFrame, n_buckets: int) -> DataFrame:
+def _packed(docs: DataFrame, n_buckets: int, order: int) -> DataFrame:
     """Chunks of docs (doc_id, train, text) of at most CHUNK tokens or a single text, as records by part and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +134,7 @@ def _packed(docs: DataFrame, n_buckets: int) -> DataFrame:
         tokens = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for row in _chunk(part, n_buckets, *held):
+            for row in _chunk(part, n_buckets, order, *held):
                 yield pa.RecordBatch.from_pylist([row], schema=_PACKED)
 
         for batch in batches:
@@ -121,41 +149,87 @@ def _packed(docs: DataFrame, n_buckets: int) -> DataFrame:
         if held[0]:
             yield from out()
 
-    return docs.mapInArrow(run, "part long, bucket int, doc_ids array<long>, train array<boolean>, lengths array<long>, " + ", ".join(f"{c} binary" for c in (*_BIGRAMS, *_PLACES)))
+    return docs.mapInArrow(run, "part long, bucket int, doc_ids array<long>, train array<boolean>, lengths array<long>, words binary, at array<binary>, r binary, texts binary, doc binary, n binary")
 
 
 @dataclass
 class _Bucket:
-    """A bucket's bigrams of all chunks. context and word: places in contexts and words; r: counts in training; of: for each chunk, its bigrams' places."""
+    """A bucket's n-grams of all chunks.
+
+    context[k], ending[k], r[k]: for each n-gram of order k + 2 the number of its context, the place of its ending among
+    those of order k + 1 (words, where k is 0), and its count in training; of: for each chunk, its n-grams' places.
+    """
 
-    contexts: np.ndarray
     words: np.ndarray
-    context: np.ndarray
-    word: np.ndarray
-    r: np.ndarray
+    context: list[np.ndarray]
+    ending: list[np.ndarray]
+    r: list[np.ndarray]
     of: list[np.ndarray]
 
+    def last(self) -> np.ndarray:
+        """The last word of each n-gram of order 2."""
+        return self.ending[0]
+
 
 def _bucket(rows: list[dict]) -> _Bucket:
-    lefts, rights = [_hashes(x["contexts"]) for x in rows], [_hashes(x["words"]) for x in rows]
-    contexts, words_ = np.unique(np.concatenate(lefts)), np.unique(np.concatenate(rights))
-    code = [
-        np.repeat(np.searchsorted(contexts, a), _unpack(x["follow"]).astype(np.int64)) * len(words_) + np.searchsorted(words_, b)[_unpack(x["word"]).astype(np.int64)]
-        for x, a, b in zip(rows, lefts, rights, strict=True)
-    ]
-    pair, at = np.unique(np.concatenate(code), return_inverse=True)
-    r = np.bincount(at, np.concatenate([_unpack(x["r"]) for x in rows]), len(pair)).astype(np.int64)
-    return _Bucket(contexts, words_, pair // len(words_), pair % len(words_), r, np.split(at, np.cumsum([len(c) for c in code])[:-1]))
-
-
-def _needs(rows: pa.Table) -> pa.Table:
-    """A bucket's last words with their counts in training, and its numbers of bigrams with each count up to TOP + 1 (kind: the count)."""
+    own = [_unpack(x["words"], True) for x in rows]
+    words_ = np.unique(np.concatenate(own))
+    columns = []
+    for k in range(len(rows[0]["at"])):
+        columns.append(np.concatenate([np.searchsorted(words_, w)[_unpack(x["at"][k], not k).astype(np.int64)].astype(np.int32) for x, w in zip(rows, own, strict=True)]))
+    context, gram = columns[0].astype(np.int64), columns[1].astype(np.int64)
+    contexts, endings, grams = [], [], []
+    for k, x in enumerate([columns[0], *columns[2:]]):
+        if k:
+            _, context = np.unique(context * len(words_) + x, return_inverse=True)
+        before = gram
+        names, gram = np.unique(gram * len(words_) + x, return_inverse=True)
+        one = np.zeros(len(names), np.int64)
+        one[gram] = np.arange(len(gram))
+        contexts.append(context[one].astype(np.int32))
+        endings.append(before[one].astype(np.int32))
+        grams.append(gram)
+    r = np.concatenate([_unpack(x["r"]) for x in rows])
+    counts = [np.bincount(g, r, len(c)).astype(np.int64) for g, c in zip(grams, contexts, strict=True)]
+    sizes = [len(_unpack(x["r"])) for x in rows]
+    return _Bucket(words_, contexts, endings, counts, np.split(grams[-1].astype(np.int32), np.cumsum(sizes)[:-1]))
+
+
+def _dealt(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bucket of each hash; it ascends with them."""
+    return (((hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+_NEEDS = "bucket int, owner int, words binary, n binary, counts array<long>"
+_COUNTS = "bucket int, owner int, c binary, tokens long, known long, counts array<long>"
+
+
+def _needs(rows: pa.Table, n_buckets: int) -> pa.Table:
+    """A bucket's last words with their counts in training, dealt to the words' owners, and (owner -1) how many n-grams of each order have each count up to TOP + 1."""
     x = _bucket(rows.to_pylist())
-    c = np.bincount(x.word, x.r, len(x.words)).astype(np.int64)
-    counts = np.bincount(np.minimum(x.r, TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
-    kind = np.append(np.zeros(len(c), np.int32), np.arange(1, TOP + 2, dtype=np.int32))
-    bucket = np.full(len(kind), rows.column("bucket")[0].as_py(), np.int32)
-    return pa.table({"bucket": bucket, "kind": kind, "word": np.append(x.words.view(np.int64), np.zeros(TOP + 1, np.int64)), "n": np.append(c, counts)})
+    named = np.unique(x.last())
+    hashes, c = x.words[named], np.bincount(x.last(), x.r[0], len(x.words)).astype(np.int64)[named]
+    counts = np.concatenate([np.bincount(np.minimum(r, TOP + 2), minlength=TOP + 3)[1 : TOP + 2] for r in x.r])
+    bucket, edges = rows.column("bucket")[0].as_py(), np.searchsorted(_dealt(hashes, n_buckets), np.arange(n_buckets + 1))
+    out = [{"bucket": bucket, "owner": -1, "words": None, "n": None, "counts": counts.tolist()}]
+    for k in np.flatnonzero(edges[1:] > edges[:-1]):
+        of = slice(edges[k], edges[k + 1])
+        out.append({"bucket": bucket, "owner": int(k), "words": _pack(hashes[of], True), "n": _pack(c[of]), "counts": None})
+    return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("owner", pa.int32()), ("words", pa.binary()), ("n", pa.binary()), ("counts", pa.list_(pa.int64()))]))
+
+
+def _unigrams(rows: pa.Table) -> pa.Table:
+    """For each bucket that asks an owner of words their counts in training, in order; and (bucket -1) the owner's tokens, known words and counts of counts."""
+    asked = rows.to_pylist()
+    hashes = [_unpack(x["words"], True) for x in asked]
+    names, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    c = np.bincount(at, np.concatenate([_unpack(x["n"]) for x in asked]), len(names)).astype(np.int64)
+    owner = asked[0]["owner"]
+    counts = np.bincount(np.minimum(c, TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
+    out = [{"bucket": -1, "owner": owner, "c": None, "tokens": int(c.sum()), "known": int((c > 0).sum()), "counts": counts.tolist()}]
+    for x, mine in zip(asked, np.split(at, np.cumsum([len(h) for h in hashes])[:-1]), strict=True):
+        out.append({"bucket": x["bucket"], "owner": owner, "c": _pack(c[mine]), "tokens": None, "known": None, "counts": None})
+    return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("owner", pa.int32()), ("c", pa.binary()), ("tokens", pa.int64()), ("known", pa.int64()), ("counts", pa.list_(pa.int64()))]))
 
 
 def _discounted(count: np.ndarray, d: dict[int, float]) -> np.ndarray:
@@ -164,34 +238,37 @@ def _discounted(count: np.ndarray, d: dict[int, float]) -> np.ndarray:
 
 @dataclass
 class _Totals:
-    """What the whole corpus gives: training tokens, known words, discounts, the unigrams' whole and the unknown word's probability."""
+    """What the whole corpus gives: training tokens, known words, discounts by order, the unigrams' whole and the unknown word's probability."""
 
     tokens: int
     vocabulary: int
-    bigrams: dict[int, float]
-    unigrams: dict[int, float]
+    discounts: dict[int, dict[int, float]]
     whole: float
     unknown: float
 
 
-def _scored(rows: list[dict], word: np.ndarray, count: np.ndarray, t: _Totals) -> Iterator[dict]:
-    """What a bucket's bigrams add to each text of each chunk; word and count: the bucket's last words and their counts."""
+def _scored(rows: list[dict], count: np.ndarray, t: _Totals) -> Iterator[dict]:
+    """What a bucket's n-grams add to each text of each chunk; count: the counts of the bucket's last words, by their hashes."""
     x = _bucket(rows)
-    order = np.argsort(word)
-    c = count[order][np.searchsorted(word[order], x.words)]
-    p1 = np.where(c > 0, _discounted(c, t.unigrams) / t.whole, t.unknown)
+    c = np.zeros(len(x.words), np.int64)
+    c[np.unique(x.last())] = count
+    p = np.where(c > 0, _discounted(c, t.discounts[1]) / t.whole, t.unknown)
     base = np.log10((c + 0.5) / (t.tokens + 0.5 * (t.vocabulary + 1)))
-    held, seen = _discounted(x.r, t.bigrams), x.r > 0
-    of, mass, low = (np.bincount(x.context, v, len(x.contexts)) for v in (x.r, held, np.where(seen, p1[x.word], 0.0)))
-    whole = np.where(of - mass > 1e-9 * of, of, of + 1)
-    back = np.where(of > 0, (1 - mass / whole) / np.maximum(1 - low, 1e-12), 1.0)
-    p = np.log10(np.where(seen, held / whole[x.context], back[x.context] * p1[x.word]))
+    last = np.arange(len(x.words))
+    for k, (context, ending, r) in enumerate(zip(x.context, x.ending, x.r, strict=True)):
+        held, seen = _discounted(r, t.discounts[k + 2]), r > 0
+        of, mass, low = (np.bincount(context, v) for v in (r, held, np.where(seen, p[ending], 0.0)))
+        whole = np.where(of - mass > 1e-9 * of, of, of + 1)
+        back = np.where(of > 0, (1 - mass / whole) / np.maximum(1 - low, 1e-12), 1.0)
+        p = np.where(seen, held / whole[context], back[context] * p[ending])
+        last = last[ending]
+    p = np.log10(p)
     for row, at in zip(rows, x.of, strict=True):
-        gram, doc, n = np.repeat(at, _unpack(row["texts"]).astype(np.int64)), _unpack(row["doc"]), _unpack(row["n"])
+        gram, doc, n = np.repeat(at, _unpack(row["texts"])), _unpack(row["doc"]), _unpack(row["n"])
         docs, doc = np.unique(doc, return_inverse=True)
-        last = x.word[gram]
-        sums = [np.bincount(doc, n * v, len(docs)) for v in (c[last] > 0, base[last], p[gram])]
-        yield {"part": row["part"], "bucket": row["bucket"], "doc": _pack(docs), "known": _pack(sums[0].astype(np.int64)), "base": sums[1].tobytes(), "score": sums[2].tobytes()}
+        w = last[gram]
+        sums = [np.bincount(doc, n * v, len(docs)) for v in (c[w] > 0, base[w], p[gram])]
+        yield {"part": row["part"], "bucket": row["bucket"], "doc": _pack(docs, True), "known": _pack(sums[0]), "base": sums[1].tobytes(), "score": sums[2].tobytes()}
 
 
 _ADDED = pa.schema([("part", pa.int64()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in ("doc", "known", "base", "score")])
@@ -202,7 +279,7 @@ def _summed(docs: pa.Table, added: pa.Table) -> pa.Table:
     chunk = docs.to_pylist()[0]
     sums = np.zeros((3, len(chunk["lengths"])))
     for row in added.sort_by("bucket").to_pylist():
-        at = _unpack(row["doc"]).astype(np.int64)
+        at = _unpack(row["doc"], True).astype(np.int64)
         for to, v in zip(sums, (_unpack(row["known"]), np.frombuffer(row["base"]), np.frombuffer(row["score"])), strict=True):
             to[at] += v
     return pa.table({
@@ -211,47 +288,48 @@ def _summed(docs: pa.Table, added: pa.Table) -> pa.Table:
     })
 
 
-def _discount(count: Column, d: dict[int, float]) -> Column:
-    out = count.cast("double")
-    for r, x in d.items():
-        out = F.when(count == r, F.lit(r * x)).otherwise(out)
-    return out
-
-
-def _counts_of_counts(unigrams: DataFrame) -> dict[int, int]:
-    found = unigrams.filter(F.col("c").between(1, TOP + 1)).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
-    return {int(r["c"]): r["n"] for r in found}
-
-
-def lm_scores(docs: DataFrame) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text).
 
-    Learnt from all rows but the held-out fold. A null or text without words is its end alone, one token. A null doc_id
-    is learnt from. Repeated rows count each and each gets a row; more columns are left out; an empty table gives an empty
-    result. Where nothing is learnt, all probability is the unknown word's: score 0.
+    order is the length of the longest n-grams, 2 or more; a text is preceded by as many starts as they need. Learnt from
+    all rows but the held-out fold. A null or text without words is its end alone, one token; very long texts are chunks of
+    their own. A null doc_id is learnt from. Repeated rows count each and each gets a row; more columns are left out,
+    whatever their names; an empty table gives an empty result. Where nothing is learnt, all probability is the unknown
+    word's: score 0. The table of n-grams is dropped when the sums are written.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    spark = docs.sparkSession
     train = _fold(F.col("doc_id")) != 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), "text")
-    packed = written(_packed(docs, max(16, docs.rdd.getNumPartitions())))
-    bigrams = packed.filter("bucket >= 0")
-
-    needs = written(bigrams.select("part", "bucket", *_BIGRAMS).groupBy("bucket").applyInArrow(_needs, "bucket int, kind int, word long, n long"))
-    n2 = {r["kind"]: r["n"] for r in needs.filter("kind > 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # a row for each count up to TOP + 1
-    needed = needs.filter("kind = 0")
-    unigrams = written(needed.groupBy("word").agg(F.sum("n").alias("c")))
-    total, vocabulary = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    d1, d2 = good_turing(_counts_of_counts(unigrams)), good_turing(n2)
-    mass = unigrams.agg(F.coalesce(F.sum(_discount(F.col("c"), d1)), F.lit(0.0))).first()[0]
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = partitions(docs)
+    n_buckets = max(slots, -(-volume // BUCKET_BYTES))
+    # Bucketed by Spark as it is written, so that both passes read their buckets without a shuffle.
+    name = f"katz_{uuid.uuid4().hex}"
+    _packed(docs, n_buckets, order).write.bucketBy(slots, "bucket").format("parquet").option("compression", "uncompressed").saveAsTable(name)
+    packed = spark.table(name)
+    grams = packed.filter("bucket >= 0")
+
+    ask = lambda rows: _needs(rows, n_buckets)
+    needs = written(grams.select("part", "bucket", *_GRAMS).groupBy("bucket").applyInArrow(ask, _NEEDS))
+    asked = written(needs.filter("owner >= 0").select("bucket", "owner", "words", "n").groupBy("owner").applyInArrow(_unigrams, _COUNTS))
+    summed = lambda df, n, *more: df.agg(*more, *[F.coalesce(F.sum(F.col("counts")[k]), F.lit(0)) for k in range(n)]).first()
+    total, vocabulary, *of = summed(asked.filter("bucket < 0"), TOP + 1, F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0)))
+    of += summed(needs.filter("owner < 0"), (TOP + 1) * (order - 1))
+    counts = {k + 1: {r + 1: of[k * (TOP + 1) + r] for r in range(TOP + 1)} for k in range(order)}
+    discounts = {k: good_turing(n) for k, n in counts.items()}
+    mass = total - sum(r * counts[1][r] * (1 - d) for r, d in discounts[1].items())
     whole = total if total - mass > 1e-9 * total else total + 1  # some mass must be left for the unknown word
-    totals = _Totals(total, vocabulary, d2, d1, float(whole or 1), float(1 - mass / whole) if whole else 1.0)
+    totals = _Totals(total, vocabulary, discounts, float(whole or 1), float(1 - mass / whole) if whole else 1.0)
 
-    def score(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        held = rows.sort_by("part").to_pylist()
-        word, c = counts.column("word").to_numpy().view(np.uint64), counts.column("c").to_numpy()
-        return pa.Table.from_pylist([*_scored(held, word, c, totals)], schema=_ADDED)
+    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+        c = np.concatenate([_unpack(x) for x in found.sort_by("owner").column("c").to_pylist()])
+        return pa.Table.from_pylist([*_scored(rows.sort_by("part").to_pylist(), c, totals)], schema=_ADDED)
 
-    counts = needed.select("bucket", "word").join(unigrams, "word").select("bucket", "word", "c")
-    added = bigrams.select("part", "bucket", *_BIGRAMS, *_PLACES).groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(score, "part long, bucket int, doc binary, known binary, base binary, score binary")
+    found = asked.filter("bucket >= 0").select("bucket", "owner", "c")
+    added = grams.select("part", "bucket", *_GRAMS, *_PLACES).groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(score, "part long, bucket int, doc binary, known binary, base binary, score binary")
     chunks = packed.filter("bucket < 0").select("part", "doc_ids", "train", "lengths")
-    sums = chunks.groupBy("part").cogroup(added.groupBy("part")).applyInArrow(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    sums = written(chunks.groupBy("part").cogroup(added.groupBy("part")).applyInArrow(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+    spark.sql(f"DROP TABLE {name}")
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
