@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -19,7 +20,9 @@ from pyspark.sql import DataFrame
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Units kept with their encodings in each worker; beyond that, units are encoded anew each time.
-CACHE = 400_000
+CACHE = 200_000
+#: Bytes of text whose results are held before they are handed on; a longer text is alone.
+HELD = 1 << 20
 NEVER = 1 << 60
 
 
@@ -173,6 +176,19 @@ def encoder(path: str) -> PrefixEncoder:
     return _LOADED[path]
 
 
+def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in slices of at most HELD bytes of text, or of one row."""
+    sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("text")]
+    begin = total = 0
+    for k, size in enumerate(sizes):
+        if k > begin and total + size > HELD:
+            yield batch.slice(begin, k - begin)
+            begin, total = k, 0
+        total += size
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
 def encode_texts(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """All columns of docs but those named here, and ids (array of int, if asked for), n_tokens, ids_sha256, decoded_sha256.
 
@@ -189,17 +205,19 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            n, ids, hashed, decoded = [], [], [], []
-            for text in batch.column("text"):
-                joined, count, raw = coder.encode(text.as_py() or "")
-                n.append(count)
-                hashed.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
+            for part in _bounded(batch):
+                n, ids, hashed, decoded = [], [], [], []
+                for text in part.column("text"):
+                    joined, count, raw = coder.encode(text.as_py() or "")
+                    n.append(count)
+                    hashed.append(hashlib.sha256(joined.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
+                    if with_ids:
+                        ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
+                out = dict(zip(part.schema.names, part.columns, strict=True))
                 if with_ids:
-                    ids.append([*map(int, joined.split(","))] if joined else [])
-            out = dict(zip(batch.schema.names, batch.columns, strict=True))
-            out |= {"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}
-            yield pa.RecordBatch.from_pydict(out | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(hashed, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+                    out["ids"] = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate(ids))
+                yield pa.RecordBatch.from_pydict(out | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(hashed, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
     return docs.mapInArrow(run, schema)
 
