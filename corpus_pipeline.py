@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from tradelens.llm.exact_dedup import exact_duplicates_dropped
 from tradelens.llm.mixing import labelled_domains, mixed_documents
 from tradelens.llm.ngram_join import near_duplicates_kept
 from tradelens.llm.queries import MIX_WEIGHTS, vocabulary
-from tradelens.llm.shared import table
+from tradelens.llm.shared import shared_folder, table
 from tradelens.llm.toxicity import without_toxic
 
 
@@ -50,9 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage is written to the shared folder and reread as the next one's documents."""
+    """The last stage's rows. Each stage is written to the shared folder and reread as the next one's documents.
+
+    Null and empty texts pass as clean documents (null and empty ones are one group of copies); rows without a doc_id pass
+    the stages that drop documents by it. Repeated rows stay or go together. More columns of documents stay, whatever
+    their names, up to the last stage, whose columns are fixed. An empty table gives an empty result.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tradelens-")
-    folder, docs = f"{shared}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    folder, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for k, (_name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
