@@ -54,7 +54,7 @@ def words(text: str | None) -> list[bytes]:
 class _WordHashes(dict):
     """The 64-bit cryptographic hash of each word, kept for the words that come again while there is room."""
 
-    ROOM = 1 << 20
+    ROOM = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.ROOM:
