@@ -18,7 +18,6 @@ _BY_QUARTER = f"SELECT ticker, {_QUARTER} AS quarter, CAST(year(transaction_date
 
 _DAY = "DAYS[transaction_date; DATE '1970-01-01']"
 _SIDED = f"SELECT t.ticker, CASE WHEN t.direction > 0 THEN 'buy' ELSE 'sell' END AS side, t.member_id, {_DAY} AS day, t.transaction_date, t.amount_est, t.amount_est * coalesce(s.weight, 1.0) AS weighted FROM trades t LEFT JOIN scores90 s ON s.member_id = t.member_id WHERE {USABLE} AND t.direction <> 0 AND t.member_id IS NOT NULL"
-_WINDOW = "OVER (PARTITION BY ticker, side ORDER BY day RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING)"
 
 #: What is correlated with the spend, by the name that the report gives it.
 METRICS = {"n_members": "n_members", "gross_volume": "gross", "weighted_net_flow": "weighted_net"}
@@ -31,9 +30,12 @@ ACTIVITY_VIEWS = {
     "placed": "SELECT lag_quarters, metric, rank() OVER (PARTITION BY lag_quarters, metric ORDER BY x) + (count(*) OVER (PARTITION BY lag_quarters, metric, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY lag_quarters, metric ORDER BY y) + (count(*) OVER (PARTITION BY lag_quarters, metric, y) - 1) / 2.0 AS b FROM measured",
     "sided": _SIDED,
     # Every trade opens a window of 14 days.
-    "windows": f"SELECT DISTINCT ticker, side, transaction_date, CAST(MEMBERS_IN[member_id; {_WINDOW}] AS BIGINT) AS n_members, count(*) {_WINDOW} AS n_trades, sum(amount_est) {_WINDOW} AS volume, sum(weighted) {_WINDOW} AS weighted_volume FROM sided",
+    "starts": "SELECT DISTINCT ticker, side, day, transaction_date FROM sided",
+    "perday": "SELECT ticker, side, member_id, day, count(*) AS n, sum(amount_est) AS volume, sum(weighted) AS weighted FROM sided GROUP BY ticker, side, member_id, day",
+    # A member's day falls into the windows that begin on it and on the 14 days before; only days with a trade begin one.
+    "windows": "SELECT s.ticker, s.side, s.transaction_date, count(DISTINCT p.member_id) AS n_members, CAST(sum(p.n) AS BIGINT) AS n_trades, sum(p.volume) AS volume, sum(p.weighted) AS weighted_volume FROM (SELECT *, EACH_INT[day - 14; day] AS start FROM perday) p JOIN starts s ON s.ticker = p.ticker AND s.side = p.side AND s.day = p.start GROUP BY s.ticker, s.side, s.transaction_date",
     "newest": "SELECT max(transaction_date) AS as_of FROM trades",
-    "recent": f"SELECT t.ticker, count(*) AS n_trades, count(DISTINCT t.member_id) AS n_members, sum(t.amount_est) AS volume FROM trades t CROSS JOIN newest WHERE {USABLE} AND t.transaction_date >= SHIFT[as_of; -730] GROUP BY t.ticker",
+    "recent": f"SELECT t.ticker, count(*) AS n_trades, count(DISTINCT t.member_id) AS n_members, sum(t.amount_est) AS volume, max(t.transaction_date) AS last_traded FROM trades t CROSS JOIN newest WHERE {USABLE} AND t.ticker_confidence >= 0.7 AND t.transaction_date >= SHIFT[as_of; -730] GROUP BY t.ticker",
     "ranked": "SELECT *, (rank() OVER (ORDER BY n_members) + (count(*) OVER (PARTITION BY n_members) - 1) / 2.0) / count(*) OVER () AS p_members, (rank() OVER (ORDER BY n_trades) + (count(*) OVER (PARTITION BY n_trades) - 1) / 2.0) / count(*) OVER () AS p_trades, (rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0) / count(*) OVER () AS p_volume FROM recent",
 }
 
@@ -55,26 +57,26 @@ SELECT t.ticker, count(DISTINCT t.member_id) AS n_members, count(*) AS n_trades,
 FROM trades t LEFT JOIN members m ON m.member_id = t.member_id LEFT JOIN scores90 s ON s.member_id = t.member_id
 WHERE {USABLE} GROUP BY t.ticker ORDER BY n_members DESC, gross DESC, t.ticker LIMIT 50""",
     "member_leaderboard": f"""
-SELECT a.*, m.full_name, m.chamber, m.party, m.state, s.n_scored, round(s.shrunk_excess, 5) + 0.0 AS shrunk_excess, round(s.hit_rate, 5) AS hit_rate, round(s.weight, 4) AS weight
+SELECT a.*, m.full_name, m.chamber, m.party, m.state, s.n_scored, round(s.mean_excess, 5) + 0.0 AS mean_excess, round(s.shrunk_excess, 5) + 0.0 AS shrunk_excess, round(s.hit_rate, 5) AS hit_rate, round(s.weight, 4) AS weight
 FROM (SELECT member_id, count(*) AS n_trades, count(DISTINCT ticker) AS n_tickers, round(sum(amount_est), 2) AS gross, round(sum(amount_est * direction), 2) + 0.0 AS net,
     round(avg(filing_delay_days), 4) AS avg_delay, max(filing_delay_days) AS max_delay, CAST(sum(CASE WHEN filing_delay_days > 45 THEN 1 ELSE 0 END) AS BIGINT) AS n_late
-  FROM trades t WHERE {USABLE} GROUP BY member_id ORDER BY n_trades DESC, gross DESC, member_id LIMIT 100) a
+  FROM trades t WHERE {USABLE} GROUP BY member_id ORDER BY gross DESC, member_id LIMIT 100) a
 LEFT JOIN members m ON m.member_id = a.member_id LEFT JOIN scores90 s ON s.member_id = a.member_id""",
     **{f"flow_timeseries_{k}": f"SELECT {p} AS period, {_FLOW} FROM trades t WHERE {USABLE} GROUP BY {p}" for k, p in PERIODS.items()},
     "member_timeline": timeline(),
-    "disclosure_delay_stats": "SELECT m.chamber, m.party, count(*) AS n, round(avg(t.filing_delay_days), 4) AS mean_delay, min(t.filing_delay_days) AS min_delay, max(t.filing_delay_days) AS max_delay, round(avg(CASE WHEN t.filing_delay_days > 45 THEN 100.0 ELSE 0.0 END), 4) AS pct_late FROM trades t JOIN members m ON m.member_id = t.member_id GROUP BY m.chamber, m.party",
+    "disclosure_delay_stats": f"SELECT m.chamber, m.party, count(*) AS n, round(avg(t.filing_delay_days), 4) AS mean_delay, min(t.filing_delay_days) AS min_delay, max(t.filing_delay_days) AS max_delay, round(avg(CASE WHEN t.filing_delay_days > 45 THEN 1.0 ELSE 0.0 END), 6) AS pct_late FROM trades t JOIN members m ON m.member_id = t.member_id WHERE {USABLE} AND t.filing_delay_days IS NOT NULL GROUP BY m.chamber, m.party",
     "delay_histogram": f"SELECT {_BUCKET} AS bucket, count(*) AS n FROM trades GROUP BY {_BUCKET}",
     "summary_counts": "SELECT count(*) AS n_trades, count(DISTINCT member_id) AS n_members, count(DISTINCT ticker) AS n_tickers, round(sum(amount_est), 2) AS volume, round(avg(filing_delay_days), 4) AS mean_delay, round(avg(CASE WHEN filing_delay_days > 45 THEN 100.0 ELSE 0.0 END), 4) AS pct_late FROM trades",
     # The upper median from counts by delay, so no row is ranked by itself.
     "median_delay_upper": "SELECT min(filing_delay_days) AS median_delay FROM (SELECT filing_delay_days, sum(n) OVER (ORDER BY filing_delay_days) AS upto, sum(n) OVER () AS total FROM (SELECT filing_delay_days, count(*) AS n FROM trades GROUP BY filing_delay_days) a) b WHERE upto >= floor(total / 2) + 1",
     "cluster_detector": "SELECT ticker, side, transaction_date AS window_start, SHIFT[transaction_date; 14] AS window_end, n_members, n_trades, round(volume, 2) AS volume, round(weighted_volume, 1) AS weighted_volume FROM (SELECT *, row_number() OVER (PARTITION BY ticker, side, n_members ORDER BY weighted_volume DESC, transaction_date) AS k FROM windows WHERE n_members >= 4) x WHERE k = 1 ORDER BY x.n_members DESC, x.weighted_volume DESC, ticker, side LIMIT 40",
-    "lobbying_by_quarter": "SELECT ticker, quarter, round(spend, 2) AS spend, filings, registrants FROM spend",
+    "lobbying_by_quarter": "SELECT ticker, quarter, round(spend, 4) AS spend, filings, registrants FROM spend",
     "trades_by_quarter": "SELECT ticker, quarter, n_trades, n_members, round(gross, 2) AS gross, round(net, 2) + 0.0 AS net, round(weighted_net, 1) + 0.0 AS weighted_net FROM quarterly",
     **{f"lobbying_overlay_lag{k}": f"SELECT t.ticker, t.quarter, t.n_trades, round(t.net, 2) + 0.0 AS net, round(s.spend, 2) AS spend FROM quarterly t LEFT JOIN spend s ON s.ticker = t.ticker AND s.q + {k} = t.q" for k in (0, 1, 2)},
     "lobbying_rollup": "SELECT ticker, round(sum(lobbied), 2) AS spend, CAST(sum(filings) AS BIGINT) AS filings, CAST(sum(n_members) AS BIGINT) AS n_members, round(sum(gross), 2) AS gross, round(sum(weighted_net), 1) + 0.0 AS weighted_net FROM overlaid WHERE lag_quarters = 0 GROUP BY ticker ORDER BY spend DESC, ticker LIMIT 40",
     # t_stat has n - 2 degrees of freedom.
     "correlation_report": "SELECT lag_quarters, metric, n, round(rho, 6) + 0.0 AS rho, round(rho * sqrt((n - 2) / nullif(1 - rho * rho, 0.0)), 4) + 0.0 AS t_stat FROM (SELECT lag_quarters, metric, count(*) AS n, corr(a, b) AS rho FROM placed GROUP BY lag_quarters, metric HAVING count(*) >= 10) x",
-    "universe": "SELECT CAST(row_number() OVER (ORDER BY 0.5 * p_members + 0.25 * p_trades + 0.25 * p_volume DESC, ticker) AS INT) AS place, ticker, n_members, n_trades, round(volume, 2) AS volume, round(0.5 * p_members + 0.25 * p_trades + 0.25 * p_volume, 6) AS score FROM ranked ORDER BY score DESC, ticker LIMIT 50",
-    "trades_without_score": "SELECT t.txn_id FROM trades t LEFT ANTI JOIN scores90 s ON s.member_id = t.member_id",
+    "universe": "SELECT CAST(row_number() OVER (ORDER BY 0.5 * p_members + 0.25 * p_trades + 0.25 * p_volume DESC, ticker) AS INT) AS place, ticker, n_members, n_trades, round(volume, 2) AS volume, round(0.5 * p_members + 0.25 * p_trades + 0.25 * p_volume, 6) AS score, last_traded, concat(CAST(n_members AS STRING), ' members, ', CAST(n_trades AS STRING), ' trades') AS reason FROM ranked ORDER BY score DESC, ticker LIMIT 50",
+    "trades_without_score": "SELECT t.txn_id FROM trades t WHERE NOT EXISTS (SELECT 1 FROM scores90 s WHERE s.member_id = t.member_id)",
     "topk_per_ticker": "SELECT ticker, txn_id, amount_est, CAST(k AS INT) AS k FROM (SELECT ticker, txn_id, amount_est, row_number() OVER (PARTITION BY ticker ORDER BY amount_est DESC, txn_id) AS k FROM trades) x WHERE k <= 3",
 }

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 MARKET_VIEWS = {
-    "anchors": "SELECT ticker, day AS pos FROM (SELECT DISTINCT ticker, transaction_date FROM scorable) s JOIN tradingdays d ON d.date = s.transaction_date",
-    "paired": "SELECT m.ticker, m.day, m.ret, b.ret AS market FROM moves m JOIN (SELECT day, ret FROM moves WHERE ticker = 'BENCH') b ON b.day = m.day WHERE m.ticker <> 'BENCH'",
+    # The estimation window must begin, and the event window end, within the calendar.
+    "anchors": "SELECT DISTINCT ticker, day AS pos FROM (SELECT DISTINCT ticker, transaction_date FROM scorable) s JOIN anchorday d ON d.date = s.transaction_date CROSS JOIN (SELECT max(day) AS last FROM tradingdays) l WHERE day - 250 >= 1 AND day + 20 <= last",
+    "paired": "SELECT m.ticker, m.day, m.ret, b.ret AS market, CAST(floor(m.day / 250.0) AS INT) AS span FROM moves m JOIN (SELECT day, ret FROM moves WHERE ticker = 'BENCH') b ON b.day = m.day WHERE m.ticker <> 'BENCH'",
     # One fit for each ticker and day, however many trades fall on it.
     "fits": """
 SELECT a.ticker, a.pos, count(*) AS n_est, regr_slope(p.ret, p.market) AS beta, regr_intercept(p.ret, p.market) AS alpha, regr_r2(p.ret, p.market) AS r2,
   sqrt(greatest(regr_syy(p.ret, p.market) * (1 - regr_r2(p.ret, p.market)), 0.0) / (count(*) - 2)) AS sd
-FROM anchors a JOIN paired p ON p.ticker = a.ticker AND p.day BETWEEN a.pos - 250 AND a.pos - 31 GROUP BY a.ticker, a.pos HAVING count(*) >= 40""",
+FROM (SELECT *, EACH_INT[CAST(floor((pos - 250) / 250.0) AS INT); CAST(floor((pos - 31) / 250.0) AS INT)] AS span FROM anchors) a
+JOIN paired p ON p.ticker = a.ticker AND p.span = a.span AND p.day BETWEEN a.pos - 250 AND a.pos - 31 GROUP BY a.ticker, a.pos HAVING count(*) >= 40""",
     "cars": """
 SELECT f.ticker, f.pos, f.n_est, f.beta, f.r2, sum(p.ret - f.alpha - f.beta * p.market) AS car, sum(p.ret - f.alpha - f.beta * p.market) / nullif(max(f.sd) * sqrt(count(*)), 0.0) AS t_stat
-FROM fits f JOIN paired p ON p.ticker = f.ticker AND p.day BETWEEN f.pos AND f.pos + 20 GROUP BY f.ticker, f.pos, f.n_est, f.beta, f.r2""",
+FROM (SELECT *, EACH_INT[CAST(floor(pos / 250.0) AS INT); CAST(floor((pos + 20) / 250.0) AS INT)] AS span FROM fits) f JOIN paired p ON p.ticker = f.ticker AND p.span = f.span AND p.day BETWEEN f.pos AND f.pos + 20 GROUP BY f.ticker, f.pos, f.n_est, f.beta, f.r2""",
     "zscored": """
-SELECT theme, at, intensity, CASE WHEN n >= 30 AND sd > 0 THEN least(greatest((intensity - mean) / sd, -6.0), 6.0) END AS z FROM (
+SELECT theme, hour, intensity, CASE WHEN n >= 30 AND sd > 0 THEN least(greatest((intensity - mean) / sd, -6.0), 6.0) END AS z FROM (
   SELECT *, count(*) OVER w AS n, avg(intensity) OVER w AS mean, stddev_samp(intensity) OVER w AS sd
-  FROM themes WINDOW w AS (PARTITION BY theme ORDER BY at ROWS BETWEEN 180 PRECEDING AND 1 PRECEDING)) x""",
+  FROM themes WINDOW w AS (PARTITION BY theme ORDER BY hour ROWS BETWEEN 180 PRECEDING AND 1 PRECEDING)) x""",
     "forward": """
 SELECT a.ticker, a.date, a.day, b.px / a.px - 1 - (d.px / c.px - 1) AS y21 FROM daily a JOIN daily b ON b.ticker = a.ticker AND b.day = a.day + 21
 JOIN (SELECT day, px FROM daily WHERE ticker = 'BENCH') c ON c.day = a.day JOIN (SELECT day, px FROM daily WHERE ticker = 'BENCH') d ON d.day = a.day + 21 WHERE a.ticker <> 'BENCH'""",
@@ -39,14 +41,14 @@ FROM spine s LEFT JOIN (SELECT ticker, period_end, sum(amount) AS amount FROM lo
 SELECT ticker, date, y21, least(greatest(coalesce((net_ratio_90 - avg(net_ratio_90) OVER w) / nullif(stddev_samp(net_ratio_90) OVER w, 0.0), 0.0), -3.0), 3.0) AS z_flow,
   least(greatest(coalesce((mom_20 - avg(mom_20) OVER w) / nullif(stddev_samp(mom_20) OVER w, 0.0), 0.0), -3.0), 3.0) AS z_mom_20, least(greatest(coalesce((mom_120 - avg(mom_120) OVER w) / nullif(stddev_samp(mom_120) OVER w, 0.0), 0.0), -3.0), 3.0) AS z_mom_120
 FROM features WINDOW w AS (PARTITION BY date)""",
-    "composite": "SELECT ticker, date, y21, round(z_flow, 6) AS z_flow, round((z_mom_20 + z_mom_120) / 2, 6) AS z_momentum, round((z_flow + (z_mom_20 + z_mom_120) / 2) / 2, 6) AS score FROM crossed",
+    "composite": "SELECT ticker, date, y21, z_flow, (z_mom_20 + z_mom_120) / 2 AS z_momentum, round((z_flow + (z_mom_20 + z_mom_120) / 2) / 2, 9) AS score FROM crossed",
     "blocks": "SELECT date, ntile(7) OVER (ORDER BY date) AS block FROM (SELECT DISTINCT date FROM features) d",
 }
 
 MARKET_QUERIES = {
     "event_study_car": "SELECT ticker, pos, n_est, round(beta, 4) + 0.0 AS beta, round(r2, 4) + 0.0 AS r2, round(car, 4) + 0.0 AS car, round(t_stat, 3) + 0.0 AS t_stat FROM cars",
-    "event_study_summary": "SELECT t.ticker, count(*) AS n, round(avg(c.car * t.direction), 5) + 0.0 AS mean_car, round(median(c.car * t.direction), 5) + 0.0 AS median_car, round(avg(CASE WHEN c.car * t.direction > 0 THEN 1.0 ELSE 0.0 END), 5) AS pct_positive FROM scorable t JOIN tradingdays d ON d.date = t.transaction_date JOIN cars c ON c.ticker = t.ticker AND c.pos = d.day GROUP BY t.ticker",
-    "event_zscores": "SELECT theme, at, intensity, round(z, 5) + 0.0 AS z FROM zscored",
+    "event_study_summary": "SELECT t.ticker, count(*) AS n, round(avg(c.car * t.direction), 5) + 0.0 AS mean_car, round(median(c.car * t.direction), 5) + 0.0 AS median_car, round(stddev_samp(c.car * t.direction), 5) AS sd, round(avg(c.car * t.direction) / nullif(stddev_samp(c.car * t.direction) / sqrt(count(*)), 0.0), 3) + 0.0 AS t_stat, round(avg(CASE WHEN c.car * t.direction > 0 THEN 1.0 ELSE 0.0 END), 5) AS pct_positive FROM scorable t JOIN anchorday d ON d.date = t.transaction_date JOIN cars c ON c.ticker = t.ticker AND c.pos = d.day GROUP BY t.ticker",
+    "event_zscores": "SELECT theme, hour, intensity, round(z, 5) + 0.0 AS z FROM zscored",
     "forward_excess": "SELECT ticker, date, round(y21, 5) + 0.0 AS y21 FROM forward",
     "momentum_vol": "SELECT ticker, date, round(mom_20, 5) + 0.0 AS mom_20, round(mom_120, 5) + 0.0 AS mom_120, round(vol_60, 5) AS vol_60 FROM momentum WHERE n >= 130",
     "earnings_surprise": "SELECT ticker, report_date, round((eps_actual - eps_estimate) / nullif(abs(eps_estimate), 0.0), 5) + 0.0 AS surprise FROM earnings",

@@ -20,8 +20,8 @@ SELECT horizon_days, member_id, count(*) AS n_scored, avg(excess_return) AS mean
   sum(excess_return * greatest(amount_est, 1.0)) / sum(greatest(amount_est, 1.0)) AS dollar_wtd_excess
 FROM returns WHERE member_id IS NOT NULL GROUP BY horizon_days, member_id""",
     "eligible": f"""
-SELECT * FROM (SELECT *, max(CASE WHEN n_scored >= {MIN_TRADES} THEN 1 ELSE 0 END) OVER (PARTITION BY horizon_days) AS reached FROM stats) x
-WHERE reached = 0 OR n_scored >= {MIN_TRADES}""",
+SELECT s.*, r.reached FROM stats s JOIN (SELECT horizon_days, max(CASE WHEN n_scored >= {MIN_TRADES} THEN 1 ELSE 0 END) AS reached FROM stats GROUP BY horizon_days) r ON r.horizon_days = s.horizon_days
+WHERE r.reached = 0 OR s.n_scored >= {MIN_TRADES}""",
     # The noise of members without a spread of their own is taken from the median spread; sums keep it to one grouping.
     "prior": """
 SELECT horizon_days, mu, sd, greatest(seen - (coalesce(known, 0.0) + sd * sd * unknown) / n, 1e-9) AS tau2 FROM (
@@ -34,8 +34,8 @@ SELECT s.*, p.mu, p.mu + p.tau2 / (p.tau2 + coalesce(s.sd_excess, p.sd) * coales
 FROM stats s JOIN prior p ON s.horizon_days = p.horizon_days""",
     "scores": """
 SELECT *, least(greatest(1.0 + (shrunk_excess - mu) / (2 * CASE WHEN spread = 0 THEN 1.0 ELSE spread END), 0.25), 2.0) AS weight
-FROM (SELECT *, stddev_samp(shrunk_excess) OVER (PARTITION BY horizon_days) AS spread FROM shrunk) x""",
-    "scores90": "SELECT member_id, weight, n_scored, shrunk_excess, hit_rate FROM scores WHERE horizon_days = 90",
+FROM (SELECT s.*, p.spread FROM shrunk s JOIN (SELECT horizon_days, stddev_samp(shrunk_excess) AS spread FROM shrunk GROUP BY horizon_days) p ON p.horizon_days = s.horizon_days) x""",
+    "scores90": "SELECT member_id, weight, n_scored, mean_excess, shrunk_excess, hit_rate FROM scores WHERE horizon_days = 90",
     "legs": """
 SELECT t.txn_id, t.member_id, t.ticker, t.filing_delay_days AS lag_days, t.direction,
   greatest(t.transaction_date, s.lo) AS d0, greatest(t.filed_date, s.lo) AS df, greatest(SHIFT[t.filed_date; 90], s.lo) AS d1
@@ -56,7 +56,7 @@ SELECT sum(mean_post * n_scored) / sum(n_scored) AS mu, greatest(coalesce(var_sa
     "edgespread": "SELECT CASE WHEN stddev_samp(shrunk_post) = 0 THEN 1.0 ELSE stddev_samp(shrunk_post) END AS spread FROM edgeshrunk",
     "aged": """
 SELECT t.ticker, t.direction, a.age_days, greatest(SHIFT[t.filed_date; a.age_days], s.lo) AS d0, greatest(SHIFT[t.filed_date; a.age_days + 90], s.lo) AS d1
-FROM scorable t CROSS JOIN (VALUES (0), (15), (30), (45), (60), (75), (90), (105), (120), (135), (150), (165), (180)) AS a(age_days) CROSS JOIN span s""",
+FROM (SELECT * FROM trades WHERE ticker IS NOT NULL AND ticker_confidence >= 0.7 AND direction <> 0 AND filed_date IS NOT NULL) t CROSS JOIN (VALUES (0), (15), (30), (45), (60), (75), (90), (105), (120), (135), (150), (165), (180)) AS a(age_days) CROSS JOIN span s""",
     "aged_entered": "SELECT e.*, p.px AS px0, p.bpx AS bpx0 FROM aged e JOIN relative p ON p.ticker = e.ticker AND p.date = e.d0 WHERE p.px > 0 AND p.bpx > 0",
     "ages": """
 SELECT e.age_days, ((p.px / e.px0 - 1) - (p.bpx / e.bpx0 - 1)) * e.direction AS excess
@@ -65,8 +65,8 @@ FROM aged_entered e JOIN relative p ON p.ticker = e.ticker AND p.date = e.d1 WHE
 }
 
 SKILL_QUERIES = {
-    "asof_price": "SELECT t.txn_id, round(p.px, 4) + 0.0 AS px, round(p.bpx, 4) + 0.0 AS bench_px FROM trades t CROSS JOIN span s LEFT JOIN relative p ON p.ticker = t.ticker AND p.date = greatest(t.filed_date, s.lo)",
-    "price_panel_ffill": "SELECT ticker, date, round(px, 4) + 0.0 AS px FROM panel",
+    "asof_price": "SELECT t.txn_id, round(p.px, 7) + 0.0 AS px, round(p.bpx, 7) + 0.0 AS bench_px FROM trades t CROSS JOIN span s LEFT JOIN relative p ON p.ticker = t.ticker AND p.date = greatest(t.filed_date, s.lo)",
+    "price_panel_ffill": "SELECT ticker, date, round(px, 7) + 0.0 AS px FROM panel",
     "trade_returns": "SELECT txn_id, horizon_days, round(excess_return, 5) + 0.0 AS excess_return FROM returns",
     "member_scores": """
 SELECT horizon_days, s.member_id, n_scored, round(mean_excess, 5) + 0.0 AS mean_excess, round(sd_excess, 5) + 0.0 AS sd_excess, round(hit_rate, 5) AS hit_rate,
@@ -76,7 +76,10 @@ FROM scores s JOIN (SELECT member_id, count(*) AS n_trades FROM trades GROUP BY
     "timing_summary": """
 SELECT count(*) AS n, round(avg(pre), 6) + 0.0 AS mean_pre, round(avg(post), 6) + 0.0 AS mean_post, round(avg(pre + post), 6) + 0.0 AS mean_total,
   round(avg(pre) / (stddev_samp(pre) / sqrt(count(*))), 4) AS t_pre, round(avg(post) / (stddev_samp(post) / sqrt(count(*))), 4) AS t_post,
-  round(avg(CASE WHEN post > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_post, CAST(median(lag_days) AS DOUBLE) AS median_lag FROM split""",
+  round(avg(CASE WHEN post > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_post, CAST(median(lag_days) AS DOUBLE) AS median_lag,
+  CASE WHEN abs(avg(pre) + avg(post)) > 1e-12 THEN round(avg(pre) / (avg(pre) + avg(post)), 6) END AS share_before,
+  CASE WHEN avg(post) / nullif(stddev_samp(post) / sqrt(count(*)), 0.0) > 2 THEN 'positive' WHEN avg(post) / nullif(stddev_samp(post) / sqrt(count(*)), 0.0) < -2 THEN 'negative'
+    WHEN avg(pre) > 0 AND avg(post) <= 0 THEN 'before disclosure' ELSE 'not distinguishable' END AS verdict FROM split""",
     "fit_decay": "SELECT age_days, n, round(mean_excess, 6) + 0.0 AS mean_excess, round(t_stat, 4) + 0.0 AS t_stat FROM curve",
     "decay_half_life": """
 SELECT count(*) AS n_ages, CASE WHEN count(*) >= 3 AND regr_slope(ln(mean_excess), CAST(age_days AS DOUBLE)) < 0 THEN round(-ln(2.0) / regr_slope(ln(mean_excess), CAST(age_days AS DOUBLE)), 3) END AS half_life_days

@@ -17,6 +17,7 @@ FORMS = {
     "WEEKDAY": ("weekday({0})", "(isodow({0}) - 1)"),
     "WEEK_START": ("CAST(date_trunc('week', {0}) AS DATE)", "CAST(date_trunc('week', {0}) AS DATE)"),
     "EACH_DAY": ("explode(sequence({0}, {1}))", "CAST(unnest(generate_series({0}, {1}, INTERVAL 1 DAY)) AS DATE)"),
+    "EACH_INT": ("explode(sequence({0}, {1}))", "unnest(generate_series({0}, {1}))"),
     "LAST_KNOWN": ("last_value({0}) IGNORE NULLS", "last_value({0} IGNORE NULLS)"),
     "SHA1": ("sha1({0})", "sha1({0})"),
     "HOUR_START": ("date_trunc('hour', {0})", "date_trunc('hour', {0})"),
@@ -48,11 +49,12 @@ def statement(query: str, views: dict[str, str], dialect: int) -> str:
 
 
 def spark_frame(spark: SparkSession, sf_dir: str, query: str, views: dict[str, str]) -> DataFrame:
+    """The tables stand in the text as {name}, so the caller's own views keep their names."""
     text = statement(query, views, 0)
-    for name in TABLES:
-        if re.search(rf"\b{name}\b", text):
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(text)
+    used = [name for name in TABLES if re.search(rf"\b{name}\b", text)]
+    for name in used:
+        text = re.sub(rf"\b{name}\b", f"{{{name}}}", text)
+    return spark.sql(text, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in used})
 
 
 def duckdb_text(query: str, views: dict[str, str]) -> str:

@@ -24,10 +24,10 @@ SELECT *, SHIFT[transaction_date; filing_delay_days] AS filed_date,
   CASE WHEN amount_est <= 15000 THEN 15000.0 WHEN amount_est <= 50000 THEN 50000.0 ELSE 100000.0 END AS amount_high
 FROM traded""",
     "quotes": """
-SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice / l_quantity) AS total, count(*) AS n
+SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice / l_quantity AS DECIMAL(18,6))) AS DOUBLE) AS total, count(*) AS n
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, CAST(l_shipdate AS DATE)""",
     "prices": """
-SELECT ticker, date, total / n AS px FROM quotes UNION ALL SELECT 'BENCH' AS ticker, date, avg(total / n) AS px FROM quotes GROUP BY date""",
+SELECT ticker, date, total / n AS px FROM quotes UNION ALL SELECT 'BENCH' AS ticker, date, CAST(sum(CAST(total / n AS DECIMAL(18,8))) AS DOUBLE) / count(*) AS px FROM quotes GROUP BY date""",
     "span": "SELECT min(date) AS lo, max(date) AS hi FROM quotes",
     # The last price on or before each calendar day from a ticker's first quote on; a stale price is carried to the end.
     "panel": """
@@ -39,19 +39,22 @@ SELECT ticker, date, px, bpx FROM (SELECT *, max(CASE WHEN ticker = 'BENCH' THEN
     "daily": """
 SELECT p.ticker, d.day, p.date, p.px FROM prices p JOIN tradingdays d ON p.date = d.date""",
     "moves": """
-SELECT a.ticker, a.day, a.date, a.px / b.px - 1 AS ret FROM daily a JOIN daily b ON a.ticker = b.ticker AND a.day = b.day + 1""",
+SELECT ticker, day, date, px / before - 1 AS ret FROM (SELECT *, lag(px) OVER (PARTITION BY ticker ORDER BY day) AS before, lag(day) OVER (PARTITION BY ticker ORDER BY day) AS day_before FROM daily) x WHERE day_before = day - 1""",
     "lobbying": """
 SELECT p_brand AS ticker, l_suppkey AS registrant, l_extendedprice * l_tax AS amount, CAST(l_shipdate AS DATE) AS period_end,
   concat(CAST(year(l_shipdate) AS STRING), 'Q', CAST(quarter(l_shipdate) AS STRING)) AS quarter,
   CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INT) AS q, p_type AS issue
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "spend": "SELECT ticker, quarter, q, sum(amount) AS spend, count(*) AS filings, count(DISTINCT registrant) AS registrants FROM lobbying GROUP BY ticker, quarter, q",
+    "spend": "SELECT ticker, quarter, q, CAST(sum(CAST(amount AS DECIMAL(18,4))) AS DOUBLE) AS spend, count(*) AS filings, count(DISTINCT registrant) AS registrants FROM lobbying GROUP BY ticker, quarter, q",
     "sectors": "SELECT DISTINCT p_brand AS ticker, concat('sector', CAST(MOD(NUMBER_IN[p_brand], 5) AS STRING)) AS sector FROM part",
     "themes": """
-SELECT event_type AS theme, HOUR_START[ts] AS at, CAST(count(*) AS DOUBLE) AS intensity FROM events GROUP BY event_type, HOUR_START[ts]""",
+SELECT event_type AS theme, HOUR_START[ts] AS hour, CAST(count(*) AS DOUBLE) AS intensity FROM events GROUP BY event_type, HOUR_START[ts]""",
     "earnings": """
 SELECT ticker, q, sum(total) AS eps_actual, lag(sum(total)) OVER (PARTITION BY ticker ORDER BY q) AS eps_estimate, max(date) AS report_date
 FROM (SELECT *, CAST(year(date) * 4 + quarter(date) - 1 AS INT) AS q FROM quotes) x GROUP BY ticker, q""",
+    # The first trading day on or after each calendar day.
+    "anchorday": """
+SELECT day, EACH_DAY[since; date] AS date FROM (SELECT day, date, coalesce(SHIFT[lag(date) OVER (ORDER BY date); 1], date) AS since FROM tradingdays) x""",
     "scorable": f"SELECT * FROM trades WHERE {SCORABLE}",
 }
 
