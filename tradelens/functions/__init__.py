@@ -1 +1 @@
-
+"""Scalar functions as native columns."""
