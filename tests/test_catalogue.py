@@ -23,7 +23,7 @@ def rows(frame):
     return sorted(map(cells, frame[sorted(frame.columns)].astype(object).itertuples(index=False)))
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

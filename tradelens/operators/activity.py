@@ -47,22 +47,55 @@ def timeline(member_id: int | None = None) -> str:
     return f"SELECT {own}, round(max(CASE WHEN r.horizon_days = 90 THEN r.excess_return END), 5) + 0.0 AS excess_90 FROM trades t LEFT JOIN returns r ON r.txn_id = t.txn_id{one} GROUP BY {own}"
 
 
-ACTIVITY_QUERIES = {
-    "ticker_leaderboard": f"""
+def _quoted(value: object) -> str:
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def where(start: str | None = None, end: str | None = None, chamber: str | None = None, party: str | None = None, owner: str | None = None, asset_types: tuple[str, ...] = ("stock", "fund", "option"), min_confidence: float = 0.6, ticker: str | None = None) -> str:
+    """The common filter of trades t and members m; what isn't given doesn't count."""
+    parts = ["t.ticker IS NOT NULL", f"t.ticker_confidence >= {float(min_confidence)}", f"t.asset_type IN ({', '.join(map(_quoted, asset_types))})"]
+    parts += [f"t.transaction_date >= DATE {_quoted(start)}"] * (start is not None) + [f"t.transaction_date <= DATE {_quoted(end)}"] * (end is not None)
+    return " AND ".join(parts + [f"{c} = {_quoted(v)}" for c, v in (("m.chamber", chamber), ("m.party", party), ("t.owner", owner), ("t.ticker", ticker)) if v is not None])
+
+
+def _scores(horizon: int) -> str:
+    return f"(SELECT member_id, weight, n_scored, mean_excess, shrunk_excess, hit_rate FROM scores WHERE horizon_days = {int(horizon)})"
+
+
+def ticker_leaderboard(horizon: int = 90, limit: int = 50, **filters) -> str:
+    """Tickers by how many members trade them, their flows weighted by the members' scores at the horizon."""
+    return f"""
 SELECT t.ticker, count(DISTINCT t.member_id) AS n_members, count(*) AS n_trades, CAST(sum(CASE WHEN t.direction > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_buys,
   CAST(sum(CASE WHEN t.direction < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_sells, count(DISTINCT CASE WHEN t.direction > 0 THEN t.member_id END) AS n_buyers,
   count(DISTINCT CASE WHEN t.direction < 0 THEN t.member_id END) AS n_sellers, round(sum(t.amount_est), 2) AS gross, round(sum(t.amount_est * t.direction), 2) + 0.0 AS net,
   round(sum(t.amount_est * t.direction * coalesce(s.weight, 1.0)), 1) + 0.0 AS weighted_net, round(sum(t.amount_low), 2) AS low_volume, round(sum(t.amount_high), 2) AS high_volume,
   round(avg(t.filing_delay_days), 4) AS avg_delay, min(t.transaction_date) AS first_trade, max(t.transaction_date) AS last_trade
-FROM trades t LEFT JOIN members m ON m.member_id = t.member_id LEFT JOIN scores90 s ON s.member_id = t.member_id
-WHERE {USABLE} GROUP BY t.ticker ORDER BY n_members DESC, gross DESC, t.ticker LIMIT 50""",
-    "member_leaderboard": f"""
+FROM trades t LEFT JOIN members m ON m.member_id = t.member_id LEFT JOIN {_scores(horizon)} s ON s.member_id = t.member_id
+WHERE {where(**filters)} GROUP BY t.ticker ORDER BY n_members DESC, gross DESC, t.ticker LIMIT {int(limit)}"""
+
+
+def member_leaderboard(horizon: int = 90, limit: int = 100, **filters) -> str:
+    """Members by gross volume, with their delays and scores."""
+    return f"""
 SELECT a.*, m.full_name, m.chamber, m.party, m.state, s.n_scored, round(s.mean_excess, 5) + 0.0 AS mean_excess, round(s.shrunk_excess, 5) + 0.0 AS shrunk_excess, round(s.hit_rate, 5) AS hit_rate, round(s.weight, 4) AS weight
-FROM (SELECT member_id, count(*) AS n_trades, count(DISTINCT ticker) AS n_tickers, round(sum(amount_est), 2) AS gross, round(sum(amount_est * direction), 2) + 0.0 AS net,
+FROM (SELECT t.member_id, count(*) AS n_trades, count(DISTINCT ticker) AS n_tickers, round(sum(amount_est), 2) AS gross, round(sum(amount_est * direction), 2) + 0.0 AS net,
     round(avg(filing_delay_days), 4) AS avg_delay, max(filing_delay_days) AS max_delay, CAST(sum(CASE WHEN filing_delay_days > 45 THEN 1 ELSE 0 END) AS BIGINT) AS n_late
-  FROM trades t WHERE {USABLE} GROUP BY member_id ORDER BY gross DESC, member_id LIMIT 100) a
-LEFT JOIN members m ON m.member_id = a.member_id LEFT JOIN scores90 s ON s.member_id = a.member_id""",
-    **{f"flow_timeseries_{k}": f"SELECT {p} AS period, {_FLOW} FROM trades t WHERE {USABLE} GROUP BY {p}" for k, p in PERIODS.items()},
+  FROM trades t LEFT JOIN members m ON m.member_id = t.member_id WHERE {where(**filters)} AND t.member_id IS NOT NULL GROUP BY t.member_id ORDER BY gross DESC, t.member_id LIMIT {int(limit)}) a
+LEFT JOIN members m ON m.member_id = a.member_id LEFT JOIN {_scores(horizon)} s ON s.member_id = a.member_id"""
+
+
+def flow_timeseries(freq: str, **filters) -> str:
+    """Trades, members and volumes by period: d, w, m, q or y."""
+    return f"SELECT {PERIODS[freq]} AS period, {_FLOW.replace('count(DISTINCT member_id)', 'count(DISTINCT t.member_id)')} FROM trades t LEFT JOIN members m ON m.member_id = t.member_id WHERE {where(**filters)} GROUP BY {PERIODS[freq]}"
+
+
+ACTIVITY_QUERIES = {
+    "ticker_leaderboard": ticker_leaderboard(),
+    "ticker_leaderboard_filtered": ticker_leaderboard(horizon=30, limit=10, start="1994-01-01", end="1997-12-31", chamber="ASIA", owner="O", asset_types=("stock", "option"), min_confidence=0.7),
+    "member_leaderboard": member_leaderboard(),
+    "member_leaderboard_filtered": member_leaderboard(horizon=180, limit=20, start="1995-01-01", party="BUILDING"),
+    "flow_timeseries_filtered": flow_timeseries("m", ticker="Brand#11", chamber="EUROPE"),
+    **{f"flow_timeseries_{k}": flow_timeseries(k) for k in PERIODS},
     "member_timeline": timeline(),
     "disclosure_delay_stats": f"SELECT m.chamber, m.party, count(*) AS n, round(avg(t.filing_delay_days), 4) AS mean_delay, min(t.filing_delay_days) AS min_delay, max(t.filing_delay_days) AS max_delay, round(avg(CASE WHEN t.filing_delay_days > 45 THEN 1.0 ELSE 0.0 END), 6) AS pct_late FROM trades t JOIN members m ON m.member_id = t.member_id WHERE {USABLE} AND t.filing_delay_days IS NOT NULL GROUP BY m.chamber, m.party",
     "delay_histogram": f"SELECT {_BUCKET} AS bucket, count(*) AS n FROM trades GROUP BY {_BUCKET}",

@@ -19,9 +19,13 @@ FROM (SELECT *, EACH_INT[CAST(floor(pos / 250.0) AS INT); CAST(floor((pos + 20)
 SELECT theme, hour, intensity, CASE WHEN n >= 30 AND sd > 0 THEN least(greatest((intensity - mean) / sd, -6.0), 6.0) END AS z FROM (
   SELECT *, count(*) OVER w AS n, avg(intensity) OVER w AS mean, stddev_samp(intensity) OVER w AS sd
   FROM themes WINDOW w AS (PARTITION BY theme ORDER BY hour ROWS BETWEEN 180 PRECEDING AND 1 PRECEDING)) x""",
+    "benchday": "SELECT day, px FROM daily WHERE ticker = 'BENCH'",
     "forward": """
 SELECT a.ticker, a.date, a.day, b.px / a.px - 1 - (d.px / c.px - 1) AS y21 FROM daily a JOIN daily b ON b.ticker = a.ticker AND b.day = a.day + 21
-JOIN (SELECT day, px FROM daily WHERE ticker = 'BENCH') c ON c.day = a.day JOIN (SELECT day, px FROM daily WHERE ticker = 'BENCH') d ON d.day = a.day + 21 WHERE a.ticker <> 'BENCH'""",
+JOIN benchday c ON c.day = a.day JOIN benchday d ON d.day = a.day + 21 WHERE a.ticker <> 'BENCH'""",
+    "forward126": """
+SELECT a.ticker, a.date, b.px / a.px - 1 - (d.px / c.px - 1) AS y126 FROM daily a JOIN daily b ON b.ticker = a.ticker AND b.day = a.day + 126
+JOIN benchday c ON c.day = a.day JOIN benchday d ON d.day = a.day + 126 WHERE a.ticker <> 'BENCH'""",
     "momentum": """
 SELECT ticker, date, coalesce(px / p20 - 1, 0.0) AS mom_20, coalesce(px / p120 - 1, 0.0) AS mom_120, CASE WHEN n > 10 THEN coalesce(vol, 0.0) ELSE 0.0 END AS vol_60, n FROM (
   SELECT ticker, date, px, lag(px, 20) OVER (PARTITION BY ticker ORDER BY date) AS p20, lag(px, 120) OVER (PARTITION BY ticker ORDER BY date) AS p120,
@@ -42,6 +46,7 @@ SELECT ticker, date, y21, least(greatest(coalesce((net_ratio_90 - avg(net_ratio_
   least(greatest(coalesce((mom_20 - avg(mom_20) OVER w) / nullif(stddev_samp(mom_20) OVER w, 0.0), 0.0), -3.0), 3.0) AS z_mom_20, least(greatest(coalesce((mom_120 - avg(mom_120) OVER w) / nullif(stddev_samp(mom_120) OVER w, 0.0), 0.0), -3.0), 3.0) AS z_mom_120
 FROM features WINDOW w AS (PARTITION BY date)""",
     "composite": "SELECT ticker, date, y21, z_flow, (z_mom_20 + z_mom_120) / 2 AS z_momentum, round((z_flow + (z_mom_20 + z_mom_120) / 2) / 2, 9) AS score FROM crossed",
+    "forwards": "SELECT s.ticker, s.date, f.y21, g.y126 FROM spine s LEFT JOIN forward f ON f.ticker = s.ticker AND f.date = s.date LEFT JOIN forward126 g ON g.ticker = s.ticker AND g.date = s.date",
     "blocks": "SELECT date, ntile(7) OVER (ORDER BY date) AS block FROM (SELECT DISTINCT date FROM features) d",
 }
 
@@ -50,6 +55,7 @@ MARKET_QUERIES = {
     "event_study_summary": "SELECT t.ticker, count(*) AS n, round(avg(c.car * t.direction), 5) + 0.0 AS mean_car, round(median(c.car * t.direction), 5) + 0.0 AS median_car, round(stddev_samp(c.car * t.direction), 5) AS sd, round(avg(c.car * t.direction) / nullif(stddev_samp(c.car * t.direction) / sqrt(count(*)), 0.0), 3) + 0.0 AS t_stat, round(avg(CASE WHEN c.car * t.direction > 0 THEN 1.0 ELSE 0.0 END), 5) AS pct_positive FROM scorable t JOIN anchorday d ON d.date = t.transaction_date JOIN cars c ON c.ticker = t.ticker AND c.pos = d.day GROUP BY t.ticker",
     "event_zscores": "SELECT theme, hour, intensity, round(z, 5) + 0.0 AS z FROM zscored",
     "forward_excess": "SELECT ticker, date, round(y21, 5) + 0.0 AS y21 FROM forward",
+    "forward_excess_long": "SELECT ticker, date, round(y126, 5) + 0.0 AS y126 FROM forward126",
     "momentum_vol": "SELECT ticker, date, round(mom_20, 5) + 0.0 AS mom_20, round(mom_120, 5) + 0.0 AS mom_120, round(vol_60, 5) AS vol_60 FROM momentum WHERE n >= 130",
     "earnings_surprise": "SELECT ticker, report_date, round((eps_actual - eps_estimate) / nullif(abs(eps_estimate), 0.0), 5) + 0.0 AS surprise FROM earnings",
     "features_politician": "SELECT ticker, date, round(net_ratio_90, 5) + 0.0 AS net_ratio_90, n_buyers_90, n_members_90, round(buy_share_90, 5) AS buy_share_90, round(log_gross_90, 5) AS log_gross_90 FROM politician",

@@ -8,10 +8,11 @@ from tradelens.operators.activity import ACTIVITY_QUERIES, ACTIVITY_VIEWS
 from tradelens.operators.market import MARKET_QUERIES, MARKET_VIEWS
 from tradelens.operators.skill import SKILL_QUERIES
 from tradelens.plans.dialect import duckdb_text, spark_frame
+from tradelens.plans.frames import FRAME_ORACLES, FRAMES
 from tradelens.sources.views import VIEWS
 
 ALL_VIEWS = VIEWS | ACTIVITY_VIEWS | MARKET_VIEWS
 TEXTS = ACTIVITY_QUERIES | SKILL_QUERIES | MARKET_QUERIES
 
-QUERIES = {name: partial(spark_frame, query=text, views=ALL_VIEWS) for name, text in TEXTS.items()}
-ORACLES: dict[str, str] = {name: duckdb_text(text, ALL_VIEWS) for name, text in TEXTS.items()}
+QUERIES = {name: partial(spark_frame, query=text, views=ALL_VIEWS) for name, text in TEXTS.items()} | FRAMES
+ORACLES: dict[str, str] = {name: duckdb_text(text, ALL_VIEWS) for name, text in TEXTS.items()} | FRAME_ORACLES

@@ -1 +1 @@
-
+"""Files that arrive over time."""
