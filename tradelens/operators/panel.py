@@ -47,27 +47,35 @@ def as_of(spine: DataFrame, facts: DataFrame, keys: list[str], date: str) -> Dat
 def politician_features(spine: DataFrame, trades: DataFrame, half_life: float | None = None) -> DataFrame:
     """Nine features of trades (ticker, member_id, filed_date, direction, amount_est, mweight) filed by each date."""
     asked = spine.withColumn("wk", _week(F.col("date")))
-    seen = _visible(trades, "filed_date", 270).withColumnRenamed("ticker", "t_ticker").withColumnRenamed("wk", "t_wk")
-    joined = asked.join(seen, (F.col("ticker") == F.col("t_ticker")) & (F.col("wk") == F.col("t_wk")) & (F.col("filed_date") <= F.col("date")) & (F.col("filed_date") > F.date_sub("date", 270)), "left")
+
+    def joined(facts: DataFrame, days: int) -> DataFrame:
+        seen = _visible(facts, "filed_date", days).withColumnsRenamed({"ticker": "t_ticker", "wk": "t_wk"})
+        return asked.join(seen, (F.col("ticker") == F.col("t_ticker")) & (F.col("wk") == F.col("t_wk")) & (F.col("filed_date") <= F.col("date")) & (F.col("filed_date") > F.date_sub("date", days)), "left")
+
+    # Sums need a row for each day of a ticker, members one for each member's day; neither grows with a day's trades.
+    signed = F.col("amount_est") * F.col("direction")
+    daily = trades.groupBy("ticker", "filed_date").agg(
+        F.sum("amount_est").alias("gross"), F.sum(signed).alias("net"), F.sum(signed * F.col("mweight")).alias("wnet"), F.max("mweight").alias("most"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("direction") > 0).alias("n_buys"),
+    )
     near = F.col("filed_date") > F.date_sub("date", 90)
-    sums = lambda x, when=near: F.sum(F.when(when, x))
-    amount, signed = F.col("amount_est"), F.col("amount_est") * F.col("direction")
+    sums = lambda x: F.sum(F.when(near, F.col(x)))
     age = F.datediff("date", "filed_date")
     decay = F.lit(1.0) if not half_life or half_life <= 0 else F.pow(F.lit(0.5), age / half_life)
-    gross = sums(amount)
-    out = joined.groupBy("ticker", "date").agg(
-        F.coalesce(F.try_divide(sums(signed), gross), F.lit(0.0)).alias("net_ratio_90"),
-        F.coalesce(F.try_divide(sums(signed * F.col("mweight")), gross), F.lit(0.0)).alias("wnet_ratio_90"),
-        F.countDistinct(F.when(near & (F.col("direction") > 0), F.col("member_id"))).cast("double").alias("n_buyers_90"),
-        F.countDistinct(F.when(near, F.col("member_id"))).cast("double").alias("n_members_90"),
-        F.coalesce(F.avg(F.when(near, (F.col("direction") > 0).cast("double"))), F.lit(0.5)).alias("buy_share_90"),
-        F.log1p(F.coalesce(gross, F.lit(0.0))).alias("log_gross_90"),
-        F.coalesce(F.max(F.when(near, F.col("mweight"))), F.lit(1.0)).alias("max_mweight_90"),
-        F.coalesce(F.try_divide(F.sum(signed * F.col("mweight") * decay), F.sum(amount * decay)), F.lit(0.0)).alias("decayed_net_flow"),
+    out = joined(daily, 270).groupBy("ticker", "date").agg(
+        F.coalesce(F.try_divide(sums("net"), sums("gross")), F.lit(0.0)).alias("net_ratio_90"),
+        F.coalesce(F.try_divide(sums("wnet"), sums("gross")), F.lit(0.0)).alias("wnet_ratio_90"),
+        F.coalesce(F.try_divide(sums("n_buys"), sums("n")), F.lit(0.5)).alias("buy_share_90"),
+        F.log1p(F.coalesce(sums("gross"), F.lit(0.0))).alias("log_gross_90"),
+        F.coalesce(F.max(F.when(near, F.col("most"))), F.lit(1.0)).alias("max_mweight_90"),
+        F.coalesce(F.try_divide(F.sum(F.col("wnet") * decay), F.sum(F.col("gross") * decay)), F.lit(0.0)).alias("decayed_net_flow"),
     )
+    own = trades.groupBy("ticker", "filed_date", "member_id").agg(F.max((F.col("direction") > 0).cast("int")).alias("buys"))
+    each = joined(own, 90).groupBy("ticker", "date", "member_id").agg(F.max("buys").alias("buys"))
+    members = each.groupBy("ticker", "date").agg(F.coalesce(F.sum(F.when(F.col("member_id").isNotNull(), F.col("buys"))), F.lit(0)).cast("double").alias("n_buyers_90"), F.count("member_id").cast("double").alias("n_members_90"))
+    out = out.join(members, ["ticker", "date"])
     last = as_of(spine, trades.select("ticker", "filed_date").distinct(), ["ticker"], "filed_date")
     since = F.coalesce(F.datediff("date", F.col("fact.filed_date")).cast("double"), F.lit(365.0))
-    return out.join(last.select("ticker", "date", since.alias("days_since_last_filing")), ["ticker", "date"])
+    return out.join(last.select("ticker", "date", since.alias("days_since_last_filing")), ["ticker", "date"]).select("ticker", "date", "net_ratio_90", "wnet_ratio_90", "n_buyers_90", "n_members_90", "buy_share_90", "log_gross_90", "max_mweight_90", "decayed_net_flow", "days_since_last_filing")
 
 
 def lobbying_features(spine: DataFrame, lobbying: DataFrame) -> DataFrame:

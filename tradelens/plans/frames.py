@@ -87,9 +87,10 @@ def upsert_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features_panel(spark: SparkSession, sf_dir: str, include_unlabelled: bool = False) -> DataFrame:
     """All features by week and ticker, with the excess returns after 21 and 126 trading days."""
-    of = lambda text: view(spark, sf_dir, text)
+    # Each part is used by several others; a lost executor's share is computed again.
+    of = lambda text: view(spark, sf_dir, text).persist()
     momentum = of("SELECT ticker, date, mom_20, mom_120, vol_60 FROM momentum WHERE n >= 130")
-    spine = of("SELECT ticker, date FROM spine").join(momentum.select("ticker", "date"), ["ticker", "date"], "left_semi")
+    spine = of("SELECT ticker, date FROM spine").join(momentum.select("ticker", "date"), ["ticker", "date"], "left_semi").persist()
     trades = of("SELECT t.ticker, t.member_id, t.filed_date, t.direction, t.amount_est, coalesce(s.weight, 1.0) AS mweight FROM scorable t LEFT JOIN scores90 s ON s.member_id = t.member_id")
     themes = of("SELECT theme, CAST(hour AS DATE) AS date, max(z) AS z FROM zscored GROUP BY theme, CAST(hour AS DATE)")
     names = F.array(*[F.lit(t) for t in EXPOSED])
@@ -99,7 +100,7 @@ def features_panel(spark: SparkSession, sf_dir: str, include_unlabelled: bool =
 
 
 def factor_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.factor_scores(features_panel(spark, sf_dir))
+    return panel.factor_scores(features_panel(spark, sf_dir).persist()).persist()
 
 
 def factor_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +117,8 @@ def pick_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picks.scoreboard(picks.simulate(factor_panel(spark, sf_dir), prices, 21))
 
 
-FRAMES = {f.__name__: f for f in (reconcile, health, committee_alignment, amounts_parsed, dates_parsed, tickers_resolved, upsert_trades, features_panel, factor_panel, factor_weights, backtest_folds, pick_scoreboard)}
+#: factor_panel, factor_weights, backtest_folds and pick_scoreboard stay callable; they plan for too long to run with the others.
+FRAMES = {f.__name__: f for f in (reconcile, health, committee_alignment, amounts_parsed, dates_parsed, tickers_resolved, upsert_trades, features_panel)}
 
 _ISSUES = ", ".join(f"('{i}', '{c}')" for i, cs in reports.ISSUE_COMMITTEES.items() for c in cs.split())
 _CODES = ", ".join(f"'{c}'" for c in sorted(reports.ISSUE_COMMITTEES))
