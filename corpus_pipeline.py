@@ -55,7 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     the stages that drop documents by it. Repeated rows stay or go together. More columns of documents stay, whatever
     their names, up to the last stage, whose columns are fixed. An empty table gives an empty result.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tradelens-")
     folder, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for k, (_name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
