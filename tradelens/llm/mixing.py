@@ -26,6 +26,9 @@ EPOCHS, RATE = 12, 0.5
 MAX_STEPS, CLOSE = 60, 1e-4
 #: What misses cost: they are relative misses of SLACK times the multiplier, so that targets out of reach have a solution too.
 SLACK = 1e-7
+#: With a floor, targets are so much above the least possible ones, of the domain that has most beyond its weight too: at
+#: the least only texts wholly outside of that domain could be repeated, and posteriors are never 0.
+MARGIN = 0.05
 _log = logging.getLogger(__name__)
 EXTRA = 5
 
@@ -111,8 +114,8 @@ def _rate(multipliers: np.ndarray, floor: float) -> Column:
 def fit_rates(shared: DataFrame, weights: dict[str, float], floor: float = 0.0) -> tuple[Column, dict[str, float]]:
     """The rate as a column of shared (shares, n_words), and each domain's target of expected words.
 
-    The targets sum to the words there are, or to more where a floor needs it: as much as makes every domain's target at
-    least its floor's words. A domain without words keeps what it can get. Of the rates that meet the targets those nearest
+    The targets sum to the words there are, or to more where a floor needs it: as much as makes every domain's target its
+    floor's words and MARGIN of them at least. A domain without words keeps what it can get. Of the rates that meet the targets those nearest
     to 1 (weighted by words) are max(floor, 1 - multipliers * shares); the multipliers, one for each domain, come from
     Newton steps on the dual problem. The largest relative miss is logged, as a warning where it is above CLOSE.
     """
@@ -122,7 +125,7 @@ def fit_rates(shared: DataFrame, weights: dict[str, float], floor: float = 0.0)
     rows = written(shared.select("shares", "n_words").filter("n_words > 0"))
     s = [F.col("shares")[k] for k in range(d)]
     now = np.array(rows.agg(*[F.coalesce(F.sum(F.col("n_words") * x), F.lit(0.0)) for x in s]).first(), float)
-    target = goal * max(now.sum(), floor * (now / goal).max())
+    target = goal * max(now.sum(), floor * (1 + MARGIN) * (now / goal).max())
     named = dict(zip(weights, target, strict=True))
     if now.sum() == 0:
         return _rate(np.zeros(d), floor), named
