@@ -1,10 +1,10 @@
 """Katz backoff language model: Good-Turing discounts, backoff weights that normalise exactly, evaluated recursively.
 
-The order is a parameter. Counts live in a table that is partitioned by the last word of the context: a bucket has all
-n-grams of every order whose context ends in its words, so all that the weights of these contexts need. Texts go there as
-packed arrays, each chunk's n-grams of the highest order once with the places they have in its texts (those of lower
-orders are their endings); a bucket asks the unigram table for its last words' counts, and only sums go back to the
-texts. An n-gram that was learnt has its discounted relative frequency; any other falls back to the weight of its context
+The order is a parameter. First each word gets a number, the smaller the more frequent it is, so that n-grams take few
+bytes. Counts live in a table that is partitioned by the last word of the context: a bucket has all n-grams of every order
+whose context ends in its words, so all that the weights of these contexts need. Each chunk of texts sends its n-grams of
+the highest order there once, packed (those of lower orders are their endings), and keeps the places they have in its
+texts; only the n-grams' probabilities come back. An n-gram that was learnt has its discounted relative frequency; any other falls back to the weight of its context
 times the probability of its ending, in the end to the unigram, and an unknown word to what the unigrams' discounts have
 left. Over all known words and the one unknown, every context's probabilities sum to one.
 """
@@ -23,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.llm.shared import partitions, written
-from tradelens.llm.textkit import word_hashes, words
+from tradelens.llm.textkit import mixed, word_hashes, words
 
 #: Counts up to this are discounted.
 TOP = 5
-START, END = np.uint64(1), np.uint64(2)
+#: The hash of a text's end, which counts as a word.
+END = np.uint64(2)
 #: A chunk has at most so many tokens (or is a single text) and so many texts.
 CHUNK, CHUNK_TEXTS = 3_000_000, 50_000
 #: Bytes of text to a bucket, so that a bucket fits into a task however large the corpus is.
@@ -72,61 +73,35 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
-def _chunk(part: int, n_buckets: int, order: int, ids: list, train: list[bool], texts: list[np.ndarray]) -> Iterator[dict]:
-    """A chunk's documents (bucket -1) and its n-grams, dealt to buckets by the hash of the context's last word.
-
-    words: the hashes of the words in them; at: for each n-gram the places in words of its context's last word, its own
-    last word, and the words before, from the nearest on; r: its count in training; texts: how many texts have it;
-    doc, n: which ones, and how often each.
-    """
-    lengths = np.array([len(w) for w in texts])
-    yield {"part": part, "bucket": -1, "doc_ids": [None if x is None else int(x) for x in ids], "train": train, "lengths": lengths.tolist()}
-    names, last = np.unique(np.concatenate([*texts, [START]]), return_inverse=True)
-    last, place = last[:-1].astype(np.int32), np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
-    start, before = int(np.searchsorted(names, START)), []
-    for k in range(1, order):
-        x = np.full(len(last), start, np.int32)
-        x[k:] = last[: len(last) - k]
-        x[place < k] = start
-        before.append(x)
-    columns = [before[0], last, *before[1:]]
-    del place, before, last
-    gram = np.zeros(int(lengths.sum()), np.int64)
-    for x in columns:  # ranks of growing tuples, so any order fits into 64 bits
-        _, gram = np.unique(gram * len(names) + x, return_inverse=True)
-    code, n = np.unique(gram * len(texts) + np.repeat(np.arange(len(texts)), lengths), return_counts=True)
-    gram_of, doc = code // len(texts), (code % len(texts)).astype(np.int32)
-    first = _runs(gram_of)
-    del gram_of
-    r = np.add.reduceat(n * np.array(train)[doc], first)
-    ends = np.append(first[1:], len(code))
-    del code
-    one = np.zeros(len(first), np.int64)
-    one[gram] = np.arange(len(gram))  # a token of each n-gram
-    columns = [x[one] for x in columns]
-    bucket = _dealt(names[columns[0]], n_buckets)  # ascends with the contexts' last words
-    edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    for b in np.flatnonzero(edges[1:] > edges[:-1]):
-        of = slice(edges[b], edges[b + 1])
-        inside = slice(first[of.start], ends[of.stop - 1])
-        used, at = np.unique(np.concatenate([x[of] for x in columns]), return_inverse=True)
-        at = at.reshape(order, -1)
-        yield {
-            "part": part, "bucket": int(b), "words": _pack(names[used], True), "at": [_pack(at[0], True), *(_pack(x) for x in at[1:])], "r": _pack(r[of]),
-            "texts": _pack(ends[of] - first[of]), "doc": _pack(doc[inside]), "n": _pack(n[inside]),
-        }
+def _dealt(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bucket of each hash; it ascends with them."""
+    return (((hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-_GRAMS = ("words", "at", "r")
-_PLACES = ("texts", "doc", "n")
-_PACKED = pa.schema([
-    ("part", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
-    ("words", pa.binary()), ("at", pa.list_(pa.binary())), ("r", pa.binary()), ("texts", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()),
+_CHUNKS = pa.schema([
+    ("part", pa.int64()), ("owner", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
+    ("tokens", pa.binary()), ("words", pa.binary()), ("n", pa.binary()),
 ])
 
 
-def _packed(docs: DataFrame, n_buckets: int, order: int) -> DataFrame:
-    """Chunks of docs (doc_id, train, text) of at most CHUNK tokens or a single text, as records by part and bucket."""
+def _chunk(part: int, n_owners: int, ids: list, train: list[bool], texts: list[np.ndarray]) -> Iterator[dict]:
+    """A chunk's documents with their tokens (owner -1), and its words with their counts in training, dealt to owners.
+
+    tokens: the places of the tokens' words among the chunk's, which ascend by their hashes, as their owners do.
+    """
+    lengths = np.array([len(w) for w in texts])
+    names, tokens = np.unique(np.concatenate(texts), return_inverse=True)
+    n = np.bincount(tokens, np.repeat(np.array(train, float), lengths), len(names))
+    blank = dict.fromkeys(_CHUNKS.names) | {"part": part}
+    yield blank | {"owner": -1, "doc_ids": [None if x is None else int(x) for x in ids], "train": train, "lengths": lengths.tolist(), "tokens": _pack(tokens)}
+    edges = np.searchsorted(_dealt(names, n_owners), np.arange(n_owners + 1))
+    for k in np.flatnonzero(edges[1:] > edges[:-1]):
+        of = slice(edges[k], edges[k + 1])
+        yield blank | {"owner": int(k), "words": _pack(names[of], True), "n": _pack(n[of])}
+
+
+def _chunks(docs: DataFrame, n_owners: int) -> DataFrame:
+    """Chunks of docs (doc_id, train, text) of at most CHUNK tokens or a single text, as records by part and owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
@@ -134,8 +109,8 @@ def _packed(docs: DataFrame, n_buckets: int, order: int) -> DataFrame:
         tokens = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for row in _chunk(part, n_buckets, order, *held):
-                yield pa.RecordBatch.from_pylist([row], schema=_PACKED)
+            for row in _chunk(part, n_owners, *held):
+                yield pa.RecordBatch.from_pylist([row], schema=_CHUNKS)
 
         for batch in batches:
             for doc_id, train, text in zip(batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), batch.column("text"), strict=True):
@@ -149,34 +124,119 @@ def _packed(docs: DataFrame, n_buckets: int, order: int) -> DataFrame:
         if held[0]:
             yield from out()
 
-    return docs.mapInArrow(run, "part long, bucket int, doc_ids array<long>, train array<boolean>, lengths array<long>, words binary, at array<binary>, r binary, texts binary, doc binary, n binary")
+    return docs.mapInArrow(run, "part long, owner int, doc_ids array<long>, train array<boolean>, lengths array<long>, tokens binary, words binary, n binary")
+
+
+_NUMBERED = pa.schema([("part", pa.int64()), ("owner", pa.int32()), ("number", pa.binary()), ("c", pa.binary()), ("tokens", pa.int64()), ("known", pa.int64()), ("counts", pa.list_(pa.int64()))])
+
+
+def _vocabulary(rows: pa.Table, n_owners: int) -> pa.Table:
+    """For each chunk the numbers of an owner's words and their counts in training, in order; and (part -1) the owner's tokens, known words and counts of counts.
+
+    Owners hold words by their hashes, so the owner's k-th most frequent word is about the k * n_owners-th of all.
+    """
+    asked = rows.to_pylist()
+    hashes = [_unpack(x["words"], True) for x in asked]
+    names, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    c = np.bincount(at, np.concatenate([_unpack(x["n"]) for x in asked]), len(names)).astype(np.int64)
+    owner, number = asked[0]["owner"], np.empty(len(names), np.int64)
+    number[np.argsort(-c, kind="stable")] = np.arange(len(names)) * n_owners + owner + 1  # 0 is the start
+    blank = dict.fromkeys(_NUMBERED.names) | {"owner": owner}
+    out = [blank | {"part": -1, "tokens": int(c.sum()), "known": int((c > 0).sum()), "counts": _counts_of(c)}]
+    for x, mine in zip(asked, np.split(at, np.cumsum([len(h) for h in hashes])[:-1]), strict=True):
+        out.append(blank | {"part": x["part"], "number": _pack(number[mine]), "c": _pack(c[mine])})
+    return pa.Table.from_pylist(out, schema=_NUMBERED)
+
+
+def _counts_of(r: np.ndarray) -> list[int]:
+    """How many of r are 1, 2 and so on up to TOP + 1."""
+    return np.bincount(np.minimum(r, TOP + 2), minlength=TOP + 3)[1 : TOP + 2].tolist()
+
+
+_GRAMS = pa.schema([
+    ("bucket", pa.int64()), ("part", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("known", pa.binary()), ("base", pa.binary()),
+    ("texts", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()), ("words", pa.binary()), ("at", pa.list_(pa.binary())), ("r", pa.binary()), ("c", pa.binary()),
+])
+
+
+def _grams(chunk: pa.Table, numbered: pa.Table, n_buckets: int, order: int, tokens: int, vocabulary: int) -> pa.Table:
+    """A chunk's documents with the places of its n-grams (bucket -1 - part), and its n-grams, dealt to buckets by the context's last word.
+
+    texts: how many texts have each n-gram, in the order of buckets; doc, n: which ones, and how often each.
+    words: the numbers of the words in a bucket's n-grams; at: for each n-gram the places in words of its context's last
+    word, its own last word, and the words before, from the nearest on; r: its count in training; c: those of the last words.
+    """
+    row, found = chunk.to_pylist()[0], numbered.sort_by("owner").to_pylist()
+    number, c = (np.append(np.concatenate([_unpack(x[k]) for x in found]), 0) for k in ("number", "c"))  # with the start at the end
+    lengths, last = np.array(row["lengths"]), _unpack(row["tokens"])
+    of_doc = np.repeat(np.arange(len(lengths)), lengths)
+    known = np.bincount(of_doc, (c > 0)[last], len(lengths))
+    base = np.bincount(of_doc, np.log10((c + 0.5) / (tokens + 0.5 * (vocabulary + 1)))[last], len(lengths))
+    blank = dict.fromkeys(_GRAMS.names) | {"part": row["part"]}
+    bucket = (mixed(number.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+    by_bucket, rank = np.lexsort((number, bucket)), np.empty(len(number), np.int32)
+    rank[by_bucket] = np.arange(len(number))
+    number, c, bucket, last, start, before = number[by_bucket], c[by_bucket], bucket[by_bucket], rank[last], rank[-1], []
+    place = np.arange(len(last)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    for k in range(1, order):
+        x = np.full(len(last), start, np.int32)
+        x[k:] = last[: len(last) - k]
+        x[place < k] = start
+        before.append(x)
+    columns = [before[0], last, *before[1:]]
+    del place, before, last
+    gram = np.zeros(len(of_doc), np.int64)
+    for x in columns:  # ranks of growing tuples, so any order fits into 64 bits
+        _, gram = np.unique(gram * len(number) + x, return_inverse=True)
+    code, n = np.unique(gram * len(lengths) + of_doc, return_counts=True)
+    gram_of, doc = code // len(lengths), (code % len(lengths)).astype(np.int32)
+    first = _runs(gram_of)
+    del gram_of, of_doc
+    r = np.add.reduceat(n * np.array(row["train"])[doc], first)
+    texts = np.diff(np.append(first, len(code)))
+    del code
+    one = np.zeros(len(first), np.int64)
+    one[gram] = np.arange(len(gram))  # a token of each n-gram
+    columns = [x[one] for x in columns]
+    home = {k: row[k] for k in ("doc_ids", "train", "lengths")} | {"known": _pack(known), "base": base.tobytes()}
+    out = [blank | home | {"bucket": -1 - row["part"], "texts": _pack(texts), "doc": _pack(doc), "n": _pack(n)}]
+    edges = np.searchsorted(bucket[columns[0]], np.arange(n_buckets + 1))
+    for b in np.flatnonzero(edges[1:] > edges[:-1]):
+        of = slice(edges[b], edges[b + 1])
+        local = np.concatenate([x[of] for x in columns])
+        used, some, at = np.unique(number[local], return_index=True, return_inverse=True)
+        at = at.reshape(order, -1)
+        out.append(blank | {"bucket": int(b), "words": _pack(used, True), "at": [_pack(at[0], True), *(_pack(x) for x in at[1:])], "r": _pack(r[of]), "c": _pack(c[local[some]][np.unique(at[1])])})
+    return pa.Table.from_pylist(out, schema=_GRAMS)
 
 
 @dataclass
 class _Bucket:
     """A bucket's n-grams of all chunks.
 
-    context[k], ending[k], r[k]: for each n-gram of order k + 2 the number of its context, the place of its ending among
-    those of order k + 1 (words, where k is 0), and its count in training; of: for each chunk, its n-grams' places.
+    c: its last words' counts in training, by their places among the bucket's words. context[k], ending[k], r[k]: for each
+    n-gram of order k + 2 the number of its context, the place of its ending among those of order k + 1 (words, where k
+    is 0), and its count in training; of: for each chunk, its n-grams' places.
     """
 
-    words: np.ndarray
+    c: np.ndarray
     context: list[np.ndarray]
     ending: list[np.ndarray]
     r: list[np.ndarray]
     of: list[np.ndarray]
 
-    def last(self) -> np.ndarray:
-        """The last word of each n-gram of order 2."""
-        return self.ending[0]
-
 
 def _bucket(rows: list[dict]) -> _Bucket:
     own = [_unpack(x["words"], True) for x in rows]
     words_ = np.unique(np.concatenate(own))
-    columns = []
-    for k in range(len(rows[0]["at"])):
-        columns.append(np.concatenate([np.searchsorted(words_, w)[_unpack(x["at"][k], not k).astype(np.int64)].astype(np.int32) for x, w in zip(rows, own, strict=True)]))
+    c, columns = np.zeros(len(words_), np.int64), [[] for _ in rows[0]["at"]]
+    for x, w in zip(rows, own, strict=True):
+        place = np.searchsorted(words_, w).astype(np.int32)
+        at = [_unpack(y, not k).astype(np.int64) for k, y in enumerate(x["at"])]
+        c[place[np.unique(at[1])]] = _unpack(x["c"])
+        for to, y in zip(columns, at, strict=True):
+            to.append(place[y])
+    columns = [np.concatenate(x) for x in columns]
     context, gram = columns[0].astype(np.int64), columns[1].astype(np.int64)
     contexts, endings, grams = [], [], []
     for k, x in enumerate([columns[0], *columns[2:]]):
@@ -189,47 +249,16 @@ def _bucket(rows: list[dict]) -> _Bucket:
         contexts.append(context[one].astype(np.int32))
         endings.append(before[one].astype(np.int32))
         grams.append(gram)
-    r = np.concatenate([_unpack(x["r"]) for x in rows])
-    counts = [np.bincount(g, r, len(c)).astype(np.int64) for g, c in zip(grams, contexts, strict=True)]
-    sizes = [len(_unpack(x["r"])) for x in rows]
-    return _Bucket(words_, contexts, endings, counts, np.split(grams[-1].astype(np.int32), np.cumsum(sizes)[:-1]))
+    own_r = [_unpack(x["r"]) for x in rows]
+    r = np.concatenate(own_r)
+    counts = [np.bincount(g, r, len(x)).astype(np.int64) for g, x in zip(grams, contexts, strict=True)]
+    return _Bucket(c, contexts, endings, counts, np.split(grams[-1].astype(np.int32), np.cumsum([len(x) for x in own_r])[:-1]))
 
 
-def _dealt(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    """The bucket of each hash; it ascends with them."""
-    return (((hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
-
-
-_NEEDS = "bucket int, owner int, words binary, n binary, counts array<long>"
-_COUNTS = "bucket int, owner int, c binary, tokens long, known long, counts array<long>"
-
-
-def _needs(rows: pa.Table, n_buckets: int) -> pa.Table:
-    """A bucket's last words with their counts in training, dealt to the words' owners, and (owner -1) how many n-grams of each order have each count up to TOP + 1."""
+def _counted(rows: pa.Table) -> pa.Table:
+    """How many of a bucket's n-grams of each order have each count up to TOP + 1."""
     x = _bucket(rows.to_pylist())
-    named = np.unique(x.last())
-    hashes, c = x.words[named], np.bincount(x.last(), x.r[0], len(x.words)).astype(np.int64)[named]
-    counts = np.concatenate([np.bincount(np.minimum(r, TOP + 2), minlength=TOP + 3)[1 : TOP + 2] for r in x.r])
-    bucket, edges = rows.column("bucket")[0].as_py(), np.searchsorted(_dealt(hashes, n_buckets), np.arange(n_buckets + 1))
-    out = [{"bucket": bucket, "owner": -1, "words": None, "n": None, "counts": counts.tolist()}]
-    for k in np.flatnonzero(edges[1:] > edges[:-1]):
-        of = slice(edges[k], edges[k + 1])
-        out.append({"bucket": bucket, "owner": int(k), "words": _pack(hashes[of], True), "n": _pack(c[of]), "counts": None})
-    return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("owner", pa.int32()), ("words", pa.binary()), ("n", pa.binary()), ("counts", pa.list_(pa.int64()))]))
-
-
-def _unigrams(rows: pa.Table) -> pa.Table:
-    """For each bucket that asks an owner of words their counts in training, in order; and (bucket -1) the owner's tokens, known words and counts of counts."""
-    asked = rows.to_pylist()
-    hashes = [_unpack(x["words"], True) for x in asked]
-    names, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    c = np.bincount(at, np.concatenate([_unpack(x["n"]) for x in asked]), len(names)).astype(np.int64)
-    owner = asked[0]["owner"]
-    counts = np.bincount(np.minimum(c, TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
-    out = [{"bucket": -1, "owner": owner, "c": None, "tokens": int(c.sum()), "known": int((c > 0).sum()), "counts": counts.tolist()}]
-    for x, mine in zip(asked, np.split(at, np.cumsum([len(h) for h in hashes])[:-1]), strict=True):
-        out.append({"bucket": x["bucket"], "owner": owner, "c": _pack(c[mine]), "tokens": None, "known": None, "counts": None})
-    return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("owner", pa.int32()), ("c", pa.binary()), ("tokens", pa.int64()), ("known", pa.int64()), ("counts", pa.list_(pa.int64()))]))
+    return pa.table({"counts": pa.array([sum(map(_counts_of, x.r), [])], pa.list_(pa.int64()))})
 
 
 def _discounted(count: np.ndarray, d: dict[int, float]) -> np.ndarray:
@@ -238,53 +267,39 @@ def _discounted(count: np.ndarray, d: dict[int, float]) -> np.ndarray:
 
 @dataclass
 class _Totals:
-    """What the whole corpus gives: training tokens, known words, discounts by order, the unigrams' whole and the unknown word's probability."""
+    """What the whole corpus gives: discounts by order, the unigrams' whole and the unknown word's probability."""
 
-    tokens: int
-    vocabulary: int
     discounts: dict[int, dict[int, float]]
     whole: float
     unknown: float
 
 
-def _scored(rows: list[dict], count: np.ndarray, t: _Totals) -> Iterator[dict]:
-    """What a bucket's n-grams add to each text of each chunk; count: the counts of the bucket's last words, by their hashes."""
+def _scored(rows: list[dict], t: _Totals) -> Iterator[dict]:
+    """The log10 probabilities of a bucket's n-grams, for each chunk in its order."""
     x = _bucket(rows)
-    c = np.zeros(len(x.words), np.int64)
-    c[np.unique(x.last())] = count
-    p = np.where(c > 0, _discounted(c, t.discounts[1]) / t.whole, t.unknown)
-    base = np.log10((c + 0.5) / (t.tokens + 0.5 * (t.vocabulary + 1)))
-    last = np.arange(len(x.words))
+    p = np.where(x.c > 0, _discounted(x.c, t.discounts[1]) / t.whole, t.unknown)
     for k, (context, ending, r) in enumerate(zip(x.context, x.ending, x.r, strict=True)):
         held, seen = _discounted(r, t.discounts[k + 2]), r > 0
         of, mass, low = (np.bincount(context, v) for v in (r, held, np.where(seen, p[ending], 0.0)))
         whole = np.where(of - mass > 1e-9 * of, of, of + 1)
         back = np.where(of > 0, (1 - mass / whole) / np.maximum(1 - low, 1e-12), 1.0)
         p = np.where(seen, held / whole[context], back[context] * p[ending])
-        last = last[ending]
     p = np.log10(p)
     for row, at in zip(rows, x.of, strict=True):
-        gram, doc, n = np.repeat(at, _unpack(row["texts"])), _unpack(row["doc"]), _unpack(row["n"])
-        docs, doc = np.unique(doc, return_inverse=True)
-        w = last[gram]
-        sums = [np.bincount(doc, n * v, len(docs)) for v in (c[w] > 0, base[w], p[gram])]
-        yield {"part": row["part"], "bucket": row["bucket"], "doc": _pack(docs, True), "known": _pack(sums[0]), "base": sums[1].tobytes(), "score": sums[2].tobytes()}
+        yield {"home": -1 - row["part"], "bucket": row["bucket"], "p": _pack(p[at].view(np.uint64))}
 
 
-_ADDED = pa.schema([("part", pa.int64()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in ("doc", "known", "base", "score")])
+_SCORED = pa.schema([("home", pa.int64()), ("bucket", pa.int64()), ("p", pa.binary())])
 
 
-def _summed(docs: pa.Table, added: pa.Table) -> pa.Table:
-    """A chunk's documents with the sums of what all buckets add."""
-    chunk = docs.to_pylist()[0]
-    sums = np.zeros((3, len(chunk["lengths"])))
-    for row in added.sort_by("bucket").to_pylist():
-        at = _unpack(row["doc"], True).astype(np.int64)
-        for to, v in zip(sums, (_unpack(row["known"]), np.frombuffer(row["base"]), np.frombuffer(row["score"])), strict=True):
-            to[at] += v
+def _summed(docs: pa.Table, scored: pa.Table) -> pa.Table:
+    """A chunk's documents with the sums over their n-grams."""
+    row = docs.to_pylist()[0]
+    p = np.concatenate([_unpack(x).view(np.float64) for x in scored.sort_by("bucket").column("p").to_pylist()])
+    score = np.bincount(_unpack(row["doc"]), _unpack(row["n"]) * np.repeat(p, _unpack(row["texts"])), len(row["lengths"]))
     return pa.table({
-        "doc_id": pa.array(chunk["doc_ids"], pa.int64()), "held_out": pa.array([not x for x in chunk["train"]], pa.bool_()), "n_tokens": pa.array(chunk["lengths"], pa.int64()),
-        "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2],
+        "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array([not x for x in row["train"]], pa.bool_()), "n_tokens": pa.array(row["lengths"], pa.int64()),
+        "n_known": _unpack(row["known"]), "base_score": np.frombuffer(row["base"]), "score": score,
     })
 
 
@@ -295,7 +310,7 @@ def lm_scores(docs: DataFrame, order: int = 3) -> DataFrame:
     all rows but the held-out fold. A null or text without words is its end alone, one token; very long texts are chunks of
     their own. A null doc_id is learnt from. Repeated rows count each and each gets a row; more columns are left out,
     whatever their names; an empty table gives an empty result. Where nothing is learnt, all probability is the unknown
-    word's: score 0. The table of n-grams is dropped when the sums are written.
+    word's: score 0. The tables of chunks and n-grams are dropped when the sums are written.
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
@@ -305,31 +320,37 @@ def lm_scores(docs: DataFrame, order: int = 3) -> DataFrame:
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = partitions(docs)
     n_buckets = max(slots, -(-volume // BUCKET_BYTES))
-    # Bucketed by Spark as it is written, so that both passes read their buckets without a shuffle.
+    # Bucketed by Spark as they are written, so that each step reads its groups without a shuffle.
     name = f"katz_{uuid.uuid4().hex}"
-    _packed(docs, n_buckets, order).write.bucketBy(slots, "bucket").format("parquet").option("compression", "uncompressed").saveAsTable(name)
-    packed = spark.table(name)
-    grams = packed.filter("bucket >= 0")
 
-    ask = lambda rows: _needs(rows, n_buckets)
-    needs = written(grams.select("part", "bucket", *_GRAMS).groupBy("bucket").applyInArrow(ask, _NEEDS))
-    asked = written(needs.filter("owner >= 0").select("bucket", "owner", "words", "n").groupBy("owner").applyInArrow(_unigrams, _COUNTS))
+    def bucketed(df: DataFrame, kind: str, by: str) -> DataFrame:
+        df.write.bucketBy(slots, by).format("parquet").option("compression", "uncompressed").saveAsTable(f"{name}_{kind}")
+        return spark.table(f"{name}_{kind}")
+
+    chunks = bucketed(_chunks(docs, n_buckets), "chunks", "part")
+    number = lambda rows: _vocabulary(rows, n_buckets)
+    numbered = written(chunks.filter("owner >= 0").select("part", "owner", "words", "n").groupBy("owner").applyInArrow(number, "part long, owner int, number binary, c binary, tokens long, known long, counts array<long>"))
     summed = lambda df, n, *more: df.agg(*more, *[F.coalesce(F.sum(F.col("counts")[k]), F.lit(0)) for k in range(n)]).first()
-    total, vocabulary, *of = summed(asked.filter("bucket < 0"), TOP + 1, F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0)))
-    of += summed(needs.filter("owner < 0"), (TOP + 1) * (order - 1))
+    total, vocabulary, *of = summed(numbered.filter("part < 0"), TOP + 1, F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0)))
+
+    deal = lambda chunk, found: _grams(chunk, found, n_buckets, order, total, vocabulary)
+    own = chunks.filter("owner < 0").select("part", "doc_ids", "train", "lengths", "tokens")
+    found = numbered.filter("part >= 0").select("part", "owner", "number", "c")
+    fields = "bucket long, part long, doc_ids array<long>, train array<boolean>, lengths array<long>, known binary, base binary, texts binary, doc binary, n binary, words binary, at array<binary>, r binary, c binary"
+    dealt = bucketed(own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(deal, fields), "grams", "bucket")
+    grams = dealt.filter("bucket >= 0").select("bucket", "part", "words", "at", "r", "c")
+
+    of += summed(grams.groupBy("bucket").applyInArrow(_counted, "counts array<long>"), (TOP + 1) * (order - 1))
     counts = {k + 1: {r + 1: of[k * (TOP + 1) + r] for r in range(TOP + 1)} for k in range(order)}
     discounts = {k: good_turing(n) for k, n in counts.items()}
     mass = total - sum(r * counts[1][r] * (1 - d) for r, d in discounts[1].items())
     whole = total if total - mass > 1e-9 * total else total + 1  # some mass must be left for the unknown word
-    totals = _Totals(total, vocabulary, discounts, float(whole or 1), float(1 - mass / whole) if whole else 1.0)
-
-    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
-        c = np.concatenate([_unpack(x) for x in found.sort_by("owner").column("c").to_pylist()])
-        return pa.Table.from_pylist([*_scored(rows.sort_by("part").to_pylist(), c, totals)], schema=_ADDED)
-
-    found = asked.filter("bucket >= 0").select("bucket", "owner", "c")
-    added = grams.select("part", "bucket", *_GRAMS, *_PLACES).groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(score, "part long, bucket int, doc binary, known binary, base binary, score binary")
-    chunks = packed.filter("bucket < 0").select("part", "doc_ids", "train", "lengths")
-    sums = written(chunks.groupBy("part").cogroup(added.groupBy("part")).applyInArrow(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
-    spark.sql(f"DROP TABLE {name}")
+    totals = _Totals(discounts, float(whole or 1), float(1 - mass / whole) if whole else 1.0)
+
+    score = lambda rows: pa.Table.from_pylist([*_scored(rows.to_pylist(), totals)], schema=_SCORED)
+    scored = grams.groupBy("bucket").applyInArrow(score, "home long, bucket long, p binary")
+    homes = dealt.filter("bucket < 0").select("bucket", "doc_ids", "train", "lengths", "known", "base", "texts", "doc", "n")
+    sums = written(homes.groupBy("bucket").cogroup(scored.groupBy("home")).applyInArrow(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+    for kind in ("chunks", "grams"):
+        spark.sql(f"DROP TABLE {name}_{kind}")
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
