@@ -310,7 +310,7 @@ def lm_scores(docs: DataFrame, order: int = 3) -> DataFrame:
     all rows but the held-out fold. A null or text without words is its end alone, one token; very long texts are chunks of
     their own. A null doc_id is learnt from. Repeated rows count each and each gets a row; more columns are left out,
     whatever their names; an empty table gives an empty result. Where nothing is learnt, all probability is the unknown
-    word's: score 0. The tables of chunks and n-grams are dropped when the sums are written.
+    word's: score 0. The tables of chunks and of n-grams are dropped as soon as the next step is written.
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
@@ -338,6 +338,7 @@ def lm_scores(docs: DataFrame, order: int = 3) -> DataFrame:
     found = numbered.filter("part >= 0").select("part", "owner", "number", "c")
     fields = "bucket long, part long, doc_ids array<long>, train array<boolean>, lengths array<long>, known binary, base binary, texts binary, doc binary, n binary, words binary, at array<binary>, r binary, c binary"
     dealt = bucketed(own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(deal, fields), "grams", "bucket")
+    spark.sql(f"DROP TABLE {name}_chunks")  # nothing reads it from here on
     grams = dealt.filter("bucket >= 0").select("bucket", "part", "words", "at", "r", "c")
 
     of += summed(grams.groupBy("bucket").applyInArrow(_counted, "counts array<long>"), (TOP + 1) * (order - 1))
@@ -351,6 +352,5 @@ def lm_scores(docs: DataFrame, order: int = 3) -> DataFrame:
     scored = grams.groupBy("bucket").applyInArrow(score, "home long, bucket long, p binary")
     homes = dealt.filter("bucket < 0").select("bucket", "doc_ids", "train", "lengths", "known", "base", "texts", "doc", "n")
     sums = written(homes.groupBy("bucket").cogroup(scored.groupBy("home")).applyInArrow(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
-    for kind in ("chunks", "grams"):
-        spark.sql(f"DROP TABLE {name}_{kind}")
+    spark.sql(f"DROP TABLE {name}_grams")
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
