@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -72,5 +72,6 @@ def numbered(df: DataFrame, *order, parts: int | None = None) -> DataFrame:
     rows = staged(sorted_.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = rows.groupBy(part.alias("_part")).agg((F.max(within) + 1).alias("n"))  # a row for each part
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_before"))
+    upto = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("_part", F.coalesce(upto, F.lit(0)).alias("_before"))
     return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + within + 1).drop("_part", "_at", "_before")
