@@ -30,7 +30,7 @@ TOP = 5
 #: The hash of a text's end, which counts as a word.
 END = np.uint64(2)
 #: A chunk has at most so many tokens (or is a single text) and so many texts.
-CHUNK, CHUNK_TEXTS = 3_000_000, 50_000
+CHUNK, CHUNK_TEXTS = 1_500_000, 50_000
 #: Bytes of text to a bucket, so that a bucket fits into a task however large the corpus is.
 BUCKET_BYTES = 24_000_000
 
