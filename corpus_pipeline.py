@@ -10,8 +10,9 @@ from tradelens.llm.bpe_codec import encode_texts
 from tradelens.llm.exact_dedup import exact_duplicates_dropped
 from tradelens.llm.mixing import labelled_domains, mixed_documents
 from tradelens.llm.ngram_join import near_duplicates_kept
-from tradelens.llm.queries import MIX_WEIGHTS, vocabulary
-from tradelens.llm.shared import shared_folder, table
+from tradelens.llm.queries import MIX_WEIGHTS, encoder, vocabulary
+from tradelens.llm.shared import table
+from tradelens.sources.staging import own_folder
 from tradelens.llm.toxicity import without_toxic
 
 
@@ -29,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays at least once; those of domains under their weight are repeated."""
-    return mixed_documents(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), MIX_WEIGHTS, floor=1.0)
+    return mixed_documents(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), MIX_WEIGHTS, encoder(), floor=1.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +52,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Each stage is written to the shared folder and reread as the next one's documents.
 
-    Null and empty texts pass as clean documents (null and empty ones are one group of copies); rows without a doc_id pass
-    the stages that drop documents by it. Repeated rows stay or go together. More columns of documents stay, whatever
-    their names, up to the last stage, whose columns are fixed. An empty table gives an empty result.
+    Null and empty texts pass as clean documents (null and empty ones are one group of copies). Rows are told apart by
+    themselves, not by their ids: of rows with equal texts one stays, whatever their ids, and a unique text stays where
+    its id is null or another row's too. More columns of documents stay, whatever their names, up to the last stage, whose
+    columns are fixed. An empty table gives an empty result.
     """
-    folder, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    folder, docs = f"{own_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for k, (_name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
