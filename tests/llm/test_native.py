@@ -102,3 +102,13 @@ def test_url_rules(spark):
     assert got == {i: brute_url(u) for i, u in enumerate(urls)}
     assert filter_urls(pages.limit(0), rule_table(spark, RULES)).count() == 0
     assert {r.verdict for r in filter_urls(pages, rule_table(spark, RULES).limit(0)).collect()} == {"allow"}
+
+
+def test_rows_that_stay_are_told_apart_by_themselves(spark):
+    from tradelens.llm.exact_dedup import exact_duplicates_dropped
+
+    rows = [(3, "a", 1), (5, "a", 2), (5, "only here", 3), (7, "b", 4), (7, "b", 5), (None, "b", 6), (None, "c", 7), (None, "c", 8), (None, None, 9), (8, "", 10)]
+    kept = exact_duplicates_dropped(spark.createDataFrame(rows, "doc_id long, text string, row int"))
+    assert kept.columns == ["doc_id", "text", "row"]
+    found = sorted(r.row for r in kept.collect())
+    assert [r for r in found if r not in (4, 5, 7, 8)] == [1, 3, 10] and len(found) == 5 and len({4, 5} & {*found}) == len({7, 8} & {*found}) == 1

@@ -90,4 +90,7 @@ def test_empty_repeated_and_long(spark):
     rows = join.ngram_join(spark.createDataFrame([(3, "a b"), (3, "a b"), (2, "A  b"), (None, "a b"), (9, None), (10, long), (11, long + " x")], schema)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in rows) == [(2, 1, 2, 0), (3, 1, 2, 0), (3, 1, 2, 0), (9, 0, 9, 0), (10, 59_996, 10, 1), (11, 59_997, 10, 1)]
     kept = join.near_duplicates_kept(spark.createDataFrame([(3, "a b", 1), (2, "A  b", 2), (None, "a b", 3), (9, None, 4), (9, None, 5)], schema + ", n int")).collect()
-    assert sorted(r.n for r in kept) == [2, 3, 4, 5]
+    assert sorted(r.n for r in kept) == [2, 4, 5]
+    words = " ".join(f"v{i}" for i in range(40))
+    clash = spark.createDataFrame([(5, words, 1), (5, words + " x", 2), (5, "only here", 3), (3, words, 4), (None, "y " + words, 5), (None, "nor here", 6)], schema + ", n int")
+    assert sorted(r.n for r in join.near_duplicates_kept(clash).collect()) == [3, 4, 6]

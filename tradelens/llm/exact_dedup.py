@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.llm.shared import cut
+from tradelens.llm.shared import cut, keyed
 
 #: A chunk has MIN to MAX characters and ends where a word ends in a mark, a space follows and a mark begins the next.
 MIN, MAX = 512, 8191
@@ -90,9 +90,13 @@ def _extended(chunked: DataFrame, contents: DataFrame, clashes: DataFrame, finge
 
 
 def exact_duplicates_dropped(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, with all their columns: one of each group of equal texts.
 
-    Rows without a doc_id can't be told apart by one and stay. Rows that repeat the kept doc_id all stay.
+    Rows are told apart by a number of their own, not by doc_id: a row that is repeated stays once, a text that is unique
+    stays whatever other texts have its doc_id, and so do unique texts without one. Of a group the row with the smallest
+    doc_id stays, one without an id only where none has one, and of those the first by number.
     """
-    gone = exact_dedup(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows, key = keyed(docs)
+    ids = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("row")).alias("doc_id"), "text")
+    gone = exact_dedup(ids).filter("not kept").select(F.col("doc_id.row").alias(key))
+    return rows.join(gone, key, "left_anti").select(*docs.columns)

@@ -1,35 +1,36 @@
 """Mixing by soft membership: a classifier gives each text's share in each domain, and rates are fitted to target weights.
 
-Rates r >= floor meet the domains' targets of expected tokens, sum of r * share * tokens, as nearly as they can be met, and
-stay as near to 1 as that allows. The fit runs distributed: a step needs sums over the domains and their pairs alone, and a
-text's rate follows from its shares and one multiplier for each domain, so neither rates nor texts come to the driver.
+The rates r >= floor minimise the squares of the domains' misses: the sum of r * share * tokens against its target. The fit
+is projected gradient descent, distributed: a text's rate follows from its shares and the steps so far, each of which is one
+multiplier for each domain, so a step needs one sum over the texts, and neither rates nor texts come to the driver.
 """
 
 from __future__ import annotations
 
-import logging
+import base64
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.shared import bounded_sample, cut, written
+from tradelens.llm.shared import MAX_BYTES, bounded_sample, cut, written
 from tradelens.llm.toxicity import token_buckets
 
 FEATURES = 1 << 15
 #: At most so many labelled rows are learnt from, those with the smallest hashes of their ids.
 MAX_TRAIN = 4000
 EPOCHS, RATE = 12, 0.5
-#: Steps at most, and how far a domain's total may be from its target, relative to the target.
-MAX_STEPS, CLOSE = 60, 1e-4
-#: What misses cost: they are relative misses of SLACK times the multiplier, so that targets out of reach have a solution too.
-SLACK = 1e-7
+#: How far a domain's total may be from its target, relative to the target; the fit fails rather than take more steps.
+#: LEAST is how much of the square a step must take away.
+CLOSE, LEAST, MAX_STEPS = 1e-4, 1e-4, 400
 #: With a floor, targets are so much above the least possible ones, of the domain that has most beyond its weight too: at
 #: the least only texts wholly outside of that domain could be repeated, and posteriors are never 0.
 MARGIN = 0.05
-_log = logging.getLogger(__name__)
+#: Characters of a text that are encoded at a time.
+SLICE = 100_000
 EXTRA = 5
 
 
@@ -71,11 +72,11 @@ def shares(weights: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def fit(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int = MAX_TRAIN) -> np.ndarray:
-    """Learns labels (doc_id, domain) from max_train labelled rows at most; rows of other domains are left out."""
+def fit(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> np.ndarray:
+    """Learns labels (doc_id, domain) from max_train labelled rows of max_bytes at most; rows of other domains are left out."""
     known = labels.filter(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # bounded by the parameter
-    sample = bounded_sample(docs, chosen, "domain")
+    sample = bounded_sample(docs, chosen, "domain", max_bytes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,97 +88,162 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int =
     return train(texts, np.array([domains.index(r.domain) for r in rows], np.int64), len(domains))
 
 
-def with_shares(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """All columns of docs (with text), n_words and shares: array of double, which sum to 1."""
+_ENCODERS: dict[tuple[str, str], object] = {}
+
+
+def n_tokens(text: str | None, path: str, pattern: str) -> int:
+    """Tokens of a text by the vocabulary (base64 token and rank in each line) at path.
+
+    Slices of at most SLICE characters end before a space that parts two words where there is one, which changes no count.
+    """
+    if (path, pattern) not in _ENCODERS:
+        import tiktoken
+
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        _ENCODERS[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encode, text, n = _ENCODERS[path, pattern].encode_ordinary, text or "", 0
+    while len(text) > SLICE:
+        end = text.rfind(" ", SLICE // 2, SLICE)
+        while end > 0 and (text[end - 1].isspace() or text[end + 1].isspace()):
+            end = text.rfind(" ", SLICE // 2, end)
+        end = end if end > 0 else SLICE
+        n, text = n + len(encode(text[:end])), text[end:]
+    return n + len(encode(text))
+
+
+def with_shares(docs: DataFrame, weights: np.ndarray, encoder: tuple[str, str]) -> DataFrame:
+    """All columns of docs (with text), n_tokens and shares: array of double, which sum to 1."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
-    docs = docs.drop("n_words", "shares")
+    docs = docs.drop("n_tokens", "shares")
     fields = "".join(f", `{c.name}` {c.dataType.simpleString()}" for c in docs.schema)[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, found = [], []
             for text in batch.column("text"):
-                at, w, size = features(text.as_py())
-                n.append(size)
+                text = text.as_py()
+                at, w, _size = features(text)
+                n.append(n_tokens(text, *encoder))
                 found.append(shares(model.value, at, w).tolist())
-            yield pa.RecordBatch.from_pydict(dict(zip(batch.schema.names, batch.columns, strict=True)) | {"n_words": pa.array(n, pa.int64()), "shares": pa.array(found, pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict(dict(zip(batch.schema.names, batch.columns, strict=True)) | {"n_tokens": pa.array(n, pa.int64()), "shares": pa.array(found, pa.list_(pa.float64()))})
+
+    return docs.mapInArrow(run, fields + ", n_tokens long, shares array<double>")
+
+
+@dataclass
+class Rates:
+    """What a fit gives: the steps (a multiplier for each domain), the targets and the largest relative miss of one."""
 
-    return docs.mapInArrow(run, fields + ", n_words long, shares array<double>")
+    steps: list[np.ndarray]
+    floor: float
+    targets: dict[str, float]
+    miss: float
 
+    def of(self, shares: np.ndarray) -> np.ndarray:
+        """The rates of texts by their shares (a row each): every step moves them along the gradient and back to the floor."""
+        r = np.full(len(shares), max(1.0, self.floor))
+        for m in self.steps:
+            r = np.maximum(self.floor, r - shares @ m)
+        return r
 
-def _rate(multipliers: np.ndarray, floor: float) -> Column:
-    """A text's rate by the domains' multipliers."""
-    along = sum((F.col("shares")[k] * float(m) for k, m in enumerate(multipliers)), F.lit(0.0))
-    return F.greatest(F.lit(float(floor)), F.lit(max(1.0, floor)) - along)
+    def added(self, shared: DataFrame) -> DataFrame:
+        """shared (shares) with rate."""
+        fields = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in shared.schema) + ", rate double"
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rate = pa.array(self.of(_matrix(batch.column("shares"), len(self.targets))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, rate], [*batch.schema.names, "rate"])
 
-def fit_rates(shared: DataFrame, weights: dict[str, float], floor: float = 0.0) -> tuple[Column, dict[str, float]]:
-    """The rate as a column of shared (shares, n_words), and each domain's target of expected words.
+        return shared.mapInArrow(run, fields)
 
-    The targets sum to the words there are, or to more where a floor needs it: as much as makes every domain's target its
-    floor's words and MARGIN of them at least. A domain without words keeps what it can get. Of the rates that meet the targets those nearest
-    to 1 (weighted by words) are max(floor, 1 - multipliers * shares); the multipliers, one for each domain, come from
-    Newton steps on the dual problem. The largest relative miss is logged, as a warning where it is above CLOSE.
+
+def _matrix(shares: pa.Array, d: int) -> np.ndarray:
+    return shares.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _sums(rows: DataFrame, rates: Rates, tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each step that is tried next the domains' totals, and the sums over their pairs of the texts above the floor."""
+    d = len(rates.targets)
+    size = d + d * d
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(tried), size))
+        for batch in batches:
+            s, n = _matrix(batch.column("shares"), d), batch.column("n_tokens").to_numpy().astype(float)
+            now = rates.of(s)
+            for k, m in enumerate(tried):
+                r = np.maximum(rates.floor, now - s @ m)
+                out[k] += np.concatenate(((n * r) @ s, (s.T @ (s * (n * (r > rates.floor))[:, None])).ravel()))
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([out.ravel().tolist()], pa.list_(pa.float64()))})
+
+    parts = rows.mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
+    total = np.zeros(len(tried) * size)
+    for row in parts.collect():  # as many rows as sums
+        total[row.k] = row.x
+    return [(x[:d], x[d:].reshape(d, d)) for x in total.reshape(len(tried), size)]
+
+
+def fit_rates(shared: DataFrame, weights: dict[str, float], floor: float = 0.0) -> Rates:
+    """Rates of shared (shares, n_tokens) that bring each domain's expected tokens to its target, as nearly as can be.
+
+    The targets sum to the tokens there are, or to more where a floor needs it: as much as makes every domain's target its
+    floor's tokens and MARGIN of them at least. What is minimised is the square of the misses in the metric of all texts'
+    sums over pairs of domains, in which a plain gradient step of length 1 never overshoots; longer ones, and one in the
+    metric of the texts above the floor, are tried in the same pass, and the best is taken. The fit ends when every target is
+    met within CLOSE of it, or where no step takes LEAST of the square away, as when targets are out of reach:
+    there the square is within a few hundredths of the least, and miss tells.
     """
     goal = np.array([*weights.values()], float)
     goal = goal / goal.sum()
-    d, start = len(goal), max(1.0, floor)
-    rows = written(shared.select("shares", "n_words").filter("n_words > 0"))
-    s = [F.col("shares")[k] for k in range(d)]
-    now = np.array(rows.agg(*[F.coalesce(F.sum(F.col("n_words") * x), F.lit(0.0)) for x in s]).first(), float)
+    rows = written(shared.select("shares", "n_tokens").filter("n_tokens > 0"))
+    fitted, zero = Rates([], floor, dict.fromkeys(weights, 0.0), 0.0), np.zeros(len(goal))
+    (_, whole), (totals, free) = _sums(rows, fitted, [zero - 1.0, zero])  # a step below 0 lifts all texts above the floor
+    now = totals / max(1.0, floor)
     target = goal * max(now.sum(), floor * (1 + MARGIN) * (now / goal).max())
-    named = dict(zip(weights, target, strict=True))
+    fitted.targets = dict(zip(weights, target.tolist(), strict=True))
     if now.sum() == 0:
-        return _rate(np.zeros(d), floor), named
-    words, want = float(now.sum()), target / now.sum()
-
-    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The dual's value, the domains' totals, and the curvature, all per word."""
-        r, n = _rate(m, floor), F.col("n_words") / words
-        along = sum((s[k] * float(m[k]) for k in range(d)), F.lit(0.0))
-        free = F.when(F.lit(start) - along > floor, n).otherwise(F.lit(0.0))
-        value = F.sum(n * ((r - start) * (r - start) / 2 + r * along))
-        found = rows.agg(value, *[F.sum(n * r * x) for x in s], *[F.sum(free * s[j] * s[k]) for j in range(d) for k in range(d)]).first()
-        return found[0] - m @ want - SLACK / 2 * (want * m * m).sum(), np.array(found[1 : d + 1], float), np.array(found[d + 1 :], float).reshape(d, d)
-
-    m = np.zeros(d)
-    value, totals, curve = at(m)
-    size, step = 1.0, None
+        return fitted
+    least = np.eye(len(goal)) * 1e-9 * np.trace(whole) / len(goal)
+    metric = np.linalg.inv(whole + least)
+    missed = lambda t: float((t - target) @ metric @ (t - target))
     for _ in range(MAX_STEPS):
-        slope = totals - want - SLACK * want * m
-        if np.abs(slope / want).max() <= CLOSE / 10:
-            break
-        if step is None:
-            step = np.linalg.solve(curve + np.diag(SLACK * want), slope)
-        tried = at(m + size * step)
-        if tried[0] >= value + 1e-4 * size * (slope @ step) - 1e-12 * abs(value):
-            m, (value, totals, curve), size, step = m + size * step, tried, 1.0, None
-        else:
-            size /= 4
-    miss = float(np.abs(totals / want - 1).max())
-    _log.log(logging.WARNING if miss > CLOSE else logging.INFO, "mixing: largest miss of a target %.2e of it; by domain %s", miss, dict(zip(weights, (totals / want - 1).round(6).tolist(), strict=True)))
-    return _rate(m, floor), named
-
-
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], floor: float = 0.0, max_train: int = MAX_TRAIN) -> DataFrame:
-    """All columns of docs (doc_id, text), n_words, shares, rate and copies.
-
-    rate is how often a text is wanted, copies a whole number with that mean that its doc_id alone decides, so a rerun and
-    lost executors change nothing. Null and empty texts have no words and get the rate of their shares. Repeated rows are
-    treated alike, an empty table gives an empty result, and without labels all domains are equally likely.
+        fitted.miss = float(np.abs(totals / target - 1).max())
+        if fitted.miss <= CLOSE:
+            return fitted
+        plain = metric @ (totals - target)
+        tried = [np.linalg.solve(free + least, totals - target), *(plain * k for k in (1, 2, 4, 8, 16, 64))]
+        found = _sums(rows, fitted, tried)
+        best = min(range(len(tried)), key=lambda k: missed(found[k][0]))
+        if missed(found[best][0]) >= (1 - LEAST) * missed(totals):
+            return fitted
+        fitted.steps.append(tried[best])
+        totals, free = found[best]
+    raise RuntimeError(f"the rates were not fitted in {MAX_STEPS} steps; the largest miss is {fitted.miss:.2e} of a target")
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], encoder: tuple[str, str], floor: float = 0.0, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """All columns of docs (doc_id, text), n_tokens, shares, rate, miss and copies; columns of docs with these names go.
+
+    encoder is the vocabulary's file, which every executor must have, and the pattern by which it splits texts. rate is how
+    often a text is wanted, miss how far the domain that is farthest is from its target, relative to it, and copies a whole
+    number with the rate as its mean that the doc_id alone decides, so a rerun and lost executors change nothing. Null and
+    empty texts have no tokens and get the rate of their shares. Repeated rows are treated alike, an empty table gives an
+    empty result, and without labels all domains are equally likely. Texts with equal shares get equal rates.
     """
-    docs = docs.drop("rate", "copies")
-    shared = cut(with_shares(docs, fit(docs, labels, [*weights], max_train)))
-    rate, _ = fit_rates(shared.select("shares", "n_words"), weights, floor)
+    docs = docs.drop("rate", "copies", "miss")
+    shared = cut(with_shares(docs, fit(docs, labels, [*weights], max_train, max_bytes), encoder))
+    rates = fit_rates(shared.select("shares", "n_tokens"), weights, floor)
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return shared.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+    return rates.added(shared).withColumn("miss", F.lit(rates.miss)).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], floor: float = 0.0, max_train: int = MAX_TRAIN) -> DataFrame:
+def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], encoder: tuple[str, str], floor: float = 0.0, **bounds) -> DataFrame:
     """The columns of docs with each row as often as its copies say."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     inner = docs.select("doc_id", "text", *[F.col(c).alias(f"own_{c}") for c in rest])
-    chosen = mix(inner, labels, weights, floor, max_train).filter("copies > 0")
+    chosen = mix(inner, labels, weights, encoder, floor, **bounds).filter("copies > 0")
     repeated = chosen.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return repeated.select(*[c if c in ("doc_id", "text") else F.col(f"own_{c}").alias(c) for c in docs.columns])
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.llm.components import components
-from tradelens.llm.shared import written
+from tradelens.llm.shared import keyed, written
 from tradelens.llm.textkit import mixed, word_hashes, words
 
 SHINGLE = 5
@@ -511,11 +511,14 @@ def _node_of(digest):
 
 
 def near_duplicates_kept(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each group: the one whose doc_id names the component stays.
+    """docs without all but one row of each group of linked texts: the one with the smallest doc_id stays.
 
-    Documents without words link with nothing and stay. Rows with a null doc_id are not joined and stay. Of repeated rows
-    with the doc_id that stays, all stay.
+    Rows are told apart by a number of their own, so no text is lost where several have one doc_id, and those without an id,
+    which come last, are joined as well. Rows without words link with nothing and stay.
     """
-    kept = ngram_join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    gone = docs.select("doc_id").filter("doc_id is not null").distinct().join(kept, "doc_id", "left_anti")
-    return docs.join(gone, "doc_id", "left_anti")
+    rows, key = keyed(docs)
+    joined = ngram_join(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key))
+    first = joined.join(rows.select("doc_id", key), key).withColumn("own", order).groupBy("component_id").agg(F.min("own")[key].alias(key))
+    gone = joined.select(key).join(first.select(key), key, "left_anti")
+    return rows.join(gone, key, "left_anti").select(*docs.columns)

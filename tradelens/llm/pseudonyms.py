@@ -24,16 +24,16 @@ KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date")
 FORMS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?@(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![0-9A-Za-z])",
-    "card": r"(?:(?<![\d.+-])|(?<=\d-))\d(?:[ -]?\d){12,18}",
-    "phone": r"(?<![\d+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
-    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d-]|[./]\d)",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![0-9A-Za-z])",
+    "card": r"(?:(?<![0-9.+-])|(?<=[0-9]-))[0-9](?:[ -]?[0-9]){12,18}",
+    "phone": r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9-]|[./][0-9])",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{f})" for k, f in FORMS.items()))
 _EACH = {k: re.compile(f) for k, f in FORMS.items()}
-_LAST_OF_IBAN, _LAST_OF_CARD, _LATER_GROUP = re.compile(r"[A-Z0-9](?![0-9A-Za-z])"), re.compile(r"\d(?!\d)"), re.compile(r"(?<=[ -])\d")
+_LAST_OF_IBAN, _LAST_OF_CARD, _LATER_GROUP = re.compile(r"[A-Z0-9](?![0-9A-Za-z])"), re.compile(r"[0-9](?![0-9])"), re.compile(r"(?<=[ -])[0-9]")
 #: How long each country's IBANs are (ISO 13616 registry).
 IBAN_LENGTHS = {
     c: n

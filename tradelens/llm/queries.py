@@ -20,7 +20,7 @@ from tradelens.llm.url_filter import filter_urls, rule_table
 from tradelens.llm.vector_codes import vector_codes
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: Target shares of words: the languages of good documents, and documents of low quality in any language.
+#: Target shares of tokens: the languages of good documents, and documents of low quality in any language.
 MIX_WEIGHTS = {"en": 0.50, "de": 0.14, "fr": 0.14, "es": 0.12, "low": 0.10}
 #: A production key comes from the caller's secret store; this one makes the query's results repeatable.
 PSEUDONYM_KEY = "example-key"
@@ -33,6 +33,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def encoder() -> tuple[str, str]:
+    """The vocabulary of byte_bpe_50k as ranks, and the pattern by which it splits texts."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -56,8 +63,8 @@ def op5_pii_pseudonyms(spark, sf_dir):
 
 def op6_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    mixed = mix(docs.drop("lang"), labelled_domains(docs, table(spark, sf_dir, "labels")), MIX_WEIGHTS)
-    return mixed.select("doc_id", "n_words", *[F.col("shares")[k].alias(f"share_{d}") for k, d in enumerate(MIX_WEIGHTS)], "rate", "copies")
+    mixed = mix(docs.drop("lang"), labelled_domains(docs, table(spark, sf_dir, "labels")), MIX_WEIGHTS, encoder())
+    return mixed.select("doc_id", "n_tokens", *[F.col("shares")[k].alias(f"share_{d}") for k, d in enumerate(MIX_WEIGHTS)], "rate", "miss", "copies")
 
 
 def op9_katz_backoff(spark, sf_dir):
@@ -77,10 +84,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def op11_secret_scan(spark, sf_dir):
-    import public_tokenizers
-
-    docs = table(spark, sf_dir, "documents")
-    return secret_report(secret_spans(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return secret_report(secret_spans(table(spark, sf_dir, "documents"), *encoder()))
 
 
 def op12_vector_codes(spark, sf_dir):

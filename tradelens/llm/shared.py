@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradelens.sources.staging import shared_folder, staged
+
 #: The white space that separates words: the space and the controls 0x09 to 0x0D.
 SPACES = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,27 +21,25 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Where that is unset, as in tests, a local session gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return folder or tempfile.mkdtemp(prefix="tradelens-")
-
-
-#: Bytes of the texts that a classifier is fitted to.
+#: Bytes of the texts that a classifier is fitted to, unless its caller says otherwise.
 MAX_BYTES = 128_000_000
 
 
 def bounded_sample(docs: DataFrame, chosen: DataFrame, label: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """doc_id, text and label of the chosen (doc_id, label; bounded rows), whole texts up to max_bytes in all.
+    """doc_id, text and label of the chosen (doc_id, label; bounded rows), whole texts of at most max_bytes in all.
 
-    Those with the smallest hashes of their ids come first. Of several texts of one doc_id the smallest counts.
+    Those with the smallest hashes of their ids come first; a text that doesn't fit any more is left out, and those after
+    it still count. Of several texts of one doc_id the smallest counts. The sizes alone, a row for each chosen id, are
+    added up on the driver.
     """
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min(label).alias(label))
-    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sizes = found.withColumn("upto", upto)  # one task, as the chosen rows are bounded
-    return sizes.filter(F.col("upto") <= max_bytes).select("doc_id", "text", label)
+    found = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min(label).alias(label)))
+    fits, room = [], max_bytes
+    for row in found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if row["size"] <= room:
+            fits.append((row["doc_id"],))
+            room -= row["size"]
+    ids = found.sparkSession.createDataFrame(fits, f"doc_id {found.schema['doc_id'].dataType.simpleString()}")
+    return found.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", label)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,11 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared checkpoint folder: compressed, and read by column."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The same rows from a Parquet table in the shared folder: compressed, and read by column."""
+    return staged(df)
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, in a column whose name docs doesn't have, from a table that keeps the numbers."""
+    name = "_".join(["row", *docs.columns])
+    return written(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def partitions(df: DataFrame) -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.shared import bounded_sample
+from tradelens.llm.shared import MAX_BYTES, bounded_sample
 from tradelens.llm.textkit import Spans
 
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 18, 8, 4, (1, 2, 3)
@@ -188,8 +188,8 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)), F.lit(-1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Learns toxic from labelled rows outside the held-out fold, max_train at most."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model:
+    """Learns toxic from labelled rows outside the held-out fold, max_train rows and max_bytes of texts at most."""
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # bounded by the parameter
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
             tokens = [token_buckets(x.as_py()).tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "toxic": batch.column("toxic"), "tokens": pa.array(tokens, pa.binary())})
 
-    sample = bounded_sample(docs, chosen, "toxic")
+    sample = bounded_sample(docs, chosen, "toxic", max_bytes)
     found = sorted(sample.mapInArrow(encode, "doc_id long, toxic int, tokens binary").collect())
     return train([np.frombuffer(r.tokens, np.int32) for r in found], np.array([r.toxic for r in found], np.int64))
 
@@ -219,18 +219,18 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return docs.mapInArrow(run, fields + f", `{name}` double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs (doc_id, text).
 
     Whole texts are scored. A null or empty text has no words and gets the score of the bare bias. A null doc_id is not
     held out. Repeated rows score alike, more columns are left out, an empty table gives an empty result; without labels of
     both kinds nothing is predicted toxic. Of several label rows of a document, any toxic one counts.
     """
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels, max_train))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels, max_train, max_bytes))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns."""
     columns, name = docs.columns, "_".join(["toxicity", *docs.columns])  # a name that docs doesn't have
-    return score(docs, fit(docs, labels, max_train), name).filter(F.col(name) < 0.5).select(*columns)
+    return score(docs, fit(docs, labels, max_train, max_bytes), name).filter(F.col(name) < 0.5).select(*columns)
