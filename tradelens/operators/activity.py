@@ -14,7 +14,7 @@ PERIODS = {
 }
 _BUCKET = "CASE WHEN filing_delay_days <= 7 THEN '1: 0-7' WHEN filing_delay_days <= 15 THEN '2: 8-15' WHEN filing_delay_days <= 30 THEN '3: 16-30' WHEN filing_delay_days <= 45 THEN '4: 31-45' WHEN filing_delay_days <= 60 THEN '5: 46-60' WHEN filing_delay_days <= 90 THEN '6: 61-90' ELSE '7: 91+' END"
 _QUARTER = "concat(CAST(year(transaction_date) AS STRING), 'Q', CAST(quarter(transaction_date) AS STRING))"
-_BY_QUARTER = f"SELECT ticker, {_QUARTER} AS quarter, CAST(year(transaction_date) * 4 + quarter(transaction_date) - 1 AS INT) AS q, count(*) AS n_trades, count(DISTINCT t.member_id) AS n_members, sum(amount_est) AS gross, sum(amount_est * direction) AS net, sum(amount_est * direction * coalesce(s.weight, 1.0)) AS weighted_net FROM trades t LEFT JOIN scores90 s ON s.member_id = t.member_id WHERE {USABLE} GROUP BY ticker, {_QUARTER}, CAST(year(transaction_date) * 4 + quarter(transaction_date) - 1 AS INT)"
+_BY_QUARTER = f"SELECT ticker, {_QUARTER} AS quarter, CAST(year(transaction_date) * 4 + quarter(transaction_date) - 1 AS INT) AS q, count(*) AS n_trades, count(DISTINCT t.member_id) AS n_members, sum(amount_est) AS gross, sum(amount_est * direction) AS net, CAST(sum(CAST(amount_est * direction * coalesce(s.weight, 1.0) AS DECIMAL(28,8))) AS DOUBLE) AS weighted_net FROM trades t LEFT JOIN scores90 s ON s.member_id = t.member_id WHERE {USABLE} GROUP BY ticker, {_QUARTER}, CAST(year(transaction_date) * 4 + quarter(transaction_date) - 1 AS INT)"
 
 _DAY = "DAYS[transaction_date; DATE '1970-01-01']"
 _SIDED = f"SELECT t.ticker, CASE WHEN t.direction > 0 THEN 'buy' ELSE 'sell' END AS side, t.member_id, {_DAY} AS day, t.transaction_date, t.amount_est, t.amount_est * coalesce(s.weight, 1.0) AS weighted FROM trades t LEFT JOIN scores90 s ON s.member_id = t.member_id WHERE {USABLE} AND t.direction <> 0 AND t.member_id IS NOT NULL"
@@ -26,7 +26,7 @@ ACTIVITY_VIEWS = {
     "quarterly": _BY_QUARTER,
     # Trades beside the spend of the same quarter and of one and two quarters before; without lobbying the spend is 0.
     "overlaid": "SELECT k.lag_quarters, t.*, coalesce(s.spend, 0.0) AS lobbied, coalesce(s.filings, 0) AS filings FROM quarterly t CROSS JOIN (VALUES (0), (1), (2)) AS k(lag_quarters) LEFT JOIN spend s ON s.ticker = t.ticker AND s.q + k.lag_quarters = t.q",
-    "measured": " UNION ALL ".join(f"SELECT lag_quarters, '{m}' AS metric, round(lobbied, 6) AS x, round(abs(CAST({c} AS DOUBLE)), 6) AS y FROM overlaid" for m, c in METRICS.items()),
+    "measured": " UNION ALL ".join(f"SELECT lag_quarters, '{m}' AS metric, ticker, quarter, round(lobbied, 6) AS x, round(abs(CAST({c} AS DOUBLE)), 6) AS y FROM overlaid" for m, c in METRICS.items()),
     "placed": "SELECT lag_quarters, metric, rank() OVER (PARTITION BY lag_quarters, metric ORDER BY x) + (count(*) OVER (PARTITION BY lag_quarters, metric, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY lag_quarters, metric ORDER BY y) + (count(*) OVER (PARTITION BY lag_quarters, metric, y) - 1) / 2.0 AS b FROM measured",
     "sided": _SIDED,
     # Every trade opens a window of 14 days.

@@ -39,7 +39,7 @@ FROM (SELECT s.*, p.spread FROM shrunk s JOIN (SELECT horizon_days, stddev_samp(
     "legs": """
 SELECT t.txn_id, t.member_id, t.ticker, t.filing_delay_days AS lag_days, t.direction,
   greatest(t.transaction_date, s.lo) AS d0, greatest(t.filed_date, s.lo) AS df, greatest(SHIFT[t.filed_date; 90], s.lo) AS d1
-FROM scorable t CROSS JOIN span s""",
+FROM scorable t CROSS JOIN span s WHERE t.filed_date >= t.transaction_date""",
     "opened": "SELECT e.*, p.px AS px0, p.bpx AS bpx0 FROM legs e JOIN relative p ON p.ticker = e.ticker AND p.date = e.d0 WHERE p.px > 0 AND p.bpx > 0",
     "disclosed": "SELECT e.*, p.px AS pxf, p.bpx AS bpxf FROM opened e JOIN relative p ON p.ticker = e.ticker AND p.date = e.df WHERE p.px > 0 AND p.bpx > 0",
     "split": """
@@ -72,10 +72,10 @@ SKILL_QUERIES = {
 SELECT horizon_days, s.member_id, n_scored, round(mean_excess, 5) + 0.0 AS mean_excess, round(sd_excess, 5) + 0.0 AS sd_excess, round(hit_rate, 5) AS hit_rate,
   round(dollar_wtd_excess, 5) + 0.0 AS dollar_wtd_excess, round(shrunk_excess, 5) + 0.0 AS shrunk_excess, round(t_stat, 4) + 0.0 AS t_stat, round(weight, 4) AS weight, n_trades
 FROM scores s JOIN (SELECT member_id, count(*) AS n_trades FROM trades GROUP BY member_id) c ON s.member_id = c.member_id""",
-    "timing_decompose": "SELECT txn_id, lag_days, round(pre, 5) + 0.0 AS pre, round(post, 5) + 0.0 AS post, round(pre + post, 5) + 0.0 AS total, CASE WHEN abs(pre + post) > 1e-9 THEN round(pre / (pre + post), 3) + 0.0 END AS share_before FROM split",
+    "timing_decompose": "SELECT txn_id, lag_days, round(pre, 5) + 0.0 AS pre, round(post, 5) + 0.0 AS post, round(pre + post, 5) + 0.0 AS total, CASE WHEN abs(pre + post) > 1e-9 THEN round(post / (pre + post), 3) + 0.0 END AS capturable_share FROM split",
     "timing_summary": """
 SELECT count(*) AS n, round(avg(pre), 6) + 0.0 AS mean_pre, round(avg(post), 6) + 0.0 AS mean_post, round(avg(pre + post), 6) + 0.0 AS mean_total,
-  round(avg(pre) / (stddev_samp(pre) / sqrt(count(*))), 4) AS t_pre, round(avg(post) / (stddev_samp(post) / sqrt(count(*))), 4) AS t_post,
+  round(avg(pre) / nullif(stddev_samp(pre) / sqrt(count(*)), 0.0), 4) AS t_pre, round(avg(post) / nullif(stddev_samp(post) / sqrt(count(*)), 0.0), 4) AS t_post,
   round(avg(CASE WHEN post > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_post, CAST(median(lag_days) AS DOUBLE) AS median_lag,
   CASE WHEN abs(avg(pre) + avg(post)) > 1e-12 THEN round(avg(pre) / (avg(pre) + avg(post)), 6) END AS share_before,
   CASE WHEN avg(post) / nullif(stddev_samp(post) / sqrt(count(*)), 0.0) > 2 THEN 'positive' WHEN avg(post) / nullif(stddev_samp(post) / sqrt(count(*)), 0.0) < -2 THEN 'negative'

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import partial
 
-from tradelens.operators.activity import ACTIVITY_QUERIES, ACTIVITY_VIEWS
-from tradelens.operators.market import MARKET_QUERIES, MARKET_VIEWS
+from tradelens.operators.activity import ACTIVITY_QUERIES
+from tradelens.operators.market import MARKET_QUERIES
 from tradelens.operators.skill import SKILL_QUERIES
 from tradelens.plans.dialect import duckdb_text, spark_frame
 from tradelens.plans.frames import FRAME_ORACLES, FRAMES
-from tradelens.sources.views import VIEWS
+from tradelens.plans.oracles import WRITTEN
+from tradelens.plans.world import ALL_VIEWS, STORED
 
-ALL_VIEWS = VIEWS | ACTIVITY_VIEWS | MARKET_VIEWS
 TEXTS = ACTIVITY_QUERIES | SKILL_QUERIES | MARKET_QUERIES
 
-QUERIES = {name: partial(spark_frame, query=text, views=ALL_VIEWS) for name, text in TEXTS.items()} | FRAMES
-ORACLES: dict[str, str] = {name: duckdb_text(text, ALL_VIEWS) for name, text in TEXTS.items()} | FRAME_ORACLES
+QUERIES = {name: partial(spark_frame, query=text, views=ALL_VIEWS, stored=STORED) for name, text in TEXTS.items()} | FRAMES
+#: Hand-written SQL where there is one, else the query's own text in the other dialect.
+ORACLES: dict[str, str] = {name: duckdb_text(text, ALL_VIEWS) for name, text in TEXTS.items()} | FRAME_ORACLES | WRITTEN

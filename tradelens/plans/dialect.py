@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tradelens.sources.staging import fingerprint, staged
+
 #: name: (Spark's form, DuckDB's form); arguments are separated by semicolons.
 FORMS = {
     "DAYS": ("datediff({0}, {1})", "CAST(date_diff('day', {1}, {0}) AS INTEGER)"),
@@ -48,13 +50,42 @@ def statement(query: str, views: dict[str, str], dialect: int) -> str:
     return _written(f"WITH {ctes}\n{query.strip()}" if ctes else query.strip(), dialect)
 
 
-def spark_frame(spark: SparkSession, sf_dir: str, query: str, views: dict[str, str]) -> DataFrame:
-    """The tables stand in the text as {name}, so the caller's own views keep their names."""
-    text = statement(query, views, 0)
-    used = [name for name in TABLES if re.search(rf"\b{name}\b", text)]
-    for name in used:
+def _named(name: str, text: str) -> bool:
+    return re.search(rf"\b{name}\b", text) is not None
+
+
+def spark_frame(spark: SparkSession, sf_dir: str, query: str, views: dict[str, str], stored: frozenset[str] = frozenset()) -> DataFrame:
+    """The query's rows. Tables and stored views stand in the text as {name}, so the caller's own views keep their names.
+
+    A stored view that the query needs is computed once and read from its table by every other query.
+    """
+    inner, held, text = {}, [], query
+    for name in reversed(views):
+        if _named(name, text):
+            if name in stored:
+                held.append(name)
+            else:
+                inner[name] = views[name]
+                text += views[name]
+    text = statement(query, {n: views[n] for n in views if n in inner}, 0)
+    frames = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES if _named(name, text)}
+    frames |= {name: stored_view(spark, sf_dir, name, views, stored) for name in held}
+    for name in frames:
         text = re.sub(rf"\b{name}\b", f"{{{name}}}", text)
-    return spark.sql(text, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in used})
+    return spark.sql(text, **frames)
+
+
+_STORED: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def stored_view(spark: SparkSession, sf_dir: str, name: str, views: dict[str, str], stored: frozenset[str]) -> DataFrame:
+    """The view's rows from a table in the shared folder, written when first needed for these files as they are now."""
+    seen = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES if _named(t, statement(f"SELECT * FROM {name}", views, 0))])
+    key = (spark.sparkContext.applicationId, sf_dir, name, f"{views[name]}|{seen}")
+    if key not in _STORED:
+        before = dict(list(views.items())[: list(views).index(name) + 1])
+        _STORED[key] = staged(spark_frame(spark, sf_dir, f"SELECT * FROM {name}", before, stored - {name}), name)
+    return _STORED[key]
 
 
 def duckdb_text(query: str, views: dict[str, str]) -> str:

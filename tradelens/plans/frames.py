@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions import scalars as s
-from tradelens.operators import panel, picks, reports, weights
-from tradelens.operators.activity import ACTIVITY_VIEWS
-from tradelens.operators.market import MARKET_VIEWS
-from tradelens.plans.dialect import duckdb_text, spark_frame
+from tradelens.operators import eventstudy, panel, picks, ranks, reports, weights
+from tradelens.plans.dialect import duckdb_text
+from tradelens.plans.world import ALL_VIEWS, view
 from tradelens.sources.entities import resolve_tickers
+from tradelens.sources.staging import staged
 from tradelens.sources.store import upsert
-from tradelens.sources.views import VIEWS
 
-_VIEWS = VIEWS | ACTIVITY_VIEWS | MARKET_VIEWS
 #: Sectors of the test tables that stand for those that a theme touches.
 EXPOSED = {"conflict": ["sector0", "sector1"], "tariffs": ["sector1", "sector2"], "energy": ["sector2", "sector3"], "health": ["sector3"], "ai": ["sector4", "sector0"], "monetary": ["sector4"]}
 
 
-def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return spark_frame(spark, sf_dir, text, _VIEWS)
-
-
 def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades with a source: those of even lines come from a vendor."""
     return view(spark, sf_dir, "SELECT *, CASE WHEN CAST(substr(txn_id, length(txn_id), 1) AS INT) % 2 = 0 THEN 'vendor' ELSE 'house' END AS source FROM trades")
@@ -85,6 +79,68 @@ def upsert_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(old, new, ["txn_id"])
 
 
+_POLICY = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS event_date, p_brand AS ticker FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderpriority = '1-URGENT' AND l_quantity = 50"
+
+
+def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that most members trade most in the two years before the last trade."""
+    rows = view(spark, sf_dir, "SELECT * FROM recent")
+    for c, name in (("n_members", "p_members"), ("n_trades", "p_trades"), ("volume", "p_volume")):
+        rows = ranks.percent_ranks(rows, [], c, ["ticker"], name)
+    score = F.round(0.5 * F.col("p_members") + 0.25 * F.col("p_trades") + 0.25 * F.col("p_volume"), 6)
+    best = rows.withColumn("score", score).orderBy(F.desc("score"), "ticker").limit(50)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "ticker")).cast("int")  # of 50 rows
+    reason = F.concat(F.col("n_members").cast("string"), F.lit(" members, "), F.col("n_trades").cast("string"), F.lit(" trades"))
+    return best.select(place.alias("place"), "ticker", "n_members", "n_trades", F.round("volume", 2).alias("volume"), "score", "last_traded", reason.alias("reason"))
+
+
+def correlation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spearman's correlation of lobbying spend with three measures of trading, at three lags, and its p value."""
+    pairs = view(spark, sf_dir, "SELECT lag_quarters, metric, x, y, ticker, quarter FROM measured")
+    found = ranks.spearman(pairs, ["lag_quarters", "metric"], "x", "y", ["ticker", "quarter"], least=10).filter("n >= 10")
+    return found.select("lag_quarters", "metric", "n", (F.round("rho", 4) + 0.0).alias("rho"), F.round(ranks.correlation_p(F.col("rho"), F.col("n")), 6).alias("p_value"))
+
+
+def spearman_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "SELECT ticker, date, score, round(y21, 8) AS y21 FROM composite")
+    return ranks.spearman(rows, [], "score", "y21", ["ticker", "date"]).select("n", F.round("rho", 5).alias("ic"))
+
+
+def quintile_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranks.fifths(view(spark, sf_dir, "SELECT ticker, date, score, y21 FROM composite"), [], "score", ["date", "ticker"])
+    return rows.groupBy(F.col("fifth").alias("quintile")).agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("y21"), 5) + 0.0).alias("mean_y"))
+
+
+def _models(spark: SparkSession, sf_dir: str, window: tuple[int, int]) -> DataFrame:
+    sums = eventstudy.running_sums(view(spark, sf_dir, "SELECT ticker, day, ret, market FROM paired"), view(spark, sf_dir, "SELECT max(day) AS day FROM tradingdays"))
+    return eventstudy.market_model(sums, window)
+
+
+def event_study_car(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = view(spark, sf_dir, "SELECT DISTINCT s.ticker, d.day FROM (SELECT DISTINCT ticker, transaction_date FROM scorable) s JOIN anchorday d ON d.date = s.transaction_date")
+    found = events.join(_models(spark, sf_dir, (0, 20)), ["ticker", "day"])
+    rounded = [(F.round(c, k) + 0.0).alias(c) for c, k in (("beta", 4), ("r2", 4), ("car", 4), ("t_stat", 3))]
+    return found.select("ticker", F.col("day").alias("pos"), "n_est", *rounded)
+
+
+def _studied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trades = view(spark, sf_dir, "SELECT txn_id, member_id, ticker, transaction_date, direction FROM scorable")
+    return eventstudy.study_trades(trades, view(spark, sf_dir, "SELECT date, day FROM anchorday"), _models(spark, sf_dir, (0, 20)))
+
+
+def event_study_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = eventstudy.summary(_studied(spark, sf_dir), ["ticker"])
+    return out.select("ticker", "n", *[(F.round(c, k) + 0.0).alias(c) for c, k in (("mean_car", 5), ("median_car", 5), ("sd", 5), ("t_stat", 3), ("pct_positive", 5))])
+
+
+def policy_event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with urgent orders as policy events on the brands of which most was ordered then, as JSON lists."""
+    events = view(spark, sf_dir, _POLICY).groupBy("event_date").agg(F.to_json(F.sort_array(F.collect_set("ticker"))).alias("tickers"))
+    events = events.select(F.concat(F.lit("E"), F.col("event_date").cast("string")).alias("event_id"), "event_date", "tickers", F.lit("order").alias("category"), F.lit("urgent").alias("title"))
+    found = eventstudy.study_policy_events(events, view(spark, sf_dir, "SELECT date, day FROM anchorday"), _models(spark, sf_dir, (-5, 20)))
+    return found.select("key", "event_date", "ticker", "n_est", *[(F.round(c, k) + 0.0).alias(c) for c, k in (("beta", 4), ("r2", 4), ("car", 4), ("t_stat", 3))])
+
+
 def features_panel(spark: SparkSession, sf_dir: str, include_unlabelled: bool = False) -> DataFrame:
     """All features by week and ticker, with the excess returns after 21 and 126 trading days."""
     # Each part is used by several others; a lost executor's share is computed again.
@@ -118,7 +174,7 @@ def pick_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: factor_panel, factor_weights, backtest_folds and pick_scoreboard stay callable; they plan for too long to run with the others.
-FRAMES = {f.__name__: f for f in (reconcile, health, committee_alignment, amounts_parsed, dates_parsed, tickers_resolved, upsert_trades, features_panel)}
+FRAMES = {f.__name__: f for f in (universe, correlation_report, spearman_ic, quintile_spread, event_study_car, event_study_summary, policy_event_study, reconcile, health, committee_alignment, amounts_parsed, dates_parsed, tickers_resolved, upsert_trades, features_panel)}
 
 _ISSUES = ", ".join(f"('{i}', '{c}')" for i, cs in reports.ISSUE_COMMITTEES.items() for c in cs.split())
 _CODES = ", ".join(f"'{c}'" for c in sorted(reports.ISSUE_COMMITTEES))
@@ -135,7 +191,7 @@ SELECT count(*) AS transactions, count(ticker) AS transactions_with_ticker, CAST
 FROM trades""",
     "upsert_trades": "SELECT txn_id, CASE WHEN max(transaction_date) >= DATE '1995-01-01' THEN 2 * max(amount_est) ELSE max(amount_est) END AS amount_est, max(transaction_date) AS transaction_date FROM trades GROUP BY txn_id",
 }
-_ORACLE_VIEWS = _VIEWS | {
+_ORACLE_VIEWS = ALL_VIEWS | {
     "o": "SELECT member_id, ticker, transaction_date FROM trades WHERE CAST(right(txn_id, 1) AS INTEGER) % 2 = 1",
     "v": "SELECT member_id, ticker, transaction_date FROM trades WHERE CAST(right(txn_id, 1) AS INTEGER) % 2 = 0",
 }

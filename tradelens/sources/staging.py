@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -61,17 +61,23 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return "|".join(found)
 
 
-def numbered(df: DataFrame, *order, parts: int | None = None) -> DataFrame:
-    """df with place (1, 2, 3 ... in the order), by a range exchange and the sizes of its parts; no task sees the whole.
+def numbered(df: DataFrame, *order: str | Column, keys: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """df with place: 1, 2, 3 ... in the order, within each of keys if any, by a range exchange and the sizes of its parts.
 
-    The rows are staged once, so the places stay whatever is computed from them. Rows that the order doesn't tell apart are
-    numbered in any order.
+    No task sees the whole, or all of a key: a part holds a range of keys and values, and the sizes of a key's parts are
+    added up. The rows are staged once, so the places stay whatever is computed from them. Rows that the order doesn't tell
+    apart are numbered in any order; a key may be null.
     """
+    keys = keys or []
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows = staged(sorted_.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    sizes = rows.groupBy(part.alias("_part")).agg((F.max(within) + 1).alias("n"))  # a row for each part
-    upto = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    before = sizes.select("_part", F.coalesce(upto, F.lit(0)).alias("_before"))
-    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + within + 1).drop("_part", "_at", "_before")
+    by = [*keys, *order]
+    rows = staged(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    sizes = rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a row for each part of a key
+    upto = Window.partitionBy(*keys) if keys else Window
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(upto.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_first", "_before")
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(before, same).withColumn("place", F.col("_before") + F.col("_at") - F.col("_first") + 1).select(*df.columns, "place")
