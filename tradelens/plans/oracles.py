@@ -8,9 +8,9 @@ t AS MATERIALIZED (
     CAST(1 + (l_partkey * 7 + l_linenumber * 13) % 120 AS INTEGER) AS delay, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END AS side, l_extendedprice AS amount,
     round(1 - l_tax * 5, 2) AS sure
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
-px AS MATERIALIZED (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_extendedprice / l_quantity AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS p
+px AS MATERIALIZED (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_extendedprice / l_quantity AS DECIMAL(28,12))) AS DOUBLE) / count(*) AS p
   FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
-bench AS MATERIALIZED (SELECT day, CAST(sum(CAST(p AS DECIMAL(18,8))) AS DOUBLE) / count(*) AS p FROM px GROUP BY day),
+bench AS MATERIALIZED (SELECT day, CAST(sum(CAST(p AS DECIMAL(28,12))) AS DOUBLE) / count(*) AS p FROM px GROUP BY day),
 edge AS (SELECT min(day) AS lo, max(day) AS hi FROM px)"""
 
 
@@ -67,9 +67,9 @@ area AS (SELECT lag_quarters, metric, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i
 SELECT lag_quarters, metric, n, round(rho, 4) + 0 AS rho, round(greatest(1 - 2 * half, 0), 6) AS p_value FROM g JOIN area USING (lag_quarters, metric)"""
 
 _UNIVERSE = _TRADES + """,
-u AS (SELECT ticker, count(*) AS n_trades, count(DISTINCT member_id) AS n_members, sum(amount) AS volume, max(traded) AS last_traded FROM t WHERE sure >= 0.7 AND traded >= (SELECT max(traded) - 730 FROM t) GROUP BY ticker),
-v AS (SELECT *, (SELECT count(*) FILTER (o.n_members < u.n_members) + (count(*) FILTER (o.n_members = u.n_members) + 1) / 2.0::DOUBLE FROM u o) AS a, (SELECT count(*) FILTER (o.n_trades < u.n_trades) + (count(*) FILTER (o.n_trades = u.n_trades) + 1) / 2.0::DOUBLE FROM u o) AS b,
-  (SELECT count(*) FILTER (o.volume < u.volume) + (count(*) FILTER (o.volume = u.volume) + 1) / 2.0::DOUBLE FROM u o) AS c, (SELECT count(*) FROM u) AS n FROM u),
+u AS MATERIALIZED (SELECT ticker, count(*) AS n_trades, count(DISTINCT member_id) AS n_members, sum(amount) AS volume, max(traded) AS last_traded FROM t WHERE sure >= 0.7 AND traded >= (SELECT max(traded) - 730 FROM t) GROUP BY ticker),
+v AS (SELECT u.*, count(*) FILTER (o.n_members < u.n_members) + (count(*) FILTER (o.n_members = u.n_members) + 1) / 2.0::DOUBLE AS a, count(*) FILTER (o.n_trades < u.n_trades) + (count(*) FILTER (o.n_trades = u.n_trades) + 1) / 2.0::DOUBLE AS b,
+  count(*) FILTER (o.volume < u.volume) + (count(*) FILTER (o.volume = u.volume) + 1) / 2.0::DOUBLE AS c, count(*) AS n FROM u, u o GROUP BY ALL),
 s AS (SELECT *, round((0.5::DOUBLE * a + 0.25::DOUBLE * b + 0.25::DOUBLE * c) / n, 6) AS score FROM v)
 SELECT CAST(row_number() OVER (ORDER BY score DESC, ticker) AS INTEGER) AS place, ticker, n_members, n_trades, round(volume, 2) AS volume, score, last_traded, concat(n_members, ' members, ', n_trades, ' trades') AS reason FROM s ORDER BY score DESC, ticker LIMIT 50"""
 

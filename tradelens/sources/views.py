@@ -24,10 +24,10 @@ SELECT *, SHIFT[transaction_date; filing_delay_days] AS filed_date,
   CASE WHEN amount_est <= 15000 THEN 15000.0 WHEN amount_est <= 50000 THEN 50000.0 ELSE 100000.0 END AS amount_high
 FROM traded""",
     "quotes": """
-SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice / l_quantity AS DECIMAL(18,6))) AS DOUBLE) AS total, count(*) AS n
+SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice / l_quantity AS DECIMAL(28,12))) AS DOUBLE) AS total, count(*) AS n
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, CAST(l_shipdate AS DATE)""",
     "prices": """
-SELECT ticker, date, total / n AS px FROM quotes UNION ALL SELECT 'BENCH' AS ticker, date, CAST(sum(CAST(total / n AS DECIMAL(18,8))) AS DOUBLE) / count(*) AS px FROM quotes GROUP BY date""",
+SELECT ticker, date, total / n AS px FROM quotes UNION ALL SELECT 'BENCH' AS ticker, date, CAST(sum(CAST(total / n AS DECIMAL(28,12))) AS DOUBLE) / count(*) AS px FROM quotes GROUP BY date""",
     "span": "SELECT min(date) AS lo, max(date) AS hi FROM quotes",
     # The last price on or before each calendar day from a ticker's first quote on; a stale price is carried to the end.
     "panel": """
