@@ -17,23 +17,27 @@ def apply(spark, function, *values):
 
 def test_amounts(spark):
     got = apply(spark, s.parse_amount, "$1,001 - $15,000", "$15,001–$50,000", "1,000,001 - 5,000,000", "$50,001 -$100,000", "Over $50,000,000", "n/a", None, "$20,000", "7.5")
+    more = apply(spark, s.parse_amount, "greater than $50,000,000", "More than $5", "+ $1,000", "$1,001+", "None")
+    assert [(r.low, r.high) for r in more] == [(50_000_000, 100_000_000), (5, 10), (1000, 2000), (1001, 15000), (None, None)]
     assert [(r.low, r.high) for r in got] == [(1001, 15000), (15001, 50000), (1000001, 5000000), (50001, 100000), (50000000, 100000000), (None, None), (None, None), (15001, 50000), (1, 1000)]
     assert got[0].est == pytest.approx((1001 * 15000) ** 0.5) and got[5].est is None
 
 
 def test_dates(spark):
     got = apply(spark, s.iso, "01/02/2026", "1/2/26", "2026-01-02", "Jan 2, 2026", "January 2, 2026", "2 Jan 2026", "01-02-2026", "2026/01/02", "01/02/2026 10:00", "soon", "", None, "5/6/71")
-    assert got == ["2026-01-02"] * 9 + [None, None, None, "1971-05-06"]
+    assert got == ["2026-01-02"] * 5 + [None] + ["2026-01-02"] * 3 + [None, None, None, "1971-05-06"]
     row = spark.range(1).select(s.delay_days(F.lit("01/02/2026"), F.lit("03/14/2026")).alias("d"), s.quarter_of(F.to_date(F.lit("2026-03-14"))).alias("q"), s.shift_quarter(F.lit("2026Q1"), -1).alias("b"), s.period_dates(F.lit("Second Quarter (x)"), F.lit(2025)).alias("p"), s.period_dates(F.lit("?"), F.lit(2025)).alias("n")).first()
     assert (row.d, row.q, row.b, str(row.p.start), str(row.p.end), row.n) == (71, "2026Q1", "2025Q4", "2025-04-01", "2025-06-30", None)
 
 
 def test_names(spark):
     assert apply(spark, s.norm_person, "Pelosi, Nancy", "Hon. Nancy Pelosi", "Nancy P. Pelosi Jr.", "nancy pelosi", "", None) == ["pelosi nancy"] * 4 + ["", ""]
-    assert apply(spark, s.normalize_name, "Société Générale SA", "The Apple Inc.") == ["societe generale", "apple"]
+    assert apply(spark, s.normalize_name, "Société Générale SA", "The Apple Inc.", "Ｎｅｓｔｌé №1 Ạ̈ctive ﬁrm", None) == ["societe generale", "apple", "nestle no1 active firm", None]
+    labels = spark.range(1).select(s.rationale(F.create_map(F.lit("lobbying"), F.lit(0.5), F.lit("events"), F.lit(-0.7), F.lit("momentum"), F.lit(1e-9))).alias("r"), s.rationale(F.create_map(F.lit("events"), F.lit(0.0))).alias("n")).first()
+    assert tuple(labels) == ("− current-events regime, + federal lobbying spend", "no dominant factor")
     assert apply(spark, s.classify_asset, "US Treasury Note", "NVDA $170 Call", "Bitcoin [CT]", "Index Fund", "Apple [ST]", "Apple") == ["bond", "option", "crypto", "fund", "stock", "stock"]
     row = spark.range(1).select(s.trade_id(F.lit("a"), F.lit(None), F.lit("1001.0")).alias("id"), s.rationale(F.create_map(F.lit("x_y"), F.lit(-2.0), F.lit("z"), F.lit(1.0), F.lit("w"), F.lit(0.0))).alias("r"), s.finite(F.lit(float("inf"))).alias("f"), s.first_number(F.lit(""), F.lit("3.5")).alias("n"), s.relative_change(F.lit(1.0), F.lit(0.0)).alias("c"), s.staleness_weight(F.lit(10), 10.0).alias("w")).first()
-    assert (row.id, row.r, row.f, row.n, row.c, row.w) == (hashlib.sha1(b"a|None|1001.0").hexdigest()[:20], "-x y, +z", None, 3.5, None, 0.5)
+    assert (row.id, row.r, row.f, row.n, row.c, row.w) == (hashlib.sha1(b"a|None|1001.0").hexdigest()[:20], "− x_y, + z", None, 3.5, None, 0.5)
 
 
 def test_tickers(spark):

@@ -32,14 +32,49 @@ def test_house(spark):
         (1, "self", "A Very Long Company Name (LONG) [ST]", "LONG", "sell", -1), (1, "joint", "US Treasury Bill [GS]", None, "buy", 1),
     ]
     assert (rows[0].amount_low, rows[2].amount_low, rows[2].notification_date, rows[0].transaction_date) == (15001, 50_000_000, None, dt.date(2026, 1, 14))
-    assert [r.txn_type for r in rows[4:]] == ["buy", "sell_partial", "sell", "buy"] and rows[7].parse_note == "type read as f" and rows[4].parse_note is None
+    assert [r.txn_type for r in rows[4:]] == ["buy", "sell_partial", "sell", "buy"] and rows[7].parse_note == "ocr_type_fix:f->p" and rows[4].parse_note is None
     meta = docs.select(house_meta(docs.text).alias("m")).first().m
     assert (meta.filing_id, meta.filed_date) == ("31337", dt.date(2026, 2, 19))
 
 
+def test_house_lines(spark):
+    """Headings reset what was gathered, the look-back is bounded, and pieces of headings and numbers are cut off."""
+    one = "P 01/14/2026 02/02/2026 $1,001 - $15,000"
+    texts = [
+        f"Hon. Jane Roe\nSome preface text line\nID Owner Asset\nSP Apple Inc. (AAPL) [ST] {one} Yes",
+        f"first\nsecond\nthird\nfourth\nAcme (ACME) {one} No",
+        f"1. ID Owner JT Acme Corp {one}\nPage 2\nFooter\n* For the complete list\n- Beta Notification Date LLC S (full) 1/2/2026 $50,000",
+        f"x\n{'y' * 401}\nzz {one}",
+        "Wrapped Name\nover two lines P\n01/14/2026 $15,001 - $50,000",
+        f"# 12 SP Gamma {one}",
+        f"AB {one}",
+        "Delta 5 01/14/2026 $1,001 - $15,000\nEpsilon R 01/14/2026 $1,001 - $15,000",
+    ]
+    docs = spark.createDataFrame([(i, t, i == 7) for i, t in enumerate(texts)], "doc_id int, text string, ocr boolean")
+    got = [(r.doc_id, r.owner, r.asset_name_raw, r.txn_type, r.cap_gains_over_200) for r in parse_house(docs).orderBy("doc_id", "place").collect()]
+    assert got == [
+        (0, "spouse", "Apple Inc. (AAPL) [ST]", "buy", 1), (1, "self", "fourth Acme (ACME)", "buy", 0), (2, "joint", "Acme Corp", "buy", None), (2, "self", "Beta LLC", "sell_full", None),
+        (3, "self", f"{'y' * 401} zz", "buy", None), (4, "self", "Wrapped Name over two lines", "buy", None), (5, "spouse", "Gamma", "buy", None), (7, "self", "Delta", "sell", None), (7, "self", "Epsilon", "buy", None),
+    ]
+    notes = [r.parse_note for r in parse_house(docs.filter("doc_id = 7")).orderBy("place").collect()]
+    assert notes == ["ocr_type_fix:5->s", "ocr_type_fix:r->p"]
+    assert parse_house(docs.withColumn("ocr", docs.doc_id < 0)).filter("doc_id = 7").first().txn_type == "receive"
+
+
+def test_senate_tables(spark):
+    head = "<thead><tr><th>Date</th><th>Asset</th><th>Type</th><th>Amount</th></tr></thead>"
+    other = "<thead><tr><th>Amount</th><th>Type</th><th>Ticker</th><th>Asset Name</th><th>Transaction Date</th></tr></thead>"
+    page = f"""<table>{head}<tbody><tr><td>01/09/2026<td>A&#38;B &quot;Co&quot;<td>Sale (other)<td>$1,001 - $15,000</tr></tbody><tfoot><tr><td>01/09/2026</td><td>foot</td><td>x</td><td>$1</td></tr></tfoot></table>
+    <p>between</p><table>{other}<tr><td>Over $50,000,000</td><td>Purchase - new</td><td>zz</td><td>Caf&eacute;</td><td>02/03/2026</td></tr><tr><td>1</td><td>2</td></tr></table>
+    <table><tr><td>01/09/2026</td><td>no head</td><td>Sale</td><td>$1,001 - $15,000</td></tr></table>
+    <table><thead><tr><th>Date</th><th>Asset</th><th>Type</th><th>Note</th></tr></thead><tr><td>01/09/2026</td><td>no amount</td><td>Sale</td><td>x</td></tr></table>"""
+    rows = parse_senate(spark.createDataFrame([(1, page), (2, None), (3, "")], "doc_id int, html string")).orderBy("place").collect()
+    assert [(r.place, r.asset_name_raw, r.txn_type, r.amount_low, r.declared_ticker, str(r.transaction_date)) for r in rows] == [(1, 'A&B "Co"', "sell", 1001, None, "2026-01-09"), (2, "Café (ZZ)", "buy", 50_000_000, "ZZ", "2026-02-03")]
+
+
 def test_senate(spark):
     rows = parse_senate(spark.createDataFrame([(1, SENATE), (2, "<p>none</p>"), (3, None)], "doc_id int, html string")).collect()
-    assert [(r.place, r.owner, r.asset_name_raw, r.declared_ticker, r.txn_type, r.amount_low, r.comment) for r in rows] == [(1, "dependent", "Acme & Sons", "ACME", "sell_full", 15001, "a note"), (2, "self", "US Note", None, "buy", 1001, None)]
+    assert [(r.place, r.owner, r.asset_name_raw, r.declared_ticker, r.txn_type, r.amount_low, r.comment) for r in rows] == [(1, "dependent", "Acme & Sons (ACME)", "ACME", "sell_full", 15001, "a note"), (2, "self", "US Note", None, "buy", 1001, None)]
     inferred = spark.createDataFrame([("A", None, "B", 0.9, "stock"), (None, "bond", "C", 0.5, "fund")], "declared_ticker string, declared_asset_type string, ticker string, confidence double, asset_type string")
     assert [(r.ticker, r.confidence, r.asset_type) for r in declared_over_inferred(inferred).collect()] == [("A", 1.0, "stock"), ("C", 0.5, "bond")]
 

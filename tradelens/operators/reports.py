@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 #: The committees that a lobbying issue concerns.
 ISSUE_COMMITTEES = {
-    "DEF": "HSAS SSAS HSAP SSAP", "HCR": "HSIF SSHR HSWM", "MMM": "HSIF SSCM", "TAX": "HSWM SSFI", "BAN": "HSBA SSBK", "ENG": "HSIF SSEG",
-    "TEC": "HSIF SSCM HSSY", "TRD": "HSWM SSFI", "AGR": "HSAG SSAF", "TRA": "HSPW SSCM", "ENV": "HSII SSEV",
-}
+    "DEF": ["HSAS", "SSAS", "HSAP", "SSAP"],
+    "HCR": ["HSIF", "SSHR", "HSWM"],
+    "MMM": ["HSIF", "SSCM"],
+    "TAX": ["HSWM", "SSFI"],
+    "BAN": ["HSBA", "SSBK"],
+    "ENG": ["HSIF", "SSEG"],
+    "TEC": ["HSIF", "SSCM", "HSSY"],
+    "TRD": ["HSWM", "SSFI"],
+    "AGR": ["HSAG", "SSAF"],
+    "TRA": ["HSPW", "SSCM"],
+    "ENV": ["HSII", "SSEV"],
+}
 
 
 def reconcile(trades: DataFrame, own: tuple[str, ...] = ("house", "senate")) -> DataFrame:
@@ -53,14 +62,14 @@ def blocking_problems(prices: DataFrame, trades: DataFrame, runs: DataFrame, ben
     return n.select(F.explode(found).alias("problem")).unionByName(failed.select(F.concat(F.lit("stage "), "source", F.lit(" failed: "), F.substring(F.coalesce("note", F.lit("no detail")), 1, 160)).alias("problem")))
 
 
-def committee_alignment(trades: DataFrame, members: DataFrame, filings: DataFrame, activities: DataFrame, memberships: DataFrame, limit: int = 50, issues: dict[str, str] | None = None) -> DataFrame:
+def committee_alignment(trades: DataFrame, members: DataFrame, filings: DataFrame, activities: DataFrame, memberships: DataFrame, limit: int = 50, issues: dict[str, list[str]] | None = None) -> DataFrame:
     """Members who traded a company while on a committee that the company's lobbying concerns: which, how much, and the spend.
 
     filings: filing_uuid, ticker, amount; activities: filing_uuid, issue_code, description, entity, where repeated rows count
     once; memberships: member_id, committee_id. The spend counts each filing once for each of its activities.
     """
     spark = trades.sparkSession
-    concerns = spark.createDataFrame([(i, c) for i, cs in (issues or ISSUE_COMMITTEES).items() for c in cs.split()], "issue_code string, committee_id string")
+    concerns = spark.createDataFrame([(i, c) for i, cs in (issues or ISSUE_COMMITTEES).items() for c in cs], "issue_code string, committee_id string")
     lobbied = filings.filter("ticker is not null").join(activities.distinct(), "filing_uuid").groupBy("ticker", F.upper("issue_code").alias("issue_code")).agg(F.sum(F.coalesce("amount", F.lit(0.0))).alias("spend"))
     spend = lobbied.groupBy("ticker").agg(F.sum("spend").alias("lobby_spend"))
     targets = lobbied.join(F.broadcast(concerns), "issue_code").select("ticker", "committee_id").distinct()  # the map is fixed and small

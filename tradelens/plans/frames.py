@@ -35,7 +35,7 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
 def committee_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues by the line's number, committees of members by their ids."""
     codes = sorted(reports.ISSUE_COMMITTEES)
-    bodies = sorted({c for x in reports.ISSUE_COMMITTEES.values() for c in x.split()})
+    bodies = sorted({c for x in reports.ISSUE_COMMITTEES.values() for c in x})
     lobbying = view(spark, sf_dir, "SELECT p_brand AS ticker, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice * l_tax AS amount FROM lineitem JOIN part ON l_partkey = p_partkey")
     uuid = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     filings = lobbying.groupBy(uuid.alias("filing_uuid"), "ticker").agg(F.max("amount").alias("amount"))
@@ -47,8 +47,12 @@ def committee_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def amounts_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The brackets of trades written as filings write them, and read again."""
-    text = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("Over $"), F.format_number(F.floor("l_extendedprice"), 0))).otherwise(F.concat(F.lit("$"), F.format_number(F.floor("l_extendedprice"), 0), F.lit(" – $"), F.format_number(F.floor("l_extendedprice") + 500, 0)))
+    """Prices of lines written in the forms of filings, by the line's number, and read again."""
+    low = F.concat(F.lit("$"), F.format_number(F.floor("l_extendedprice"), 0))
+    forms = {1: F.concat(F.lit("Over "), low), 2: F.concat(F.lit("greater than "), low), 3: F.concat(F.lit("+ "), low), 4: low}
+    text = F.concat(low, F.lit(" – $"), F.format_number(F.floor("l_extendedprice") + 500, 0))
+    for k, form in forms.items():
+        text = F.when(F.col("l_linenumber") == k, form).otherwise(text)
     rows = view(spark, sf_dir, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem").withColumn("a", s.parse_amount(text))
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("a.low").alias("low"), F.col("a.high").alias("high"), F.round("a.est", 4).alias("est"))
 
@@ -57,7 +61,7 @@ def dates_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates in several forms, as dates and quarters."""
     day = F.to_date("o_orderdate")
     form = F.pmod("o_orderkey", F.lit(4))
-    text = F.when(form == 0, F.date_format(day, "MM/dd/yyyy")).when(form == 1, F.date_format(day, "MMMM d, yyyy")).when(form == 2, F.date_format(day, "yyyy/MM/dd")).otherwise(F.date_format(day, "d MMM yyyy"))
+    text = F.when(form == 0, F.date_format(day, "MM/dd/yyyy")).when(form == 1, F.date_format(day, "MMMM d, yyyy")).when(form == 2, F.date_format(day, "yyyy/MM/dd")).otherwise(F.date_format(day, "MM-dd-yyyy"))
     read = s.parse_date(text)
     return view(spark, sf_dir, "SELECT o_orderkey, o_orderdate FROM orders").select("o_orderkey", F.date_format(read, "yyyy-MM-dd").alias("day"), s.quarter_of(read).alias("quarter"), s.shift_quarter(s.quarter_of(read), -1).alias("before"))
 
@@ -177,9 +181,9 @@ def pick_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: factor_panel, factor_weights, backtest_folds and pick_scoreboard stay callable; they plan for too long to run with the others.
 FRAMES = {f.__name__: f for f in (universe, correlation_report, spearman_ic, quintile_spread, event_study_car, event_study_summary, policy_event_study, reconcile, health, committee_alignment, amounts_parsed, dates_parsed, tickers_resolved, upsert_trades, features_panel)}
 
-_ISSUES = ", ".join(f"('{i}', '{c}')" for i, cs in reports.ISSUE_COMMITTEES.items() for c in cs.split())
+_ISSUES = ", ".join(f"('{i}', '{c}')" for i, cs in reports.ISSUE_COMMITTEES.items() for c in cs)
 _CODES = ", ".join(f"'{c}'" for c in sorted(reports.ISSUE_COMMITTEES))
-_BODIES = ", ".join(f"'{c}'" for c in sorted({c for x in reports.ISSUE_COMMITTEES.values() for c in x.split()}))
+_BODIES = ", ".join(f"'{c}'" for c in sorted({c for x in reports.ISSUE_COMMITTEES.values() for c in x}))
 _TEXTS = {
     "reconcile": """
 SELECT (SELECT count(*) FROM o JOIN v USING (member_id, ticker, transaction_date)) AS agree,
@@ -209,8 +213,10 @@ FROM t JOIN m ON m.member_id = t.member_id JOIN (SELECT ticker, sum(amount) AS s
 WHERE EXISTS (SELECT 1 FROM f JOIN concerns ON f.code = concerns.code WHERE f.ticker = t.ticker AND concerns.body = m.body)
 ORDER BY spend DESC, t.volume DESC, t.ticker, m.member_id LIMIT 50""",
     "amounts_parsed": """
-WITH a AS (SELECT *, floor(l_extendedprice) AS low, CASE WHEN l_linenumber = 1 THEN 2 * floor(l_extendedprice) ELSE floor(l_extendedprice) + 500 END AS high FROM lineitem)
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, low, high, round(sqrt(low * high), 4) AS est FROM a""",
+WITH brackets(lo, hi) AS (VALUES (1, 1000), (1001, 15000), (15001, 50000), (50001, 100000), (100001, 250000)),
+a AS (SELECT *, floor(l_extendedprice) AS x FROM lineitem),
+b AS (SELECT a.*, CASE WHEN l_linenumber = 4 THEN CAST(lo AS DOUBLE) ELSE x END AS low, CASE WHEN l_linenumber < 4 THEN 2 * x WHEN l_linenumber = 4 THEN CAST(hi AS DOUBLE) ELSE x + 500 END AS high FROM a LEFT JOIN brackets ON x BETWEEN lo AND hi)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, low, high, round(sqrt(low * high), 4) AS est FROM b""",
     "dates_parsed": """
 WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders)
 SELECT o_orderkey, strftime(day, '%Y-%m-%d') AS day, concat(year(day), 'Q', quarter(day)) AS quarter, concat(year(day - INTERVAL 3 MONTH), 'Q', quarter(day - INTERVAL 3 MONTH)) AS before FROM d""",

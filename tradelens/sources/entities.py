@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tradelens.functions.scalars import ASSET_CODES, classify_asset, norm_person, normalize_name, spaced, strip_noise
 
-_CODES = [c for codes in ASSET_CODES.values() for c in codes.split()]
+_CODES = [*ASSET_CODES]
 #: Words that many companies share, beside those that names lose anyway.
-GENERIC = "international technologies technology systems solutions industries enterprises".split()
+GENERIC = ["international", "technologies", "technology", "systems", "solutions", "industries", "enterprises"]
 #: Tokens of more companies than this tell none.
 GENERIC_FROM = 40
 
@@ -41,8 +41,8 @@ def resolve_tickers(assets: DataFrame, companies: DataFrame) -> DataFrame:
     mine = open_.join(named.select("id"), "id", "left_anti").select("id", _tokens(F.col("name")).alias("mine"))
     theirs = listed.select("ticker", _tokens(F.col("title")).alias("theirs"))
     index = theirs.select("ticker", "theirs", F.explode("theirs").alias("token"))
-    rare = index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= GENERIC_FROM)
-    scored = mine.select("id", "mine", F.explode("mine").alias("token")).join(rare, "token").join(index, "token").groupBy("id", "mine", "ticker", "theirs").agg(F.sum(1 / F.sqrt("df")).alias("score"))
+    rare = index.groupBy("token").agg(F.count_distinct("ticker").alias("df")).filter(F.col("df") <= GENERIC_FROM)
+    scored = mine.select("id", "mine", F.explode("mine").alias("token")).join(rare, "token").join(index.distinct(), "token").groupBy("id", "mine", "ticker", "theirs").agg(F.sum(1 / F.sqrt("df")).alias("score"))
     best = scored.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "ticker"))).filter("k = 1")
     both = F.size(F.array_intersect("mine", "theirs"))
     jaccard, held = both / F.size(F.array_union("mine", "theirs")), both / F.size("theirs")
