@@ -7,6 +7,7 @@ are keys of one aggregation, and only small matrices are solved in tasks.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.operators.panel import FACTORS
+from tradelens.operators.ranks import fifths, spearman
 
 #: Penalty, resamples, pull towards equal weights, largest weight, and shuffles.
 ALPHA, BOOTS, PULL, LARGEST, NULLS = 5.0, 60, 0.35, 0.45, 120
 NAMES = [*FACTORS]
+#: Rows within which a draw of the null permutes targets.
+BUCKET_ROWS = 50_000
 
 
 def _moments(rows: DataFrame, keys: list[str], names: list[str], y: str) -> DataFrame:
@@ -58,14 +62,19 @@ def fit_weights(rows: DataFrame, keys: list[str], y: str, names: list[str] | Non
     each factor) rows the weights are equal.
     """
     names = names or NAMES
+    return solve_weights(_moments(rows, keys, names, y), keys, names, alpha, n_boot, seed)
+
+
+def solve_weights(moments: DataFrame, keys: list[str], names: list[str], alpha: float = ALPHA, n_boot: int = BOOTS, seed: int = 0) -> DataFrame:
+    """What fit_weights gives, from moments (keys, n_groups, block, m)."""
     p = len(names)
     size = (p + 2) * (p + 3) // 2
     u = F.pmod(F.xxhash64("block", "_boot", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
     times = F.when(F.col("_boot") == 0, 1.0).otherwise(sum((F.when(u >= float(s), 1.0).otherwise(0.0) for s in steps), F.lit(0.0)))
-    drawn = _moments(rows, keys, names, y).withColumn("_boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot)))).withColumn("times", times)
+    drawn = moments.withColumn("_boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot)))).withColumn("times", times)
     sums = drawn.groupBy(*keys, "n_groups", "_boot").agg(F.array(*[F.sum(F.col("times") * F.col("m")[k]) for k in range(size)]).alias("m"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    kinds = dict(moments.dtypes)
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_boot")
@@ -106,30 +115,72 @@ def predicted(rows: DataFrame, weights: DataFrame, keys: list[str], names: list[
 
 
 def rank_correlation(rows: DataFrame, keys: list[str], a: str, b: str, least: int = 8) -> DataFrame:
-    """keys and ic: Spearman's correlation with average ranks at ties; null for fewer rows than least or no spread."""
-    rows = rows.filter(f"{a} is not null and {b} is not null")
-    place = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
-    ranked = rows.select(*keys, place(a).alias("_a"), place(b).alias("_b"))
-    spread = F.stddev_pop("_a") * F.stddev_pop("_b")
-    return ranked.groupBy(*keys).agg(F.when((F.count(F.lit(1)) >= least) & (spread > 0), F.try_divide(F.covar_pop("_a", "_b"), spread)).alias("ic"))
+    """keys and ic: Spearman's correlation with average ranks at ties; null for fewer rows (date, ticker) than least or no spread."""
+    return spearman(rows.select(*dict.fromkeys([*keys, "date", "ticker", a, b])), keys, a, b, ["date", "ticker"], least).select(*keys, F.col("rho").alias("ic"))
 
 
 def quintiles(rows: DataFrame, keys: list[str], pred: str, y: str) -> DataFrame:
     """keys, top, bottom and long_short: mean outcome of the fifths with the best and the worst predictions, of 20 rows at least."""
-    each = Window.partitionBy(*keys)
-    ranked = rows.filter(f"{pred} is not null and {y} is not null").withColumn("r", F.row_number().over(each.orderBy(pred, "date", "ticker"))).withColumn("n", F.count(F.lit(1)).over(each))
-    fifth = F.greatest(F.ceil((F.col("r") - 1) * 5 / (F.col("n") - 1)), F.lit(1)) - 1
-    out = ranked.filter("n >= 20").withColumn("q", fifth).groupBy(*keys).agg(F.avg(F.when(F.col("q") == 4, F.col(y))).alias("top"), F.avg(F.when(F.col("q") == 0, F.col(y))).alias("bottom"))
-    return out.withColumn("long_short", F.col("top") - F.col("bottom"))
+    known = rows.select(*dict.fromkeys([*keys, "date", "ticker", pred, y])).filter(F.col(pred).isNotNull() & F.col(y).isNotNull())
+    cut = fifths(known, keys, pred, ["date", "ticker"])
+    out = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.when(F.col("fifth") == 4, F.col(y))).alias("top"), F.avg(F.when(F.col("fifth") == 0, F.col(y))).alias("bottom"))
+    return out.filter("_n >= 20").drop("_n").withColumn("long_short", F.col("top") - F.col("bottom"))
+
+
+def _draws(seed: int, *at) -> np.random.Generator:
+    """The generator of a group's permutations: what the group is decides it, so a rerun deals alike."""
+    return np.random.default_rng([seed, *[zlib.crc32(str(x).encode()) for x in at]])
+
+
+def null_moments(train: DataFrame, y: str, draws: int, names: list[str] | None = None, bucket_rows: int = BUCKET_ROWS, seed: int = 1) -> DataFrame:
+    """fold, draw, n_groups, block and m: moments by ticker of the training rows (fold, ticker, date, names, y), y dealt anew.
+
+    Rows are dealt at random to buckets of about bucket_rows, and each draw permutes y within each bucket; the rows move once,
+    however many draws there are, and sums by ticker come out.
+    """
+    names = names or NAMES
+    p, size = len(names), (len(names) + 2) * (len(names) + 3) // 2
+    known = train.filter(" and ".join(f"{c} is not null and not isnan({c})" for c in [*names, y]))
+    sizes = known.groupBy("fold").agg(F.count_distinct("ticker").alias("n_groups"), F.ceil(F.count(F.lit(1)) / bucket_rows).alias("buckets"))
+    dealt = known.join(F.broadcast(sizes), "fold").withColumn("bucket", F.pmod(F.xxhash64("ticker", "date", F.lit(seed)), F.col("buckets")))
+    upper = np.triu_indices(p + 2)
+
+    def permuted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ticker", "date"], kind="stable")
+        fold, bucket, groups = rows.fold.iloc[0], rows.bucket.iloc[0], int(rows.n_groups.iloc[0])
+        block = rows.ticker if groups >= 6 else rows.ticker + "|" + rows.date.astype(str)
+        first = np.flatnonzero(np.append(True, block.to_numpy()[1:] != block.to_numpy()[:-1]))
+        x, target, rng, out = np.c_[np.ones(len(rows)), rows[names].to_numpy(float)], rows[y].to_numpy(float), _draws(seed, fold, bucket), []
+        for draw in range(1, draws + 1):
+            z = np.c_[x, target[rng.permutation(len(target))]]
+            m = np.add.reduceat(z[:, upper[0]] * z[:, upper[1]], first, axis=0)
+            out.append(pd.DataFrame({"fold": fold, "draw": draw, "n_groups": groups, "block": block.to_numpy()[first], "m": list(m)}))
+        return pd.concat(out)
+
+    kind = dict(train.dtypes)["fold"]
+    parts = dealt.select("fold", "bucket", "n_groups", "ticker", "date", *names, y).groupBy("fold", "bucket").applyInPandas(permuted, f"fold {kind}, draw int, n_groups long, block string, m array<double>")
+    return parts.groupBy("fold", "draw", "n_groups", "block").agg(F.array(*[F.sum(F.col("m")[k]) for k in range(size)]).alias("m"))
+
+
+def null_ics(train: DataFrame, test: DataFrame, y: str, draws: int, names: list[str] | None = None, n_boot: int = 8, seed: int = 1) -> DataFrame:
+    """fold, draw and ic: weights refitted on permuted targets, against the test rows' targets permuted within each date."""
+    names = names or NAMES
+    fitted = solve_weights(null_moments(train, y, draws, names, seed=seed), ["fold", "draw"], names, n_boot=n_boot)
+    weights = {(r.fold, r.draw): np.array(r.weights) for r in fitted.select("fold", "draw", "weights").collect()}  # folds times draws rows
 
+    def scored(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ticker", kind="stable")
+        fold, x, target = rows.fold.iloc[0], rows[names].to_numpy(float), rows[y].to_numpy(float)
+        rng, out = _draws(seed, fold, rows.date.iloc[0]), []
+        for draw in range(1, draws + 1):
+            dealt = target[rng.permutation(len(target))]
+            if (fold, draw) in weights:
+                out.append(pd.DataFrame({"fold": fold, "draw": draw, "date": rows.date, "ticker": rows.ticker, "pred": x @ weights[fold, draw], "y": dealt}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["fold", "draw", "date", "ticker", "pred", "y"])
 
-def _shuffled(rows: DataFrame, within: list[str], y: str, draws: int, salt: str) -> DataFrame:
-    """rows for each draw with y dealt anew among the rows of within."""
-    many = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    old = F.row_number().over(Window.partitionBy(*within).orderBy("date", "ticker"))
-    new = F.row_number().over(Window.partitionBy(*within, "draw").orderBy(F.xxhash64("draw", "date", "ticker", F.lit(salt)), "date", "ticker"))
-    values = rows.select(*within, F.col(y).alias("_y"), old.alias("_at"))
-    return many.withColumn("_at", new).drop(y).join(values, [*within, "_at"]).withColumnRenamed("_y", y).drop("_at")
+    kinds = dict(test.dtypes)
+    each = test.select("fold", "date", "ticker", *names, y).groupBy("fold", "date").applyInPandas(scored, f"fold {kinds['fold']}, draw int, date {kinds['date']}, ticker string, pred double, y double")
+    return rank_correlation(each, ["fold", "draw"], "pred", "y")
 
 
 def backtest(scores: DataFrame, horizon: int, n_splits: int = 6, n_null: int = NULLS, n_boot: int = BOOTS, min_train: int = 40) -> DataFrame:
@@ -147,8 +198,7 @@ def backtest(scores: DataFrame, horizon: int, n_splits: int = 6, n_null: int = N
     hits = found.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"), F.avg((F.signum("pred") == F.signum(y)).cast("double")).alias("hit_rate"))
     out = folds.join(hits, "fold").join(weights.select("fold", F.col("n").alias("n_train"), "weights", "stability"), "fold").join(rank_correlation(found, ["fold"], "pred", y), "fold", "left").join(quintiles(found, ["fold"], "pred", y), "fold", "left")
     if n_null:
-        nulls = fit_weights(_shuffled(train, ["fold"], y, n_null, "train"), ["fold", "draw"], y, n_boot=8)
-        chance = rank_correlation(predicted(_shuffled(test, ["fold", "date"], y, n_null, "test"), nulls, ["fold", "draw"]), ["fold", "draw"], "pred", y)
+        chance = null_ics(train, test, y, n_null)
         out = out.join(chance.groupBy("fold").agg(F.avg("ic").alias("null_mean"), F.expr("percentile(ic, 0.95)").alias("null_p95")), "fold", "left")
     else:
         out = out.withColumns({"null_mean": F.lit(None).cast("double"), "null_p95": F.lit(None).cast("double")})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tradelens.functions import scalars as s
 from tradelens.operators import eventstudy, panel, picks, ranks, reports, weights
 from tradelens.plans.dialect import duckdb_text
-from tradelens.plans.world import ALL_VIEWS, view
+from tradelens.plans.world import ALL_VIEWS, kept, view
 from tradelens.sources.entities import resolve_tickers
 from tradelens.sources.staging import staged
 from tradelens.sources.store import upsert
@@ -146,40 +146,77 @@ def policy_event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "event_date", "ticker", "n_est", *[(F.round(c, k) + 0.0).alias(c) for c, k in (("beta", 4), ("r2", 4), ("car", 4), ("t_stat", 3))])
 
 
-def features_panel(spark: SparkSession, sf_dir: str, include_unlabelled: bool = False) -> DataFrame:
-    """All features by week and ticker, with the excess returns after 21 and 126 trading days."""
-    # Each part is used by several others; a lost executor's share is computed again.
-    of = lambda text: view(spark, sf_dir, text).persist()
+def _whole_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda text: staged(view(spark, sf_dir, text), "part")
     momentum = of("SELECT ticker, date, mom_20, mom_120, vol_60 FROM momentum WHERE n >= 130")
-    spine = of("SELECT ticker, date FROM spine").join(momentum.select("ticker", "date"), ["ticker", "date"], "left_semi").persist()
+    spine = staged(view(spark, sf_dir, "SELECT ticker, date FROM spine").join(momentum.select("ticker", "date"), ["ticker", "date"], "left_semi"), "part")
     trades = of("SELECT t.ticker, t.member_id, t.filed_date, t.direction, t.amount_est, coalesce(s.weight, 1.0) AS mweight FROM scorable t LEFT JOIN scores90 s ON s.member_id = t.member_id")
     themes = of("SELECT theme, CAST(hour AS DATE) AS date, max(z) AS z FROM zscored GROUP BY theme, CAST(hour AS DATE)")
     names = F.array(*[F.lit(t) for t in EXPOSED])
     themed = themes.withColumn("theme", F.element_at(names, (F.pmod(F.crc32(F.col("theme").cast("binary")), F.lit(len(EXPOSED))) + 1).cast("int"))).groupBy("theme", "date").agg(F.max("z").alias("z"))
     earnings = of("SELECT ticker, report_date, (eps_actual - eps_estimate) / nullif(abs(eps_estimate), 0.0) AS surprise FROM earnings")
-    return panel.build(spine, trades, of("SELECT ticker, period_end, amount FROM lobbying"), earnings, themed, of("SELECT ticker, sector FROM sectors"), momentum, of("SELECT ticker, date, y21 AS y_21, y126 AS y_126 FROM forwards"), exposed=EXPOSED, include_unlabelled=include_unlabelled)
+    lobbying = of("SELECT ticker, period_end, amount FROM lobbying")
+    targets = of("SELECT ticker, date, y21 AS y_21, y126 AS y_126 FROM forwards")
+    return panel.build(spine, trades, lobbying, earnings, themed, view(spark, sf_dir, "SELECT ticker, sector FROM sectors"), momentum, targets, exposed=EXPOSED, include_unlabelled=True)
+
+
+def features_panel(spark: SparkSession, sf_dir: str, include_unlabelled: bool = False) -> DataFrame:
+    """All features by week and ticker, with the excess returns after 21 and 126 trading days."""
+    rows = kept(spark, sf_dir, "features_panel", _whole_panel)
+    rows = rows if include_unlabelled else rows.filter(F.coalesce("y_21", "y_126").isNotNull())
+    return rows.select("ticker", "date", *[(F.round(c, 5) + 0.0).alias(c) for c in [*panel.FEATURES, "y_21", "y_126"]])
+
+
+def _factor_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kept(spark, sf_dir, "features_panel", _whole_panel).filter(F.coalesce("y_21", "y_126").isNotNull())
+    return panel.factor_scores(rows)
 
 
 def factor_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.factor_scores(features_panel(spark, sf_dir).persist()).persist()
+    """The seven factors by week and ticker."""
+    return kept(spark, sf_dir, "factor_panel", _factor_panel)
 
 
 def factor_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = factor_panel(spark, sf_dir).withColumn("horizon_days", F.lit(21))
-    return weights.fit_weights(scores, ["horizon_days"], "y_21")
+    """Weights of the factors for both horizons, of all labelled rows."""
+    scores = factor_panel(spark, sf_dir)
+    both = [weights.fit_weights(scores.withColumn("horizon_days", F.lit(h)), ["horizon_days"], f"y_{h}") for h in (21, 126)]
+    return both[0].unionByName(both[1])
+
+
+def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weights.backtest(factor_panel(spark, sf_dir), 21)
 
 
 def backtest_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weights.backtest(factor_panel(spark, sf_dir), 21, n_null=20)
+    """Walk-forward folds of the horizon of 21 days, with 120 draws of the null."""
+    return kept(spark, sf_dir, "backtest_folds", _folds)
+
+
+def backtest_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weights.backtest_summary(backtest_folds(spark, sf_dir))
+
+
+def ranked_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best and worst names of the last date for the horizon of 21 days, and what they rest on."""
+    scores = factor_panel(spark, sf_dir).filter("y_21 is not null")
+    fitted = weights.fit_weights(scores.withColumn("horizon_days", F.lit(21)), ["horizon_days"], "y_21")
+    return picks.generate(scores, fitted, backtest_verdict(spark, sf_dir))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return picks.simulate(factor_panel(spark, sf_dir), view(spark, sf_dir, "SELECT ticker, date, px, bpx FROM relative"), 21)
+
+
+def pick_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "pick_history", _history)
 
 
 def pick_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = view(spark, sf_dir, "SELECT ticker, date, px, bpx FROM relative")
-    return picks.scoreboard(picks.simulate(factor_panel(spark, sf_dir), prices, 21))
+    return picks.scoreboard(pick_history(spark, sf_dir))
 
 
-#: factor_panel, factor_weights, backtest_folds and pick_scoreboard stay callable; they plan for too long to run with the others.
-FRAMES = {f.__name__: f for f in (universe, correlation_report, spearman_ic, quintile_spread, event_study_car, event_study_summary, policy_event_study, reconcile, health, committee_alignment, amounts_parsed, dates_parsed, tickers_resolved, upsert_trades, features_panel)}
+FRAMES = {f.__name__: f for f in (universe, correlation_report, spearman_ic, quintile_spread, event_study_car, event_study_summary, policy_event_study, reconcile, health, committee_alignment, amounts_parsed, dates_parsed, tickers_resolved, upsert_trades, features_panel, factor_panel, factor_weights, backtest_folds, backtest_verdict, ranked_picks, pick_history, pick_scoreboard)}
 
 _ISSUES = ", ".join(f"('{i}', '{c}')" for i, cs in reports.ISSUE_COMMITTEES.items() for c in cs)
 _CODES = ", ".join(f"'{c}'" for c in sorted(reports.ISSUE_COMMITTEES))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tradelens.operators.activity import ACTIVITY_VIEWS
 from tradelens.operators.market import MARKET_VIEWS
-from tradelens.plans.dialect import spark_frame
+from tradelens.plans.dialect import TABLES, spark_frame
+from tradelens.sources.staging import fingerprint, staged
 from tradelens.sources.views import VIEWS
 
 ALL_VIEWS = VIEWS | ACTIVITY_VIEWS | MARKET_VIEWS
@@ -16,3 +19,14 @@ STORED = frozenset({"prices", "tradingdays", "relative", "daily", "paired", "ret
 
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark_frame(spark, sf_dir, text, ALL_VIEWS, STORED)
+
+
+_KEPT: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """What make gives for these tables as they are now, staged when first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]))
+    if key not in _KEPT:
+        _KEPT[key] = staged(make(spark, sf_dir), name)
+    return _KEPT[key]
