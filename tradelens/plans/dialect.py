@@ -44,7 +44,7 @@ def statement(query: str, views: dict[str, str], dialect: int) -> str:
     for name in reversed(views):
         if re.search(rf"\b{name}\b", text):
             needed.append(name)
-            text += views[name]
+            text += "\n" + views[name]
     kind = "AS MATERIALIZED" if dialect else "AS"
     ctes = ",\n".join(f"{n} {kind} ({views[n].strip()})" for n in reversed(needed))
     return _written(f"WITH {ctes}\n{query.strip()}" if ctes else query.strip(), dialect)
@@ -66,7 +66,7 @@ def spark_frame(spark: SparkSession, sf_dir: str, query: str, views: dict[str, s
                 held.append(name)
             else:
                 inner[name] = views[name]
-                text += views[name]
+                text += "\n" + views[name]
     text = statement(query, {n: views[n] for n in views if n in inner}, 0)
     frames = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES if _named(name, text)}
     frames |= {name: stored_view(spark, sf_dir, name, views, stored) for name in held}

@@ -153,7 +153,7 @@ def _whole_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = of("SELECT t.ticker, t.member_id, t.filed_date, t.direction, t.amount_est, coalesce(s.weight, 1.0) AS mweight FROM scorable t LEFT JOIN scores90 s ON s.member_id = t.member_id")
     themes = of("SELECT theme, CAST(hour AS DATE) AS date, max(z) AS z FROM zscored GROUP BY theme, CAST(hour AS DATE)")
     names = F.array(*[F.lit(t) for t in EXPOSED])
-    themed = themes.withColumn("theme", F.element_at(names, (F.pmod(F.crc32(F.col("theme").cast("binary")), F.lit(len(EXPOSED))) + 1).cast("int"))).groupBy("theme", "date").agg(F.max("z").alias("z"))
+    themed = themes.withColumn("theme", F.element_at(names, (F.pmod(F.ascii("theme"), F.lit(len(EXPOSED))) + 1).cast("int"))).groupBy("theme", "date").agg(F.max("z").alias("z"))
     earnings = of("SELECT ticker, report_date, (eps_actual - eps_estimate) / nullif(abs(eps_estimate), 0.0) AS surprise FROM earnings")
     lobbying = of("SELECT ticker, period_end, amount FROM lobbying")
     targets = of("SELECT ticker, date, y21 AS y_21, y126 AS y_126 FROM forwards")
@@ -237,7 +237,40 @@ _ORACLE_VIEWS = ALL_VIEWS | {
     "o": "SELECT member_id, ticker, transaction_date FROM trades WHERE CAST(right(txn_id, 1) AS INTEGER) % 2 = 1",
     "v": "SELECT member_id, ticker, transaction_date FROM trades WHERE CAST(right(txn_id, 1) AS INTEGER) % 2 = 0",
 }
+def _features_sql() -> str:
+    """All features by direct joins on the ranges of dates."""
+    names, hit = [*EXPOSED], {t: "', '".join(x) for t, x in EXPOSED.items()}
+    z = {t: f"CASE WHEN sector IN ('{hit[t]}') THEN coalesce(max(CASE WHEN f.theme = '{t}' THEN f.z END), 0.0) ELSE 0.0 END" for t in names}
+    in90 = "CASE WHEN filed_date > SHIFT[s.date; -90] THEN {} END"
+    ratio = "coalesce(sum(" + in90.format("amount_est * {}") + ") / nullif(sum(" + in90.format("amount_est") + "), 0.0), 0.0)"
+    clip = lambda x: f"coalesce(CASE WHEN {x} IS NULL THEN 0.0 ELSE least(greatest({x}, -2.0), 2.0) END, 0.0)"
+    rounded = ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in [*panel.FEATURES, "y_21", "y_126"])
+    return duckdb_text(f"""
+SELECT ticker, date, {rounded} FROM (
+SELECT s.ticker, s.date, y.y21 AS y_21, y.y126 AS y_126, m.mom_20, m.mom_120, m.vol_60, p.*EXCLUDE(ticker, date), ln(1 + l.near) AS log_lobby_12m, CASE WHEN l.far > 0 THEN (l.near - l.far) / l.far ELSE 0.0 END AS lobby_yoy,
+  {clip("e.surprise")} AS last_surprise, CAST(coalesce(s.date - e.report_date, 180) AS DOUBLE) AS days_since_earnings, CASE WHEN e.cadence - (s.date - e.report_date) <= 21 THEN 1.0 ELSE 0.0 END AS earnings_soon, {clip("e.trend")} AS surprise_trend, x.*EXCLUDE(ticker, date)
+FROM asked s JOIN forwards y ON y.ticker = s.ticker AND y.date = s.date JOIN momentum m ON m.ticker = s.ticker AND m.date = s.date
+JOIN (SELECT s.ticker, s.date, {ratio.format("direction")} AS net_ratio_90, {ratio.format("direction * mweight")} AS wnet_ratio_90,
+    CAST(count(DISTINCT {in90.format("CASE WHEN direction > 0 THEN member_id END")}) AS DOUBLE) AS n_buyers_90, CAST(count(DISTINCT {in90.format("member_id")}) AS DOUBLE) AS n_members_90,
+    coalesce(avg({in90.format("CASE WHEN direction > 0 THEN 1.0 ELSE 0.0 END")}), 0.5) AS buy_share_90, ln(1 + coalesce(sum({in90.format("amount_est")}), 0.0)) AS log_gross_90, coalesce(max({in90.format("mweight")}), 1.0) AS max_mweight_90,
+    coalesce(sum(CASE WHEN filed_date > SHIFT[s.date; -270] THEN amount_est * direction * mweight END) / nullif(sum(CASE WHEN filed_date > SHIFT[s.date; -270] THEN amount_est END), 0.0), 0.0) AS decayed_net_flow,
+    CAST(coalesce(s.date - max(filed_date), 365) AS DOUBLE) AS days_since_last_filing
+  FROM asked s LEFT JOIN weighed t ON t.ticker = s.ticker AND t.filed_date <= s.date GROUP BY s.ticker, s.date) p ON p.ticker = s.ticker AND p.date = s.date
+JOIN lobbyweek l ON l.ticker = s.ticker AND l.date = s.date
+LEFT JOIN told e ON e.ticker = s.ticker AND e.report_date = (SELECT max(report_date) FROM told o WHERE o.ticker = s.ticker AND o.report_date <= s.date)
+JOIN (SELECT s.ticker, s.date, {', '.join(f"{z[t]} AS {t}_x_sector" for t in names)}, {' + '.join(f"abs({z[t]})" for t in names)} AS event_beta
+  FROM asked s JOIN sectors c ON c.ticker = s.ticker LEFT JOIN felt f ON f.date = (SELECT max(date) FROM felt g WHERE g.theme = f.theme AND g.date <= s.date) GROUP BY s.ticker, s.date, sector) x ON x.ticker = s.ticker AND x.date = s.date
+WHERE y.y21 IS NOT NULL OR y.y126 IS NOT NULL) v""", ALL_VIEWS | {
+        "asked": "SELECT s.ticker, s.date FROM spine s JOIN momentum m ON m.ticker = s.ticker AND m.date = s.date WHERE m.n >= 130",
+        "weighed": "SELECT t.*, coalesce(s.weight, 1.0) AS mweight FROM scorable t LEFT JOIN scores90 s ON s.member_id = t.member_id",
+        "felt": f"SELECT list_extract({names}, CAST(ascii(theme) % {len(names)} + 1 AS INTEGER)) AS theme, CAST(hour AS DATE) AS date, max(z) AS z FROM zscored WHERE z IS NOT NULL GROUP BY 1, 2",
+        "reported": "SELECT ticker, report_date, (eps_actual - eps_estimate) / nullif(abs(eps_estimate), 0.0) AS surprise, report_date - lag(report_date) OVER (PARTITION BY ticker ORDER BY report_date) AS gap FROM earnings",
+        "told": "SELECT a.ticker, a.report_date, a.surprise, (SELECT CASE WHEN count(b.surprise) >= 2 THEN avg(b.surprise) END FROM (SELECT surprise FROM reported r WHERE r.ticker = a.ticker AND r.report_date <= a.report_date ORDER BY r.report_date DESC LIMIT 4) b) AS trend, coalesce((SELECT median(gap) FROM reported r WHERE r.ticker = a.ticker AND r.report_date <= a.report_date AND gap > 45 AND gap < 200), 91) AS cadence FROM reported a",
+    })
+
+
 FRAME_ORACLES = {k: duckdb_text(t, _ORACLE_VIEWS) for k, t in _TEXTS.items()} | {
+    "features_panel": _features_sql(),
     "committee_alignment": f"""
 WITH concerns(code, body) AS (VALUES {_ISSUES}),
 f AS (SELECT p_brand AS ticker, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS uuid, max(l_extendedprice * l_tax) AS amount, max([{_CODES}][1 + l_suppkey % 11]) AS code
