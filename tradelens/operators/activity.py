@@ -19,6 +19,11 @@ _BY_QUARTER = f"SELECT ticker, {_QUARTER} AS quarter, CAST(year(transaction_date
 _DAY = "DAYS[transaction_date; DATE '1970-01-01']"
 _SIDED = f"SELECT t.ticker, CASE WHEN t.direction > 0 THEN 'buy' ELSE 'sell' END AS side, t.member_id, {_DAY} AS day, t.transaction_date, t.amount_est, t.amount_est * coalesce(s.weight, 1.0) AS weighted FROM trades t LEFT JOIN scores90 s ON s.member_id = t.member_id WHERE {USABLE} AND t.direction <> 0 AND t.member_id IS NOT NULL"
 
+def _windows(days: int) -> str:
+    """Windows of so many days that begin on a day with a trade: an equi-join of each member's day to the starts that it follows."""
+    return f"SELECT s.ticker, s.side, s.transaction_date, count(DISTINCT p.member_id) AS n_members, CAST(sum(p.n) AS BIGINT) AS n_trades, sum(p.volume) AS volume, sum(p.weighted) AS weighted_volume FROM (SELECT *, EACH_INT[day - {days}; day] AS start FROM perday) p JOIN starts s ON s.ticker = p.ticker AND s.side = p.side AND s.day = p.start GROUP BY s.ticker, s.side, s.transaction_date"
+
+
 #: What is correlated with the spend, by the name that the report gives it.
 METRICS = {"n_members": "n_members", "gross_volume": "gross", "weighted_net_flow": "weighted_net"}
 
@@ -33,7 +38,7 @@ ACTIVITY_VIEWS = {
     "starts": "SELECT DISTINCT ticker, side, day, transaction_date FROM sided",
     "perday": "SELECT ticker, side, member_id, day, count(*) AS n, sum(amount_est) AS volume, sum(weighted) AS weighted FROM sided GROUP BY ticker, side, member_id, day",
     # A member's day falls into the windows that begin on it and on the 14 days before; only days with a trade begin one.
-    "windows": "SELECT s.ticker, s.side, s.transaction_date, count(DISTINCT p.member_id) AS n_members, CAST(sum(p.n) AS BIGINT) AS n_trades, sum(p.volume) AS volume, sum(p.weighted) AS weighted_volume FROM (SELECT *, EACH_INT[day - 14; day] AS start FROM perday) p JOIN starts s ON s.ticker = p.ticker AND s.side = p.side AND s.day = p.start GROUP BY s.ticker, s.side, s.transaction_date",
+    "windows": _windows(14),
     "newest": "SELECT max(transaction_date) AS as_of FROM trades",
     "recent": f"SELECT t.ticker, count(*) AS n_trades, count(DISTINCT t.member_id) AS n_members, sum(t.amount_est) AS volume, max(t.transaction_date) AS last_traded FROM trades t CROSS JOIN newest WHERE {USABLE} AND t.ticker_confidence >= 0.7 AND t.transaction_date >= SHIFT[as_of; -730] GROUP BY t.ticker",
     "ranked": "SELECT *, (rank() OVER (ORDER BY n_members) + (count(*) OVER (PARTITION BY n_members) - 1) / 2.0) / count(*) OVER () AS p_members, (rank() OVER (ORDER BY n_trades) + (count(*) OVER (PARTITION BY n_trades) - 1) / 2.0) / count(*) OVER () AS p_trades, (rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0) / count(*) OVER () AS p_volume FROM recent",
@@ -89,6 +94,12 @@ def flow_timeseries(freq: str, **filters) -> str:
     return f"SELECT {PERIODS[freq]} AS period, {_FLOW.replace('count(DISTINCT member_id)', 'count(DISTINCT t.member_id)')} FROM trades t LEFT JOIN members m ON m.member_id = t.member_id WHERE {where(**filters)} GROUP BY {PERIODS[freq]}"
 
 
+def clusters(window_days: int = 14, min_members: int = 4, limit: int = 40) -> str:
+    """Windows in which most members trade a ticker to one side: for each number of members the one with the largest volume."""
+    source = "windows" if window_days == 14 else f"({_windows(int(window_days))})"
+    return f"SELECT ticker, side, transaction_date AS window_start, SHIFT[transaction_date; {int(window_days)}] AS window_end, n_members, n_trades, round(volume, 2) AS volume, round(weighted_volume, 1) AS weighted_volume FROM (SELECT *, row_number() OVER (PARTITION BY ticker, side, n_members ORDER BY round(weighted_volume, 4) DESC, transaction_date) AS k FROM {source} v WHERE n_members >= {int(min_members)}) x WHERE k = 1 ORDER BY x.n_members DESC, round(x.weighted_volume, 4) DESC, ticker, side LIMIT {int(limit)}"
+
+
 ACTIVITY_QUERIES = {
     "ticker_leaderboard": ticker_leaderboard(),
     "ticker_leaderboard_filtered": ticker_leaderboard(horizon=30, limit=10, start="1994-01-01", end="1997-12-31", chamber="ASIA", owner="O", asset_types=("stock", "option"), min_confidence=0.7),
@@ -102,7 +113,7 @@ ACTIVITY_QUERIES = {
     "summary_counts": "SELECT count(*) AS n_trades, count(DISTINCT member_id) AS n_members, count(DISTINCT ticker) AS n_tickers, round(sum(amount_est), 2) AS volume, round(avg(filing_delay_days), 4) AS mean_delay, round(avg(CASE WHEN filing_delay_days > 45 THEN 100.0 ELSE 0.0 END), 4) AS pct_late FROM trades",
     # The upper median from counts by delay, so no row is ranked by itself.
     "median_delay_upper": "SELECT min(filing_delay_days) AS median_delay FROM (SELECT filing_delay_days, sum(n) OVER (ORDER BY filing_delay_days) AS upto, sum(n) OVER () AS total FROM (SELECT filing_delay_days, count(*) AS n FROM trades GROUP BY filing_delay_days) a) b WHERE upto >= floor(total / 2) + 1",
-    "cluster_detector": "SELECT ticker, side, transaction_date AS window_start, SHIFT[transaction_date; 14] AS window_end, n_members, n_trades, round(volume, 2) AS volume, round(weighted_volume, 1) AS weighted_volume FROM (SELECT *, row_number() OVER (PARTITION BY ticker, side, n_members ORDER BY weighted_volume DESC, transaction_date) AS k FROM windows WHERE n_members >= 4) x WHERE k = 1 ORDER BY x.n_members DESC, x.weighted_volume DESC, ticker, side LIMIT 40",
+    "cluster_detector": clusters(),
     "lobbying_by_quarter": "SELECT ticker, quarter, round(spend, 4) AS spend, filings, registrants FROM spend",
     "trades_by_quarter": "SELECT ticker, quarter, n_trades, n_members, round(gross, 2) AS gross, round(net, 2) + 0.0 AS net, round(weighted_net, 1) + 0.0 AS weighted_net FROM quarterly",
     **{f"lobbying_overlay_lag{k}": f"SELECT t.ticker, t.quarter, t.n_trades, round(t.net, 2) + 0.0 AS net, round(s.spend, 2) AS spend FROM quarterly t LEFT JOIN spend s ON s.ticker = t.ticker AND s.q + {k} = t.q" for k in (0, 1, 2)},

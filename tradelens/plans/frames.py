@@ -27,9 +27,11 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the store; predictions, universe and picks are those of the modelling line where it has run."""
     trades = view(spark, sf_dir, "SELECT * FROM trades")
     filings = trades.select("filed_date", F.lit("parsed").alias("parse_status"))
-    return reports.health(view(spark, sf_dir, "SELECT * FROM members"), filings, trades, {"price_rows": view(spark, sf_dir, "SELECT * FROM prices"), "earnings_rows": view(spark, sf_dir, "SELECT * FROM earnings")})
+    others = {"price_rows": "prices", "lobbying_filings": "lobbying", "earnings_rows": "earnings", "event_index_rows": "themes", "core_universe": "recent"}
+    return reports.health(view(spark, sf_dir, "SELECT * FROM members"), filings, trades, {k: view(spark, sf_dir, f"SELECT * FROM {v}") for k, v in others.items()})
 
 
 def committee_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,13 +130,13 @@ def event_study_car(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ticker", F.col("day").alias("pos"), "n_est", *rounded)
 
 
-def _studied(spark: SparkSession, sf_dir: str) -> DataFrame:
+def studied_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = view(spark, sf_dir, "SELECT txn_id, member_id, ticker, transaction_date, direction FROM scorable")
     return eventstudy.study_trades(trades, view(spark, sf_dir, "SELECT date, day FROM anchorday"), _models(spark, sf_dir, (0, 20)))
 
 
 def event_study_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = eventstudy.summary(_studied(spark, sf_dir), ["ticker"])
+    out = eventstudy.summary(studied_trades(spark, sf_dir), ["ticker"])
     return out.select("ticker", "n", *[(F.round(c, k) + 0.0).alias(c) for c, k in (("mean_car", 5), ("median_car", 5), ("sd", 5), ("t_stat", 3), ("pct_positive", 5))])
 
 
@@ -229,7 +231,7 @@ SELECT (SELECT count(*) FROM o JOIN v USING (member_id, ticker, transaction_date
 FROM (SELECT 1) one""",
     "health": """
 SELECT count(*) AS transactions, count(ticker) AS transactions_with_ticker, CAST(sum(CASE WHEN member_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS transactions_unlinked_member, count(DISTINCT ticker) AS distinct_tickers,
-  max(transaction_date) AS latest_trade_date, count(*) AS filings, CAST(0 AS BIGINT) AS filings_failed, max(filed_date) AS latest_filed_date, (SELECT count(*) FROM members) AS members, (SELECT count(*) FROM prices) AS price_rows, (SELECT count(*) FROM earnings) AS earnings_rows
+  max(transaction_date) AS latest_trade_date, count(*) AS filings, CAST(0 AS BIGINT) AS filings_failed, max(filed_date) AS latest_filed_date, (SELECT count(*) FROM members) AS members, (SELECT count(*) FROM prices) AS price_rows, (SELECT count(*) FROM earnings) AS earnings_rows, (SELECT count(*) FROM lobbying) AS lobbying_filings, (SELECT count(*) FROM themes) AS event_index_rows, (SELECT count(*) FROM recent) AS core_universe
 FROM trades""",
     "upsert_trades": "SELECT txn_id, CASE WHEN max(transaction_date) >= DATE '1995-01-01' THEN 2 * max(amount_est) ELSE max(amount_est) END AS amount_est, max(transaction_date) AS transaction_date FROM trades GROUP BY txn_id",
 }
