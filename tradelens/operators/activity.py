@@ -12,7 +12,7 @@ PERIODS = {
     "q": "concat(CAST(year(transaction_date) AS STRING), 'Q', CAST(quarter(transaction_date) AS STRING))",
     "y": "substr(CAST(transaction_date AS STRING), 1, 4)",
 }
-_BUCKET = "CASE WHEN filing_delay_days <= 7 THEN '1: 0-7' WHEN filing_delay_days <= 15 THEN '2: 8-15' WHEN filing_delay_days <= 30 THEN '3: 16-30' WHEN filing_delay_days <= 45 THEN '4: 31-45' WHEN filing_delay_days <= 60 THEN '5: 46-60' WHEN filing_delay_days <= 90 THEN '6: 61-90' ELSE '7: 91+' END"
+_BUCKET = "CASE WHEN filing_delay_days < 0 THEN '<0' WHEN filing_delay_days <= 15 THEN '0-15' WHEN filing_delay_days <= 30 THEN '16-30' WHEN filing_delay_days <= 45 THEN '31-45' WHEN filing_delay_days <= 90 THEN '46-90' WHEN filing_delay_days <= 180 THEN '91-180' ELSE '180+' END"
 _QUARTER = "concat(CAST(year(transaction_date) AS STRING), 'Q', CAST(quarter(transaction_date) AS STRING))"
 _BY_QUARTER = f"SELECT ticker, {_QUARTER} AS quarter, CAST(year(transaction_date) * 4 + quarter(transaction_date) - 1 AS INT) AS q, count(*) AS n_trades, count(DISTINCT t.member_id) AS n_members, sum(amount_est) AS gross, sum(amount_est * direction) AS net, CAST(sum(CAST(amount_est * direction * coalesce(s.weight, 1.0) AS DECIMAL(28,8))) AS DOUBLE) AS weighted_net FROM trades t LEFT JOIN scores90 s ON s.member_id = t.member_id WHERE {USABLE} GROUP BY ticker, {_QUARTER}, CAST(year(transaction_date) * 4 + quarter(transaction_date) - 1 AS INT)"
 
