@@ -5,14 +5,15 @@ from __future__ import annotations
 MIN_TRADES = 5
 
 SKILL_VIEWS = {
-    # Excess over the benchmark after h days, signed by the trade; as-of prices are equi-joins on the dense panel.
+    # Excess over the benchmark after h days, signed by the trade; as-of prices are equi-joins on the dense panel. Rounded so that
+    # a trade that moved as the benchmark did is no hit, however its zero comes out.
     "entries": """
 SELECT t.txn_id, t.member_id, t.ticker, t.amount_est, t.direction, h.horizon_days,
   greatest(t.transaction_date, s.lo) AS d0, greatest(SHIFT[t.transaction_date; h.horizon_days], s.lo) AS d1
 FROM scorable t CROSS JOIN (VALUES (30), (90), (180), (365)) AS h(horizon_days) CROSS JOIN span s""",
     "entered": "SELECT e.*, p.px AS px0, p.bpx AS bpx0 FROM entries e JOIN relative p ON p.ticker = e.ticker AND p.date = e.d0 WHERE p.px > 0 AND p.bpx > 0",
     "returns": """
-SELECT e.txn_id, e.member_id, e.ticker, e.amount_est, e.horizon_days, ((p.px / e.px0 - 1) - (p.bpx / e.bpx0 - 1)) * e.direction AS excess_return
+SELECT e.txn_id, e.member_id, e.ticker, e.amount_est, e.horizon_days, round(((p.px / e.px0 - 1) - (p.bpx / e.bpx0 - 1)) * e.direction, 12) + 0.0 AS excess_return
 FROM entered e JOIN relative p ON p.ticker = e.ticker AND p.date = e.d1 WHERE p.px IS NOT NULL AND p.bpx IS NOT NULL""",
     "stats": """
 SELECT horizon_days, member_id, count(*) AS n_scored, avg(excess_return) AS mean_excess, stddev_samp(excess_return) AS sd_excess,

@@ -17,7 +17,7 @@ def _dollars(x: Column) -> Column:
 
 def _joined(rows: DataFrame, text: Column, sep: str) -> Column:
     """The texts of an order's lines, in their order."""
-    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", text.alias("t")))), lambda r: r["t"]), sep)
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", text.alias("t")))), lambda r: r["t"]), sep)
 
 
 def house_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def senate_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FROM = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
-_ORDER = "l_linenumber, l_partkey, l_suppkey"
+_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 DOCUMENT_ORACLES = {
     "house_parsed": f"""
 SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS INTEGER) AS place, CASE l_linestatus WHEN 'O' THEN 'spouse' ELSE 'self' END AS owner, replace(p_brand, '#', ' ') || ' Company Common Shares [ST]' AS asset_name_raw,

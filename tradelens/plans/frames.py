@@ -105,7 +105,7 @@ def correlation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = view(spark, sf_dir, "SELECT lag_quarters, metric, x, y, ticker, quarter FROM measured")
     found = ranks.spearman(pairs, ["lag_quarters", "metric"], "x", "y", ["ticker", "quarter"], least=10).filter("n >= 10")
     found = found.withColumn("p_value", ranks.correlation_p(F.col("rho"), F.col("n")))  # before rho is rounded under the same name
-    return found.select("lag_quarters", "metric", "n", (F.round("rho", 4) + 0.0).alias("rho"), F.round("p_value", 6).alias("p_value"))
+    return found.select("lag_quarters", "metric", "n", (F.round("rho", 6) + 0.0).alias("rho"), F.round("p_value", 6).alias("p_value"))
 
 
 def spearman_ic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def _priced(name: str, rows: str, at: dict[str, str]) -> str:
 
 
 _RETURNS = _TRADES + ",\n" + _priced("held", "SELECT t.*, h FROM t, (VALUES (30), (90), (180), (365)) v(h) WHERE sure >= 0.7 AND side <> 0", {"0": "traded", "1": "traded + h"}) + """,
-ret AS MATERIALIZED (SELECT txn_id, member_id, amount, h, ((p_1 / p_0 - 1) - (b_1 / b_0 - 1)) * side AS excess FROM held WHERE p_0 > 0 AND b_0 > 0)"""
+ret AS MATERIALIZED (SELECT txn_id, member_id, amount, h, round(((p_1 / p_0 - 1) - (b_1 / b_0 - 1)) * side, 12) + 0 AS excess FROM held WHERE p_0 > 0 AND b_0 > 0)"""
 
 _SCORES = _RETURNS + """,
 m AS (SELECT h, member_id, count(*) AS n, avg(excess) AS mean, stddev_samp(excess) AS sd, avg(CAST(excess > 0 AS INTEGER)) AS hits,
@@ -64,7 +64,7 @@ c AS (SELECT lag_quarters, metric, count(*) AS n, corr(a, b) AS rho FROM k GROUP
 g AS (SELECT *, n - 2 AS df, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM c),
 area AS (SELECT lag_quarters, metric, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2.0::DOUBLE)) * t / 12000 * exp(lgamma((df + 1) / 2.0::DOUBLE) - lgamma(df / 2.0::DOUBLE)) / sqrt(df * pi()) AS half
   FROM g, range(4001) r(i) GROUP BY lag_quarters, metric, t, df)
-SELECT lag_quarters, metric, n, round(rho, 4) + 0 AS rho, round(greatest(1 - 2 * half, 0), 6) AS p_value FROM g JOIN area USING (lag_quarters, metric)"""
+SELECT lag_quarters, metric, n, round(rho, 6) + 0 AS rho, round(greatest(1 - 2 * half, 0), 6) AS p_value FROM g JOIN area USING (lag_quarters, metric)"""
 
 _UNIVERSE = _TRADES + """,
 u AS MATERIALIZED (SELECT ticker, count(*) AS n_trades, count(DISTINCT member_id) AS n_members, sum(amount) AS volume, max(traded) AS last_traded FROM t WHERE sure >= 0.7 AND traded >= (SELECT max(traded) - 730 FROM t) GROUP BY ticker),
