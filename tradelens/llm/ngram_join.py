@@ -45,7 +45,7 @@ DELETED, WIDE, FILL = 3, 4.0, 2.2
 #: An entry of more sets than this is frequent.
 FREQUENT = 32
 #: Short sets of a frequent entry, and the texts of a component, are compared in tiles of blocks of so many.
-TILE = 512
+TILE = 1024
 #: A block has about so many shingles at most.
 BLOCK_SHINGLES = 1_000_000
 #: Shingles in more of a tile's texts than this are counted by a matrix product, others pair by pair.
