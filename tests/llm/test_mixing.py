@@ -92,15 +92,24 @@ def test_rates_are_least_squares_ones(spark, floor, out_of_reach):
     got, want = np.array([r.rate for r in rows]), np.array([*rates.targets.values()])
     own = np.array([[*r.shares, r.n_tokens] for r in rows])
     a = (own[:, :3] * own[:, 3:]).T
-    metric = np.linalg.inv((own[:, :3] * own[:, 3:]).T @ own[:, :3])
-    square = lambda r: (a @ r - want) @ metric @ (a @ r - want)
+    square = lambda r: (((a @ r - want) / want) ** 2).sum()
+    gram = a @ own[:, :3]
+    longest = 1 / np.linalg.eigvalsh(gram / np.outer(want, want)).max()
     r = np.ones(60)
-    for _ in range(20_000):
-        r = np.maximum(floor, r - own[:, :3] @ metric @ (a @ r - want))
+    for _ in range(50_000):
+        r = np.maximum(floor, r - own[:, :3] @ ((a @ r - want) / want**2) * longest)
     assert got.min() >= floor and square(got) == pytest.approx(square(r), rel=5e-2, abs=1e-6 * square(np.zeros(60)))
     assert (rates.miss > 0.05) == out_of_reach
 
 
+def test_domains_that_no_text_is_of(spark):
+    """Shares next to nothing are not blown up to meet a target."""
+    shared = spark.createDataFrame([([1 - 2e-9, 1e-9, 1e-9], 50)] * 20, "shares array<double>, n_tokens long")
+    for floor in (0.0, 1.0):
+        rates = fit_rates(shared, WEIGHTS, floor)
+        assert rates.miss > 0.9 and max(r.rate for r in rates.added(shared).collect()) < 2
+
+
 def test_tokens_of_slices():
     text = "Some words,  and 12 numbers " * 12_000
     import tiktoken

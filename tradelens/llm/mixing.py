@@ -189,11 +189,11 @@ def fit_rates(shared: DataFrame, weights: dict[str, float], floor: float = 0.0)
     """Rates of shared (shares, n_tokens) that bring each domain's expected tokens to its target, as nearly as can be.
 
     The targets sum to the tokens there are, or to more where a floor needs it: as much as makes every domain's target its
-    floor's tokens and MARGIN of them at least. What is minimised is the square of the misses in the metric of all texts'
-    sums over pairs of domains, in which a plain gradient step of length 1 never overshoots; longer ones, and one in the
-    metric of the texts above the floor, are tried in the same pass, and the best is taken. The fit ends when every target is
-    met within CLOSE of it, or where no step takes LEAST of the square away, as when targets are out of reach:
-    there the square is within a few hundredths of the least, and miss tells.
+    floor's tokens and MARGIN of them at least. What is minimised is the sum of the squares of the misses, each relative to its
+    target, so a domain that hardly any text has a share in doesn't outweigh the others. A pass tries gradient steps of
+    several lengths, the first of which never overshoots, and steps in the metrics of all texts and of those above the floor,
+    and takes the best. The fit ends when every target is met within CLOSE of it, or where no step takes LEAST of the sum
+    away, as when targets are out of reach: there the sum is within a few hundredths of the least, and miss tells.
     """
     goal = np.array([*weights.values()], float)
     goal = goal / goal.sum()
@@ -206,14 +206,15 @@ def fit_rates(shared: DataFrame, weights: dict[str, float], floor: float = 0.0)
     if now.sum() == 0:
         return fitted
     least = np.eye(len(goal)) * 1e-9 * np.trace(whole) / len(goal)
-    metric = np.linalg.inv(whole + least)
-    missed = lambda t: float((t - target) @ metric @ (t - target))
+    weight = 1 / target**2
+    longest = 1 / np.linalg.eigvalsh(whole * np.sqrt(np.outer(weight, weight))).max()
+    missed = lambda t: float((((t - target) / target) ** 2).sum())
     for _ in range(MAX_STEPS):
         fitted.miss = float(np.abs(totals / target - 1).max())
         if fitted.miss <= CLOSE:
             return fitted
-        plain = metric @ (totals - target)
-        tried = [np.linalg.solve(free + least, totals - target), *(plain * k for k in (1, 2, 4, 8, 16, 64))]
+        over = totals - target
+        tried = [np.linalg.solve(m + least, over) * k for m in (free, whole) for k in (1, 0.25)] + [weight * over * longest * k for k in (1, 4, 16, 64)]
         found = _sums(rows, fitted, tried)
         best = min(range(len(tried)), key=lambda k: missed(found[k][0]))
         if missed(found[best][0]) >= (1 - LEAST) * missed(totals):
