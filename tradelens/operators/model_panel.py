@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.operators.panel import as_of
+from tradelens.operators.panel import as_of, seen_counts, sums_at
 
 #: Days that features look back, and trading days to the target.
 BACKS, AHEAD = (30, 90, 180), 63
@@ -18,19 +18,6 @@ def known_at(trades: DataFrame, disclosed: bool) -> DataFrame:
     return trades.withColumn("known_at", F.coalesce("filed_date", "transaction_date") if disclosed else F.col("transaction_date")).filter("known_at is not null")
 
 
-def sums_at(asked: DataFrame, daily: DataFrame, columns: list[str], backs: list[int]) -> DataFrame:
-    """ticker, date and s_b for each b of backs: struct of the running sums of daily (ticker, day, columns) up to b days before.
-
-    One pass: the running sums and all asked days are ordered together by ticker.
-    """
-    upto = Window.partitionBy("ticker").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    facts = daily.select("ticker", "day", *[F.sum(c).over(upto).alias(c) for c in columns])
-    asks = asked.select("ticker", "date", F.explode(F.array(*map(F.lit, backs))).alias("back")).withColumn("at", F.date_sub("date", F.col("back")))
-    found = as_of(asks.select("ticker", F.col("at").alias("date")), facts, ["ticker"], "day").withColumnRenamed("date", "at")
-    value = F.struct(*[F.coalesce(F.col("fact")[c], F.lit(0.0)).alias(c) for c in columns])
-    return asks.join(found.select("ticker", "at", value.alias("s")), ["ticker", "at"]).groupBy("ticker", "date").agg(*[F.max(F.when(F.col("back") == b, F.col("s"))).alias(f"s_{b}") for b in backs])
-
-
 def _trade_features(asked: DataFrame, trades: DataFrame) -> DataFrame:
     """What trades (ticker, member_id, known_at, direction, amount_est, delay, mweight) show in each look-back."""
     signed = F.col("amount_est") * F.col("direction")
@@ -38,20 +25,16 @@ def _trade_features(asked: DataFrame, trades: DataFrame) -> DataFrame:
         "n": F.lit(1.0), "buys": (F.col("direction") > 0).cast("double"), "gross": F.col("amount_est"), "net": signed, "wnet": signed * F.col("mweight"),
         "delay": F.coalesce(F.col("delay").cast("double"), F.lit(0.0)), "delayed": F.col("delay").isNotNull().cast("double"),
     }
-    daily = trades.groupBy("ticker", F.col("known_at").alias("day")).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    daily = trades.groupBy("ticker", F.col("known_at").alias("day")).agg(*[F.sum(v).alias(k) for k, v in sums.items()], F.max("mweight").alias("most"))
     out = sums_at(asked, daily, [*sums], [0, *BACKS])
-    # Members by the last day that they were seen trading, buying and selling: a later day serves every look-back.
-    own = trades.groupBy("ticker", "member_id", F.col("known_at").alias("day")).agg(F.max((F.col("direction") > 0).cast("int")).alias("buy"), F.max((F.col("direction") < 0).cast("int")).alias("sell"), F.max("mweight").alias("mweight"))
+    side = F.signum(F.col("direction")).cast("int")
+    members = seen_counts(asked, trades, "known_at", side, {"n_members": None, "n_buyers": 1, "n_sellers": -1}, list(BACKS))
+    # a member's weight is one for all trades, or the largest of those in the look-back: of the days' largest ones
     month = lambda d: F.year(d) * 12 + F.month(d)
-    seen = own.withColumn("m", F.explode(F.sequence(month(F.col("day")), month(F.date_add("day", max(BACKS)))))).withColumnRenamed("ticker", "t_ticker")
-    dated = asked.withColumn("am", month(F.col("date")))
-    near = dated.join(seen, (F.col("ticker") == F.col("t_ticker")) & (F.col("am") == F.col("m")) & (F.col("day") <= F.col("date")) & (F.col("day") > F.date_sub("date", max(BACKS))))
-    last = lambda c: F.max(F.when(F.col(c) > 0, F.col("day")))
-    # a member's weight is one for all trades, or the largest of those in the look-back
-    each = near.groupBy("ticker", "date", "member_id").agg(F.max("day").alias("any"), last("buy").alias("bought"), last("sell").alias("sold"), *[F.max(F.when(F.col("day") > F.date_sub("date", b), F.col("mweight"))).alias(f"w_{b}") for b in BACKS])
-    within = lambda c, b: F.col(c) > F.date_sub("date", b)
-    counts = [F.count_if(within(c, b) & F.col("member_id").isNotNull()).cast("double").alias(f"{name}_{b}") for b in BACKS for name, c in (("n_members", "any"), ("n_buyers", "bought"), ("n_sellers", "sold"))]
-    members = each.groupBy("ticker", "date").agg(*counts, *[F.max(f"w_{b}").alias(f"max_mweight_{b}") for b in BACKS])
+    most = daily.select(F.col("ticker").alias("t_ticker"), "day", "most", F.explode(F.sequence(month(F.col("day")), month(F.date_add("day", max(BACKS))))).alias("m"))  # a row for each day
+    near = asked.join(most, (F.col("ticker") == F.col("t_ticker")) & (month(F.col("date")) == F.col("m")) & (F.col("day") <= F.col("date")) & (F.col("day") > F.date_sub("date", max(BACKS))))
+    weighed = near.groupBy("ticker", "date").agg(*[F.max(F.when(F.col("day") > F.date_sub("date", b), F.col("most"))).alias(f"max_mweight_{b}") for b in BACKS])
+    members = members.join(weighed, ["ticker", "date"], "left")
     joined = out.join(members, ["ticker", "date"], "left")
     columns: list[Column] = []
     for b in BACKS:

@@ -19,7 +19,9 @@ FEATURES = [f"{c}_{b}" for b in model_panel.BACKS for c in ("n_members", "n_trad
 def _built(disclosed: bool):
     def make(spark: SparkSession, sf_dir: str) -> DataFrame:
         prices = view(spark, sf_dir, "SELECT ticker, date, px FROM daily WHERE ticker <> 'BENCH'")
-        return model_panel.build(view(spark, sf_dir, _TARGETS), view(spark, sf_dir, _WEIGHED), prices, view(spark, sf_dir, "SELECT ticker, period_end, amount FROM lobbying"), disclosed)
+        weighed = kept(spark, sf_dir, "weighed", lambda spark, sf_dir: view(spark, sf_dir, _WEIGHED))  # read twice, and by both panels
+        lobbying = view(spark, sf_dir, "SELECT ticker, period_end, sum(coalesce(amount, 0.0)) AS amount FROM lobbying GROUP BY ticker, period_end")
+        return model_panel.build(view(spark, sf_dir, _TARGETS), weighed, prices, lobbying, disclosed)
 
     return make
 
