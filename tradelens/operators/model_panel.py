@@ -18,7 +18,7 @@ def known_at(trades: DataFrame, disclosed: bool) -> DataFrame:
     return trades.withColumn("known_at", F.coalesce("filed_date", "transaction_date") if disclosed else F.col("transaction_date")).filter("known_at is not null")
 
 
-def _trade_features(asked: DataFrame, trades: DataFrame) -> DataFrame:
+def _trade_features(asked: DataFrame, trades: DataFrame, parts: int | None = None) -> DataFrame:
     """What trades (ticker, member_id, known_at, direction, amount_est, delay, mweight) show in each look-back."""
     signed = F.col("amount_est") * F.col("direction")
     sums = {
@@ -28,7 +28,7 @@ def _trade_features(asked: DataFrame, trades: DataFrame) -> DataFrame:
     daily = trades.groupBy("ticker", F.col("known_at").alias("day")).agg(*[F.sum(v).alias(k) for k, v in sums.items()], F.max("mweight").alias("most"))
     out = sums_at(asked, daily, [*sums], [0, *BACKS])
     side = F.signum(F.col("direction")).cast("int")
-    members = seen_counts(asked, trades, "known_at", side, {"n_members": None, "n_buyers": 1, "n_sellers": -1}, list(BACKS))
+    members = seen_counts(asked, trades, "known_at", side, {"n_members": None, "n_buyers": 1, "n_sellers": -1}, list(BACKS), parts)
     # a member's weight is one for all trades, or the largest of those in the look-back: of the days' largest ones
     month = lambda d: F.year(d) * 12 + F.month(d)
     most = daily.select(F.col("ticker").alias("t_ticker"), "day", "most", F.explode(F.sequence(month(F.col("day")), month(F.date_add("day", max(BACKS))))).alias("m"))  # a row for each day
@@ -60,11 +60,11 @@ def _price_features(prices: DataFrame) -> DataFrame:
     return found.select("ticker", "date", enough(F.when(F.col("n") > 21, F.col("px") / F.col("p20") - 1).otherwise(0.0)).alias("mom_20"), enough(F.col("px") / F.col("p0") - 1).alias("mom_120"), enough(F.col("vol")).alias("vol_60"))
 
 
-def build(targets: DataFrame, trades: DataFrame, prices: DataFrame, lobbying: DataFrame, disclosed: bool = True) -> DataFrame:
+def build(targets: DataFrame, trades: DataFrame, prices: DataFrame, lobbying: DataFrame, disclosed: bool = True, deals: int | None = None) -> DataFrame:
     """ticker, date, y_63 and all features for the rows of targets (ticker, date, y_63: the excess after AHEAD trading days).
 
     trades: ticker, member_id, transaction_date, filed_date, direction, amount_est, delay, mweight; prices: ticker, date, px;
-    lobbying: ticker, period_end, amount. Rows without a target are left out.
+    lobbying: ticker, period_end, amount. Rows without a target are left out. deals: partitions of members.
     """
     rows = targets.filter(F.col("y_63").isNotNull())
     asked = rows.select("ticker", "date")
@@ -73,5 +73,5 @@ def build(targets: DataFrame, trades: DataFrame, prices: DataFrame, lobbying: Da
     over = lambda a, b: F.when(F.col(f"s_{a}.n") - F.col(f"s_{b}.n") > 0.5, F.col(f"s_{a}.amount") - F.col(f"s_{b}.amount")).otherwise(0.0)
     near, far = over(0, 365), over(365, 730)
     lobbied = at.select("ticker", "date", F.log1p(near).alias("log_lobby_12m"), F.when(far > 0, (near - far) / far).otherwise(0.0).alias("lobby_yoy"))
-    parts = [rows, _trade_features(asked, known_at(trades, disclosed)), _price_features(prices), lobbied]
+    parts = [rows, _trade_features(asked, known_at(trades, disclosed), deals), _price_features(prices), lobbied]
     return reduce(lambda a, b: a.join(b, ["ticker", "date"], "left"), parts)

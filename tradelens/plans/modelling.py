@@ -6,22 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradelens.operators import model_panel
-from tradelens.plans.dialect import duckdb_text
+from tradelens.plans.dialect import duckdb_text, parts
 from tradelens.plans.world import ALL_VIEWS, kept, view
 
 _TARGETS = """
 SELECT a.ticker, a.date, b.px / a.px - 1 - (d.px / c.px - 1) AS y_63 FROM daily a JOIN daily b ON b.ticker = a.ticker AND b.day = a.day + 63 JOIN benchday c ON c.day = a.day JOIN benchday d ON d.day = a.day + 63
 JOIN (SELECT max(date) AS date FROM tradingdays GROUP BY year(date), month(date)) m ON m.date = a.date WHERE a.ticker <> 'BENCH'"""
 _WEIGHED = "SELECT t.ticker, t.member_id, t.transaction_date, t.filed_date, t.direction, t.amount_est, t.filing_delay_days AS delay, coalesce(s.weight, 1.0) AS mweight FROM trades t LEFT JOIN scores90 s ON s.member_id = t.member_id WHERE t.ticker_confidence >= 0.7 AND t.direction <> 0"
+_DEALT = _WEIGHED.replace("FROM trades t ", "FROM (SELECT /*+ REPARTITION(PARTS, member_id) */ * FROM trades WHERE ticker_confidence >= 0.7 AND direction <> 0) t ")
 FEATURES = [f"{c}_{b}" for b in model_panel.BACKS for c in ("n_members", "n_trades", "n_buyers", "n_sellers", "log_gross", "net_ratio", "wnet_ratio", "buy_share", "mean_delay", "max_mweight")] + ["mom_20", "mom_120", "vol_60", "log_lobby_12m", "lobby_yoy"]
 
 
 def _built(disclosed: bool):
     def make(spark: SparkSession, sf_dir: str) -> DataFrame:
         prices = view(spark, sf_dir, "SELECT ticker, date, px FROM daily WHERE ticker <> 'BENCH'")
-        weighed = kept(spark, sf_dir, "weighed", lambda spark, sf_dir: view(spark, sf_dir, _WEIGHED))  # read twice, and by both panels
+        weighed = kept(spark, sf_dir, "weighed", lambda spark, sf_dir: view(spark, sf_dir, _DEALT))  # read twice, and by both panels
         lobbying = view(spark, sf_dir, "SELECT ticker, period_end, sum(coalesce(amount, 0.0)) AS amount FROM lobbying GROUP BY ticker, period_end")
-        return model_panel.build(view(spark, sf_dir, _TARGETS), weighed, prices, lobbying, disclosed)
+        return model_panel.build(view(spark, sf_dir, _TARGETS), weighed, prices, lobbying, disclosed, parts(spark, f"{sf_dir}/lineitem.parquet"))
 
     return make
 
