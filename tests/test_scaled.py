@@ -1,6 +1,7 @@
 """Spark's forms of views against the plain ones, on tables with few days, few members, and trades without a member."""
 
 import random
+import re
 
 import duckdb
 import pandas as pd
@@ -86,3 +87,39 @@ def test_a_house_trade_has_its_name_cleaned_once(spark):
 def test_a_senate_page_is_read_once(spark):
     pages = spark.createDataFrame([(1, "<table></table>")], "doc_id long, html string")
     assert _plan(parse_senate(pages)).count("MapInArrow") == 1
+
+
+@pytest.fixture(scope="module")
+def doubled(tmp_path_factory):
+    """(folder, DuckDB's connection): every third line stands twice, once as it is and once the other way round or not at all sure; one in 40 lines lacks a key."""
+    folder, con = tmp_path_factory.mktemp("doubled"), duckdb.connect()
+    lines = "SELECT * REPLACE (CASE WHEN l_orderkey % 40 = 1 THEN NULL ELSE l_suppkey END AS l_suppkey, CASE WHEN l_orderkey % 40 = 2 THEN NULL ELSE l_linenumber END AS l_linenumber) FROM t"
+    own = {"lineitem": f"{lines} UNION ALL SELECT * REPLACE (CASE l_returnflag WHEN 'A' THEN 'R' ELSE 'A' END AS l_returnflag, l_extendedprice + 1 AS l_extendedprice, l_orderkey % 2 * 0.5 AS l_tax) FROM ({lines}) WHERE l_orderkey % 3 = 0 UNION ALL SELECT * FROM ({lines}) WHERE l_orderkey % 5 = 0"}
+    for t in TABLES:
+        con.execute(f"COPY (WITH t AS (SELECT * FROM '{SF}/{t}.parquet') {own.get(t, 'SELECT * FROM t')}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return str(folder), con
+
+
+def _dealt_by(df):
+    """The columns that rows are dealt by, one text for each exchange."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", text)
+
+
+def _same_as_sql(df, con, text):
+    cells = lambda found: sorted(tuple(f"{v:.6g}" if isinstance(v, float) else str(v)[:40] for v in r) for r in found)
+    got, want = cells(df.select(sorted(df.columns)).collect()), cells(con.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({text}) x").fetchall())
+    assert len(got) == len(want) > 0
+    assert sum(a != b for a, b in zip(got, want)) == 0
+
+
+def test_timeline_of_lines_that_stand_twice(spark, doubled):
+    folder, con = doubled
+    _same_as_sql(QUERIES["member_timeline"](spark, folder), con, ORACLES["member_timeline"])
+
+
+def test_timeline_deals_no_trade_by_its_text(spark):
+    dealt = _dealt_by(QUERIES["member_timeline"](spark, SF))
+    assert "txn_id" not in " ".join(dealt)
+    assert sum("l_orderkey" in d for d in dealt) == 1
