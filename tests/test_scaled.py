@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from test_catalogue import rows
 from tradelens.functions.scalars import parse_amount
+from tradelens.operators import reports
 from tradelens.operators.activity import windows_text
 from tradelens.operators.panel import seen_counts
 from tradelens.plans.catalogue import ORACLES, QUERIES
@@ -104,7 +105,7 @@ def doubled(tmp_path_factory):
 def _dealt_by(df):
     """The columns that rows are dealt by, one text for each exchange."""
     text = df._jdf.queryExecution().executedPlan().toString()
-    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", text)
+    return [re.sub(r"#\d+L?", "", d) for d in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", text)]
 
 
 def _same_as_sql(df, con, text):
@@ -123,3 +124,36 @@ def test_timeline_deals_no_trade_by_its_text(spark):
     dealt = _dealt_by(QUERIES["member_timeline"](spark, SF))
     assert "txn_id" not in " ".join(dealt)
     assert sum("l_orderkey" in d for d in dealt) == 1
+
+
+def test_alignment_of_lines_that_stand_twice(spark, doubled):
+    folder, con = doubled
+    _same_as_sql(QUERIES["committee_alignment"](spark, folder), con, ORACLES["committee_alignment"])
+
+
+def test_alignment_deals_lines_once_and_trades_by_member(spark):
+    dealt = _dealt_by(QUERIES["committee_alignment"](spark, SF))
+    assert dealt.count("l_partkey") == 2 and dealt.count("l_orderkey") == 1
+    assert not {"filing_uuid", "ticker, member_id"} & set(dealt)
+
+
+def test_lobbied_lines(spark):
+    rng = random.Random(5)
+    lines = [(f"{k}-{n}", k, rng.choice(["A", "B", None]) if n else "A", rng.choice([1.0, 2.0, 5.0, None]), rng.choice(["def", "DEF", "TAX", None])) for k in range(30) for n in range(3) for _ in range(rng.randrange(1, 4))]
+    df = spark.createDataFrame(lines, "filing_uuid string, part int, ticker string, amount double, issue_code string")
+    filings = df.groupBy("filing_uuid", "ticker").agg(F.max("amount").alias("amount"))
+    one = df.groupBy("filing_uuid").agg(F.countDistinct("ticker").alias("k"), F.count_if(F.col("ticker").isNull()).alias("n")).filter("k = 1 and n = 0")  # a filing is of one company
+    filings, df = filings.join(one, "filing_uuid", "left_semi"), df.join(one, "filing_uuid", "left_semi")
+    acts = df.select("filing_uuid", "issue_code", F.lit("").alias("description"), F.lit("").alias("entity"))
+    told = lambda x: {(r.ticker, r.issue_code): r.spend for r in x.collect()}
+    want = told(reports.lobbied_issues(filings, acts))
+    assert len(want) > 2 and told(reports.lobbied_lines(df)) == told(reports.lobbied_lines(df, "part")) == want
+
+
+def test_equal_volumes_are_ordered_by_member(spark):
+    trades = spark.createDataFrame([(m, "A", 0.9, x) for m, xs in ((1, [0.3, 0.2, 0.1]), (2, [0.1, 0.2, 0.3])) for x in xs], "member_id int, ticker string, ticker_confidence double, amount_est double").coalesce(1)
+    members = spark.createDataFrame([(1, "One", "house"), (2, "Two", "house")], "member_id int, full_name string, chamber string")
+    filings = spark.createDataFrame([("u", "A", 10.0)], "filing_uuid string, ticker string, amount double")
+    acts = spark.createDataFrame([("u", "TAX", "", "")], "filing_uuid string, issue_code string, description string, entity string")
+    held = spark.createDataFrame([(1, "SSFI"), (2, "SSFI")], "member_id int, committee_id string")
+    assert [r.member_id for r in reports.committee_alignment(trades, members, filings, acts, held).collect()] == [1, 2]
