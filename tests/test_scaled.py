@@ -16,7 +16,8 @@ from tradelens.operators.panel import seen_counts
 from tradelens.plans.catalogue import ORACLES, QUERIES
 from tradelens.plans.dialect import TABLES, duckdb_text
 from tradelens.plans.world import ALL_VIEWS, SPARK_VIEWS, view
-from tradelens.sources.filings import parse_house, parse_senate
+from tradelens.sources import filings
+from tradelens.sources.filings import _Page, parse_house, parse_senate
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,6 +91,49 @@ def test_a_senate_page_is_read_once(spark):
     assert _plan(parse_senate(pages)).count("MapInArrow") == 1
 
 
+def test_a_senate_trade_is_counted_in_its_page(spark):
+    """Trades are not dealt by page and sorted to be counted, lines are dealt by order once."""
+    pages = spark.createDataFrame([(1, "<table></table>")], "doc_id long, html string")
+    assert _dealt_by(parse_senate(pages)) == []
+    assert _dealt_by(QUERIES["senate_parsed"](spark, SF)) == ["l_orderkey"]
+
+
+PLAIN_PAGES = [
+    "x<table class='a b'><TR ><td>a &amp; b<td> c <b>d</b>\xa0e\n</td></tr></table>tail &am",
+    "<table><thead><tr><th>A</th></tr></thead><tr><td>1<table><tr><td>in</td></tr></table>2<td>3</table>",
+    "<td>out</td></tr></table><tbody><table><tbody></tbody><tr><td>a</td></tbody></table>",
+    "",
+]
+ODD_PAGES = [
+    "<table><tr><td>1 < 2 > 0<td a='>'>x</td><td/>y<!-- <td>no --><td>z<!-- > --></table>",
+    "<table><tr><td><script>a<td>&amp;</script>b<td>c <td</table><td title=\"x",
+    "<table>> td><tr><td>td>x</td>> y</td></tr></table>",
+]
+
+
+def test_plain_pages_are_cut_as_the_parser_cuts_them(monkeypatch):
+    def cells(page):
+        texts, (cells, *sizes) = _Page().read(page)
+        return [" ".join(" ".join(texts[i] for i in c).split()) for c in cells], sizes
+
+    parsed, feed = [], _Page.feed
+    monkeypatch.setattr(_Page, "feed", lambda self, html: parsed.append(html) or feed(self, html))
+    plain = [cells(p) for p in PLAIN_PAGES]
+    assert plain[1] == (["A", "A", "1", "3", "in"], [[1, 0], [3, 1], [1, 1, 1, 1]])
+    assert parsed == [] and [cells(p) for p in ODD_PAGES] and parsed == ODD_PAGES
+    monkeypatch.setattr(filings, "_plain", lambda tags: None)
+    monkeypatch.setattr(filings, "SMALL", len(max(PLAIN_PAGES, key=len)))
+    assert [cells(p) for p in PLAIN_PAGES] == plain
+
+
+def test_an_empty_body_has_no_trades(spark):
+    """A table's rows are those of its bodies where it has any, even if they are empty; its head holds none."""
+    row = "<tr><td>01/09/2026</td><td>A</td><td>Sale</td><td>$1,001 - $15,000</td></tr>"
+    head = f"<thead><tr><th>Date</th><th>Asset</th><th>Type</th><th>Amount</th></tr>{row}</thead>"
+    pages = spark.createDataFrame([(1, f"<table>{head}<tbody></tbody></table>"), (2, f"<table>{head}<tbody>{row}</tbody></table>")], "doc_id long, html string")
+    assert [(r.doc_id, r.place) for r in parse_senate(pages).collect()] == [(2, 1)]
+
+
 @pytest.fixture(scope="module")
 def doubled(tmp_path_factory):
     """(folder, DuckDB's connection): every third line stands twice, once as it is and once the other way round or not at all sure; one in 40 lines lacks a key."""
